@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from cueframe.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from cueframe.llm.packing import op9_best_fit_packing
 from cueframe.llm.source_mix import OP1_SQL, op1_source_mix
+from cueframe.llm.token_files import op5_token_files
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_token_files": op5_token_files,
+    "op9_best_fit_packing": op9_best_fit_packing,
 }
 SQL = {
     "op1_source_mix": OP1_SQL,
