@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cueframe.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from cueframe.llm.jaccard_join import op6_jaccard_join
 from cueframe.llm.packing import op9_best_fit_packing
 from cueframe.llm.source_mix import OP1_SQL, op1_source_mix
 from cueframe.llm.token_files import op5_token_files
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_files": op5_token_files,
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 SQL = {
