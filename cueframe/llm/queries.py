@@ -7,6 +7,7 @@ from cueframe.llm.jaccard_join import op6_jaccard_join
 from cueframe.llm.packing import op9_best_fit_packing
 from cueframe.llm.source_mix import OP1_SQL, op1_source_mix
 from cueframe.llm.token_files import op5_token_files
+from cueframe.llm.toxicity import op8_toxicity
 from cueframe.llm.vector_dedup import op2_vector_dedup
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_files": op5_token_files,
     "op6_jaccard_join": op6_jaccard_join,
+    "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 SQL = {
