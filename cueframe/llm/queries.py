@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cueframe.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from cueframe.llm.html_text import op10_html_text
 from cueframe.llm.jaccard_join import op6_jaccard_join
 from cueframe.llm.packing import op9_best_fit_packing
 from cueframe.llm.source_mix import OP1_SQL, op1_source_mix
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_html_text": op10_html_text,
 }
 SQL = {
     "op1_source_mix": OP1_SQL,
