@@ -6,6 +6,7 @@ from cueframe.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from cueframe.llm.html_text import op10_html_text
 from cueframe.llm.jaccard_join import op6_jaccard_join
 from cueframe.llm.packing import op9_best_fit_packing
+from cueframe.llm.ppm import op3_ppm_scores
 from cueframe.llm.source_mix import OP1_SQL, op1_source_mix
 from cueframe.llm.token_files import op5_token_files
 from cueframe.llm.toxicity import op8_toxicity
@@ -14,6 +15,7 @@ from cueframe.llm.vector_dedup import op2_vector_dedup
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_vector_dedup": op2_vector_dedup,
+    "op3_ppm_scores": op3_ppm_scores,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_files": op5_token_files,
     "op6_jaccard_join": op6_jaccard_join,
