@@ -33,7 +33,7 @@ def fill(sources: DataFrame, share: float = 1.0, max_epochs: int = 3) -> DataFra
     ranked = sources.withColumns({"total": total, "capped": F.coalesce(F.sum(cap).over(before), F.lit(0)), "rest": F.sum("weight").over(after)})
     level = (F.col("total") - F.col("capped")) / F.col("rest")
     ranked = ranked.withColumn("level", F.when(level * F.col("weight") <= cap, level))
-    ranked = ranked.withColumn("level", F.min("level").over(Window.partitionBy()))  # the first that fits is the lowest
+    ranked = ranked.withColumn("level", F.max("level").over(Window.partitionBy()))  # the first that fits; later ones are lower
     target = F.least(F.coalesce(F.col("level") * F.col("weight"), cap.cast("double")), cap.cast("double"))
     return ranked.select("source", "source_size", target.alias("target"))
 
@@ -112,7 +112,7 @@ r AS (SELECT *, sum(source_size) OVER () * 1.0::DOUBLE AS total,
              coalesce(sum(3 * source_size) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
              sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
 l AS (SELECT *, (total - capped) / rest AS lv FROM r),
-m AS (SELECT *, min(CASE WHEN lv * weight <= 3 * source_size THEN lv END) OVER () AS level FROM l),
+m AS (SELECT *, max(CASE WHEN lv * weight <= 3 * source_size THEN lv END) OVER () AS level FROM l),
 t AS (SELECT source AS src, source_size, least(coalesce(level * weight, CAST(3 * source_size AS DOUBLE)), CAST(3 * source_size AS DOUBLE)) AS target FROM m),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
 q AS (SELECT *, target - whole * source_size AS need FROM p),
