@@ -1,4 +1,9 @@
 """Queries over the driver's tables, each with the SQL that states the same result."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from cueframe.plans import text, timeline
+
+MODULES = (text, timeline)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
