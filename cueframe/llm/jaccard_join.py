@@ -13,8 +13,9 @@ hole holds as before.
 
 Groups of one signature never become all pairs. First each set is compared with one representative; links found so
 make components. Then only sets of one group in different components are compared, in blocks, by parity sketches, whose
-distance never exceeds the true one; what the sketches can't exclude is verified on the sets, nearest first, until no
-pair is left that could join two components. The components are those of all links.
+distance never exceeds the true one. Of what the sketches can't exclude, each set has its nearest verified on the sets;
+components grow together, and this is repeated until no pair is left that could join two. So a group gives pairs in
+proportion to its sets, and the components are those of all links.
 """
 
 from __future__ import annotations
@@ -243,34 +244,44 @@ def _labelled(links: DataFrame, sets: DataFrame) -> DataFrame:
     return staged(sets.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")).distinct(), "labels")
 
 
-def _open_pairs(groups: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, far): the pairs of one signature, in different components, that their sketches don't exclude."""
+def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of groups, with their components, whose signature is shared by several components."""
     by = Window.partitionBy("sig")
-    rows = groups.join(labels, "node").repartition("sig")
-    rows = rows.withColumns({"_a": F.min("comp").over(by), "_b": F.max("comp").over(by), "_n": F.count("*").over(by)}).where("_a <> _b")
+    rows = groups.select("sig", "node", "role").join(labels, "node").repartition("sig")
+    rows = rows.withColumns({"_a": F.min("comp").over(by), "_b": F.max("comp").over(by), "_n": F.count("*").over(by)})
+    return staged(rows.where("_a <> _b").select("sig", "node", "role", "comp", "_n"), "open-groups")
+
+
+def _open_pairs(rows: DataFrame, sets: DataFrame, failed: DataFrame, each: int, num: int, den: int) -> DataFrame:
+    """(a, b): for each set, in each group, its nearest sets of other components that their sketches don't exclude.
+
+    failed: (node, tried), for the pairs that verification has excluded already.
+    """
     rows = rows.withColumn("blocks", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, "block") * F.col("blocks") + F.greatest(i, "block"))
-    rows = rows.select("sig", "node", "role", "comp", F.explode(cells).alias("cell")).join(sets.select("node", "n", "sketch"), "node")
+    rows = rows.select("sig", "node", "role", "comp", F.explode(cells).alias("cell")).join(sets.select("node", "n", "sketch"), "node").join(failed, "node", "left")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in runs_of(batches, ("sig", "cell")):
             comp = g["comp"].to_numpy()
             if len(comp) < 2 or (comp == comp[0]).all():
                 continue
-            role, n, node, s = g["role"].to_numpy(), g["n"].to_numpy(), g["node"].to_numpy(), _folded(g["sketch"].to_pylist())
-            found = []
-            for i in range(len(comp) - 1):
-                js = np.arange(i + 1, len(comp))
-                js = js[(comp[js] != comp[i]) & ((role[js] == 0) | (role[i] == 0)) & (den * np.minimum(n[js], n[i]) >= num * np.maximum(n[js], n[i]))]
+            role, n, node, s, tried = g["role"].to_numpy(), g["n"].to_numpy(), g["node"].to_numpy(), _folded(g["sketch"].to_pylist()), g["tried"].to_pylist()
+            found = set()
+            for i in range(len(comp)):
+                js = np.flatnonzero((comp != comp[i]) & ((role == 0) | (role[i] == 0)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
+                if tried[i]:
+                    js = js[~np.isin(node[js], tried[i])]
                 if len(js):
                     far = np.bitwise_count(s[js] ^ s[i]).sum(axis=1, dtype=np.int64)
                     ok = (den + num) * far <= (den - num) * (n[js] + n[i])
-                    found += [(min(node[i], y), max(node[i], y), f) for y, f in zip(node[js[ok]].tolist(), far[ok].tolist(), strict=True)]
+                    js = js[ok][np.lexsort((node[js[ok]], far[ok]))[:each]]
+                    found.update((min(int(node[i]), y), max(int(node[i]), y)) for y in node[js].tolist())
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(found), strict=True)], ["a", "b"])
 
     rows = rows.repartition("sig", "cell").sortWithinPartitions("sig", "cell")
-    return staged(rows.mapInArrow(compare, "a long, b long, far long").distinct(), "open-pairs")
+    return staged(rows.mapInArrow(compare, "a long, b long").distinct(), "open-pairs")
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -324,19 +335,19 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, ref
     links = _verified(stars.select(F.col("rep").alias("a"), F.col("node").alias("b")), sets, num, den)
     labels = _labelled(links, sets)
 
-    left = _open_pairs(groups, labels, sets, num, den)
-    each = 1
+    rows, bad, each = _open(groups, labels), None, 1
     while True:
-        two = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        left = staged(left.join(labels.withColumnRenamed("node", "a"), "a").join(two, "b").where("comp <> cb").select("a", "b", "far", "comp", "cb"), "open-pairs")
-        if left.isEmpty():
+        both = bad.union(bad.select("b", "a")).groupBy("a").agg(F.collect_set("b")) if bad else sets.select("node", F.array("node")).limit(0)
+        pairs = _open_pairs(rows, sets, both.toDF("node", "tried"), each, num, den)
+        if pairs.isEmpty():
             break
-        rank = F.row_number().over(Window.partitionBy("a", "cb").orderBy("far", "b"))
-        turn = left.withColumn("turn", rank)
-        links = staged(links.union(_verified(turn.where(F.col("turn") <= each), sets, num, den)), "links")
+        good = _verified(pairs, sets, num, den)
+        wrong = pairs.join(good, ["a", "b"], "left_anti")
+        bad = staged(bad.union(wrong) if bad else wrong, "excluded")
+        links = staged(links.union(good), "links")
         labels = _labelled(links, sets)
-        left = staged(turn.where(F.col("turn") > each).select("a", "b", "far"), "open-pairs")
-        each *= 8
+        rows = _open(rows, labels)
+        each *= 2  # nearest first; more at a time where these don't join
 
     rows = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least_id = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
