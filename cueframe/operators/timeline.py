@@ -91,15 +91,13 @@ def hop_chunks(tracks: DataFrame, length_ms: int = 600_000, overlap_ms: int = 10
 
 def word_rows(segments: DataFrame) -> DataFrame:
     """A row for each token; a token's time grows with its quarter length, rounded up, and the last ends with its row."""
-    parts = F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))
-    rows = segments.withColumn("_parts", parts).where(F.size("_parts") > 0)
-    units = F.transform("_parts", lambda x: F.ceil(F.length(x) / 4))
-    rows = rows.withColumn("_units", units).withColumn("_total", F.aggregate("_units", F.lit(0).cast("long"), lambda a, x: a + x))
-    rows = rows.withColumn("_per", (F.col("end_ms") - F.col("start_ms")) / F.col("_total"))
-    rows = rows.select("track_id", "seg_idx", "start_ms", "end_ms", "_per", "_units", F.posexplode("_parts").alias("word_idx", "word"))
-    own = F.element_at("_units", F.col("word_idx") + 1)
-    ahead = F.aggregate(F.slice("_units", F.lit(1), F.col("word_idx")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return rows.select("track_id", "seg_idx", "word_idx", "word", (F.col("start_ms") + ahead * F.col("_per")).cast("long").alias("word_start"), F.least((F.col("start_ms") + (ahead + own) * F.col("_per")).cast("long"), "end_ms").alias("word_end"))
+    parts = F.posexplode(F.regexp_extract_all("text", F.lit(T.TOKEN), F.lit(0))).alias("word_idx", "word")
+    rows = segments.select("track_id", "seg_idx", "start_ms", "end_ms", parts).withColumn("_u", F.ceil(F.length("word") / 4))
+    row = Window.partitionBy("track_id", "seg_idx")
+    upto = F.sum("_u").over(row.orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"_upto": upto, "_per": (F.col("end_ms") - F.col("start_ms")) / F.sum("_u").over(row)})
+    start = (F.col("start_ms") + (F.col("_upto") - F.col("_u")) * F.col("_per")).cast("long")
+    return rows.select("track_id", "seg_idx", "word_idx", "word", start.alias("word_start"), F.least((F.col("start_ms") + F.col("_upto") * F.col("_per")).cast("long"), "end_ms").alias("word_end"))
 
 
 def batches(segments: DataFrame, size: int = 20) -> DataFrame:

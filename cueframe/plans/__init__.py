@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cueframe.plans import text, timeline
+from cueframe.plans import stages, text, timeline
 
-MODULES = (text, timeline)
+MODULES = (text, timeline, stages)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +39,13 @@ def dub_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DUB = """dub AS (SELECT conv_id AS track_id, turn AS seg_idx, role AS speaker, coalesce(text, '') AS text, turn * 700 AS start_ms, turn * 700 + length(coalesce(text, '')) * 60 AS end_ms,
   CAST(length(coalesce(text, '')) * 60 AS BIGINT) AS audio_ms FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"""
+
+
+def checkpointed(spark: SparkSession) -> None:
+    """Sees to a checkpoint folder: the cluster's own, or a temporary one in a local session."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cueframe-"))
