@@ -1,7 +1,9 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are sorted by host and URL path over range partitions, so a large host spreads over many tasks, and each page is
-paired with the page before it (the first of a host with the one behind it). The text lines of both are aligned by
+A first pass leaves hashes of each page's lines; these are sorted by host and URL path over range partitions, so a large
+host spreads over many tasks, and each page is paired with the page before it (the first of a host with the one behind
+it). A second pass takes from each page the lines that the pairing has named, so whole pages are never shuffled unless
+these names are too many to broadcast. The text lines of both are aligned by
 longest common subsequence, and lines that they share are deleted: menus, notices and the like recur, articles don't.
 Markup speaks first where there is any: elements that are boilerplate by name, role or class are left out, and lines in
 an article or main element are kept even if the other page has them. A page without such an element whose every line is
@@ -145,14 +147,11 @@ def common(a: list, b: list, memory: int = 1 << 30) -> set[int]:
     return out
 
 
-def difference(own: list[str], main: list[bool], other: list[str] | None) -> str:
-    """The lines of a page that stay beside the page it is paired with."""
-    if other:
-        loose = [i for i, m in enumerate(main) if not m]
-        shared = {loose[i] for i in common([own[i] for i in loose], other)} if loose else set()
-        if len(shared) < len(own):
-            own = [x for i, x in enumerate(own) if i not in shared]
-    return "\n".join(own)
+def shared_lines(own: list[int], main: list[bool], other: list[int] | None) -> list[int]:
+    """The places of the lines that go because the paired page has them; none if all lines would go."""
+    loose = [i for i, m in enumerate(main) if not m] if other else []
+    out = sorted(loose[i] for i in common([own[i] for i in loose], other)) if loose else []
+    return out if len(out) < len(own) else []
 
 
 # --- pairing ---------------------------------------------------------------------------------------------------------
@@ -166,62 +165,90 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?(.*)$", 1)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for each row of pages (page_id, url, html).
+STEP = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("shared", pa.list_(pa.int32())), ("waits", pa.int32()), ("own", pa.list_(pa.int64())), ("main", pa.list_(pa.bool_()))])
+FIELDS = "page_id long, url string, key long, host string, path string"
 
-    A null or empty page has the empty text; pages without a host are paired among themselves; repeated rows are each
-    other's neighbours. Other columns are not read. No rows give no rows.
-    """
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    order = ["host", "path", "url", "page_id"]
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """The line hashes of each distinct page, written as a table: what pairing moves instead of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flow() -> Iterator[tuple]:
-            for batch in slices(batches, "html"):
-                yield from zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "host", "path")), map(lines, batch.column("html").to_pylist()), strict=True)
+        from xxhash import xxh3_64_intdigest
 
-        out: list[tuple] = []
+        for batch in slices(batches, "html"):
+            pages = [lines(h) for h in batch.column("html").to_pylist()]
+            own = [[xxh3_64_intdigest(x) - 2**63 for x in p[0]] for p in pages]
+            columns = [batch.column(c) for c in ("page_id", "url", "key", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.list_(pa.int64())), pa.array([p[1] for p in pages], pa.list_(pa.bool_()))], ["page_id", "url", "key", "host", "path", "own", "main"])
 
-        def rows_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(STEP.names, x, strict=True)) for x in out], STEP)
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).select("page_id", "url", "key", "host", "path", "html")
+    return staged(rows.mapInArrow(run, f"{FIELDS}, own array<long>, main array<boolean>").dropDuplicates(["page_id", "url", "key"]), "page-lines")
+
+
+def decisions(hashed: DataFrame) -> DataFrame:
+    """(page_id, url, key, shared) of the pages that lose lines, written as a table."""
+    order = ["host", "path", "url", "page_id", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flow() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "key", "host", "path", "own", "main")), strict=True)
 
-        before, row, found = None, None, flow()
+        out, before, found = [], None, flow()
         row = next(found, None)
-        first = True
         while row:
             after = next(found, None)
-            page_id, url, host, path, (own, main) = row
-            pair = before if before and before[2] == host else after if after and after[2] == host else None
-            text = difference(own, main, pair[4][0] if pair else None)
-            waits = 1 if first else 2 if not pair and not after else 0  # for the last of the partition before, or the first of the next
-            out.append((page_id, url, host, path, text, waits, own if first or not after else None, main if first or not after else None))
-            before, row, first = row, after, False
-            if len(out) >= 500:
-                yield rows_of(out)
+            page_id, url, key, host, path, own, main = row
+            pair = before if before and before[3] == host else after if after and after[3] == host else None
+            shared = shared_lines(own, main, pair[5] if pair else None)
+            edge = not before or not after
+            waits = 1 if not before else 2 if not pair and not after else 0  # for the last of the partition before, or the first of the next
+            if shared or edge:
+                out.append((page_id, url, key, host, path, shared, waits, own if edge else None, main if edge else None))
+            before, row = row, after
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_pylist([dict(zip(STEP.names, x, strict=True)) for x in out], STEP)
                 out = []
         if out:
-            yield rows_of(out)
+            yield pa.RecordBatch.from_pylist([dict(zip(STEP.names, x, strict=True)) for x in out], STEP)
 
-    fields = "page_id long, url string, host string, path string, text string, waits int, own array<string>, main array<boolean>"
-    done = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, fields)
-    done = staged(done, "page-texts")
+    done = hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{FIELDS}, shared array<int>, waits int, own array<long>, main array<boolean>")
+    done = staged(done, "page-pairs")
     edges = done.where("own is not null")  # two rows for each partition at most
     by = Window.orderBy(*order)
     sides = {f"{name}_{c}": f(c).over(by) for name, f in (("before", F.lag), ("after", F.lead)) for c in ("host", "own")}
     other = F.when(F.col("before_host") == F.col("host"), F.col("before_own")).when((F.col("waits") == 2) & (F.col("after_host") == F.col("host")), F.col("after_own"))
-    edges = edges.withColumns(sides).where("waits > 0").select("page_id", "url", "text", "own", "main", other.alias("other"))
+    edges = edges.withColumns(sides).where("waits > 0").select("page_id", "url", "key", "shared", "own", "main", other.alias("other"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if o is None else difference(a, m, o) for t, a, m, o in zip(*(batch.column(c).to_pylist() for c in ("text", "own", "main", "other")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+            shared = [s if o is None else shared_lines(a, m, o) for s, a, m, o in zip(*(batch.column(c).to_pylist() for c in ("shared", "own", "main", "other")), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "key")), pa.array(shared, pa.list_(pa.int32()))], ["page_id", "url", "key", "shared"])
+
+    both = done.where("waits = 0").select("page_id", "url", "key", "shared").unionByName(edges.mapInArrow(again, "page_id long, url string, key long, shared array<int>"))
+    return staged(both.where("size(shared) > 0"), "shared-lines")
+
 
-    both = done.where("waits = 0").select("page_id", "url", "text").unionByName(edges.mapInArrow(again, "page_id long, url string, text string"))
-    return both.withColumn("n_chars", F.length("text").cast("long"))
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars for each row of pages (page_id, url, html).
 
+    A null or empty page has the empty text; pages without a host are paired among themselves; repeated rows (equal in
+    all three columns) are one page when paired, and get equal texts. Other columns are not read. No rows give no rows.
+    """
+    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("key", F.xxhash64("html"))
+    gone = decisions(_hashed(rows)).select(*(F.col(c).alias(f"_{c}") for c in ("page_id", "url", "key", "shared")))
+    same = F.col("page_id").eqNullSafe(F.col("_page_id")) & F.col("url").eqNullSafe(F.col("_url")) & (F.col("key") == F.col("_key"))
+    joined = rows.join(gone, same, "left").select("page_id", "url", "html", F.col("_shared").alias("shared"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html"):
+            texts = []
+            for page, shared in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+                own, drop = lines(page)[0], set(shared or ())
+                texts.append("\n".join(x for i, x in enumerate(own) if i not in drop))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-STEP = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("waits", pa.int32()), ("own", pa.list_(pa.string())), ("main", pa.list_(pa.bool_()))])
+    return joined.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
