@@ -16,7 +16,14 @@ WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch while queries of this package run: texts are long, and JVM and worker both hold whole batches.
+BATCH_ROWS = "2000"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the driver's; the queries' entry, so it also keeps Arrow batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > int(BATCH_ROWS):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -93,7 +100,7 @@ def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that each holds about size bytes of text, or one longer row."""
     for batch in batches:
         col = batch.column(text).cast(pa.large_string())
@@ -103,6 +110,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        del batch, col, ends
+        pa.default_memory_pool().release_unused()  # workers live on: what this task took is there for the next
 
 
 def words(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, list[bytes], np.ndarray]:

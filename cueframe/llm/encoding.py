@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from cueframe.llm.common import _LOWER, _SPACE, buffers
 
-MEMO = 700_000  # stretches a worker remembers
+MEMO = 250_000  # stretches a worker remembers
 LONG = 256  # longer stretches are encoded each time
 
 

@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary_path)
-        for batch in slices(batches, size=8 << 20):
+        for batch in slices(batches, size=2 << 20):
             ids, at = encode.encode(batch.column("text"))
             row, piece, start, length, crc = [], [], [], [], []
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):

@@ -49,7 +49,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary_path: str, id_size: int
         system.create_dir(path.rsplit("/", 1)[0])
         sizes, record = [], 0
         with system.open_output_stream(path) as out:
-            for batch in slices(batches, size=8 << 20):
+            for batch in slices(batches, size=2 << 20):
                 ids, at = encode.encode(batch.column("text"))
                 if len(ids) and int(ids.max()) >> (8 * id_size):
                     raise ValueError(f"an id does not fit {id_size} bytes")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import id_crc, read, slices, staged, words
+from cueframe.llm.common import buffers, id_crc, read, slices, staged, words
 
 MAX_LABELLED = 20_000  # labelled rows to learn from, the first in hash order: the bound of everything that is collected
 MAX_FEATURES = 1_500  # induced features of each kind
@@ -91,22 +91,24 @@ def _views(text: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, tu
         pairs.append((row[hit], base + at[hit]))
         base += len(lexicon.hashes[kind])
     insult = np.bincount(row[bad[index]], minlength=rows) if len(index) else np.zeros(rows)
-    raw = [x.encode() for x in text.to_pylist()]
-    lower = [x.lower() for x in raw]
     share = weak.max(axis=1) / np.maximum(per_row, 1)
-    caps = np.array([sum(map(x.count, (b"!!", b"! !"))) for x in raw])
-    shout = np.array([_shouting(x) for x in raw])
-    address = np.array([bool(ADDRESS.search(x)) for x in lower], bool) & (insult + strong[:, 0] > 0)
-    votes = [strong[:, 0] > 0, strong[:, 0] > 1, strong[:, 0] > 3, strong[:, 1] > 1, strong[:, 2] > 1, strong[:, 3] > 1, weak.max(axis=1) > 2, share > 0.02, insult > 0, insult > 1, address, shout, caps > 1, (weak.sum(axis=1) + insult) == 0]
+    raw, offsets = buffers(text)
+    upper, letters = _per_row((raw >= 65) & (raw <= 90), offsets), _per_row(((raw | 32) >= 97) & ((raw | 32) <= 122), offsets)
+    shout = (upper > 20) & (3 * upper > letters)
+    marks = np.zeros(len(raw), bool)
+    marks[1:] = (raw[1:] == 33) & (raw[:-1] == 33)
+    address = np.zeros(rows, bool)
+    for i in np.flatnonzero(insult + strong[:, 0]):  # only beside an insult
+        address[i] = ADDRESS.search(raw[offsets[i] : offsets[i + 1]].tobytes().lower()) is not None
+    votes = [strong[:, 0] > 0, strong[:, 0] > 1, strong[:, 0] > 3, strong[:, 1] > 1, strong[:, 2] > 1, strong[:, 3] > 1, weak.max(axis=1) > 2, share > 0.02, insult > 0, insult > 1, address, shout, _per_row(marks, offsets) > 1, (weak.sum(axis=1) + insult) == 0]
     mask = sum(np.asarray(v, bool).astype(np.int64) << i for i, v in enumerate(votes)) if rows else np.zeros(0, np.int64)
     dense = np.column_stack([np.log1p(strong), np.log1p(weak), np.log1p(insult), np.sqrt(share), np.sqrt(strong.max(axis=1) / np.maximum(per_row, 1))]) if rows else np.zeros((0, DENSE))
     return mask, dense, (np.concatenate([p for p, _ in pairs]), np.concatenate([f for _, f in pairs]))
 
 
-def _shouting(text: bytes) -> bool:
-    upper = sum(text.count(bytes([c])) for c in range(65, 91))
-    letters = sum(c > 64 for c in text[:2000]) and len(text)
-    return upper > 20 and upper * 3 > letters
+def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    ahead = np.concatenate([[0], np.cumsum(flags)])
+    return ahead[offsets[1:]] - ahead[offsets[:-1]]
 
 
 # --- the label model -------------------------------------------------------------------------------------------------
@@ -226,15 +228,17 @@ def induce(texts: DataFrame, positives: int, negatives: int) -> Lexicon:
             hashed, _ = _hashes(distinct)
             row, y = np.repeat(np.arange(len(per_row)), per_row), batch.column("y").to_numpy()
             for kind in range(KINDS):
-                f = hashed[index, kind] if len(index) else np.zeros(0, np.uint64)
-                pair = np.unique(np.stack([f[f > 0], row[f > 0].astype(np.uint64)], axis=1), axis=0)
-                which, n = np.unique(np.stack([pair[:, 0], y[pair[:, 1].astype(int)].astype(np.uint64)], axis=1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(which), kind), pa.int32()), "f": pa.array(np.ascontiguousarray(which[:, 0]).view(np.int64)), "pos": pa.array(np.where(which[:, 1] == 1, n, 0)), "neg": pa.array(np.where(which[:, 1] == 1, 0, n))})
+                f, place = np.unique(hashed[:, kind], return_inverse=True)
+                pairs = np.unique(place[index] * len(y) + row) if len(index) else np.zeros(0, np.int64)
+                where, toxic = pairs // max(1, len(y)), y[pairs % max(1, len(y))] == 1
+                pos, neg = np.bincount(where[toxic], minlength=len(f)), np.bincount(where[~toxic], minlength=len(f))
+                own = f > 0
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(own.sum(), kind), pa.int32()), "f": pa.array(f[own].view(np.int64)), "pos": pos[own], "neg": neg[own]})
 
     sums = texts.mapInArrow(count, "kind int, f long, pos long, neg long").groupBy("kind", "f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (positives + 1)) - F.log((F.col("neg") + 0.5) / (negatives + 1))
     least = max(3, positives // 400)
-    found = sums.withColumn("odds", odds).where((F.col("odds") >= WEAK) & (F.col("pos") >= least))
+    found = staged(sums.withColumn("odds", odds).where((F.col("odds") >= WEAK) & (F.col("pos") >= least)), "induced")
     lexicon = Lexicon([], [])
     for kind in range(KINDS):
         best = found.where(F.col("kind") == kind).orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "f").limit(MAX_FEATURES).toPandas()
