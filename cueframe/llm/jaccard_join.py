@@ -150,8 +150,8 @@ def refined(own: np.ndarray, role: int, hot: int, num: int, den: int) -> np.ndar
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """Parities of the set in at least 4 bits a shingle; the bits in which two sets differ are no more than the shingles."""
-    bits = 1 << max(6, (4 * len(own) - 1).bit_length())
+    """Parities of the set in at least 2 bits a shingle; the bits in which two sets differ are no more than the shingles."""
+    bits = 1 << max(6, (2 * len(own) - 1).bit_length())
     return np.packbits((np.bincount((mix(own + U64(0x2545F4914F6CDD1D)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
 
