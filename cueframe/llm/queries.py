@@ -5,6 +5,7 @@ from __future__ import annotations
 from cueframe.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from cueframe.llm.html_text import op10_html_text
 from cueframe.llm.jaccard_join import op6_jaccard_join
+from cueframe.llm.license_scan import op7_license_scan
 from cueframe.llm.packing import op9_best_fit_packing
 from cueframe.llm.ppm import op3_ppm_scores
 from cueframe.llm.source_mix import OP1_SQL, op1_source_mix
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_token_files": op5_token_files,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_html_text": op10_html_text,
