@@ -7,11 +7,9 @@ seen; as a shorter context has seen all that its extensions have, the excluded c
 only, and are kept with it. So the log probability of a symbol is one look-up if its longest gram is known, and a walk
 down the trie otherwise, for all positions of a batch of texts at once.
 
-Workers read the grams from the shared folder. Their number is bounded: an order of more than max_nodes grams keeps those
-whose count reaches the smallest power of two that fits, and what isn't kept is coded by escape, as unseen symbols are.
-
-Unigram counts have no bound, so only the most frequent words (HEAD at most) go to the workers; the others' counts reach
-their documents by a join on word hashes.
+Neither the trie nor the unigram counts have a bound, so only the most frequent of the longest grams (MAX_NODES at most,
+with their log probabilities) and words (HEAD at most) go to the workers. The other grams of a document, seldom or never
+seen, get theirs by joins with the tables of all grams and contexts, the other words' counts by a join on word hashes.
 """
 
 from __future__ import annotations
@@ -24,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueframe.llm.common import _LOWER, buffers, id_crc, read, slices, staged, words
 
 ORDER = 4
-MAX_NODES = 4_000_000  # grams of an order
+MAX_NODES = 4_000_000  # grams whose log probabilities every worker holds
 HEAD = 400_000  # words whose counts every worker holds
 END, BEGIN, BITS = 256, 257, 9  # symbols besides the bytes, and bits of a symbol
 SLICE = 2 << 20
@@ -61,8 +59,8 @@ def grams(text: pa.Array, order: int, which: np.ndarray | None = None) -> tuple[
     return key[inside], np.concatenate([[0], np.cumsum(n + 1)])
 
 
-def count_grams(texts: DataFrame, order: int, max_nodes: int) -> DataFrame:
-    """(ord, gram, c): the trie over all rows of texts (text), written as a table."""
+def count_levels(texts: DataFrame, order: int) -> list[DataFrame]:
+    """By order, (gram, c): all grams of all rows of texts (text), written as tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=SLICE):
@@ -72,10 +70,14 @@ def count_grams(texts: DataFrame, order: int, max_nodes: int) -> DataFrame:
     level = texts.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
     levels = [staged(level, "grams")]
     for k in range(order, 0, -1):
-        shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
-        levels.append(staged(levels[-1].groupBy(shorter.alias("gram")).agg(F.sum("c").alias("c")), "grams"))
+        levels.append(staged(levels[-1].groupBy(_suffix("gram", k).alias("gram")).agg(F.sum("c").alias("c")), "grams"))
+    return levels[::-1]
+
+
+def count_grams(texts: DataFrame, order: int, max_nodes: int) -> DataFrame:
+    """(ord, gram, c): a trie of at most max_nodes grams an order, small enough for a `Trie`. Scores use count_levels."""
     least, out = 1, None
-    for k, level in enumerate(reversed(levels)):  # shorter orders never keep less than longer ones
+    for k, level in enumerate(count_levels(texts, order)):  # shorter orders never keep less than longer ones
         while level.where(F.col("c") >= least).count() > max_nodes:
             least *= 2
         level = level.where(F.col("c") >= least).select(F.lit(k).alias("ord"), "gram", "c")
@@ -83,6 +85,59 @@ def count_grams(texts: DataFrame, order: int, max_nodes: int) -> DataFrame:
     return staged(out, "trie")
 
 
+def _suffix(gram: str, symbols: int) -> Column:
+    return F.col(gram).bitwiseAND(F.lit((1 << BITS * symbols) - 1))
+
+
+def _context(gram: Column) -> Column:
+    return F.shiftright(gram, BITS)
+
+
+def count_contexts(levels: list[DataFrame]) -> list[DataFrame]:
+    """By order, of each context: log10 of its escape and denominator, plain, and after an escape from it (x_).
+
+    A group here is the symbols of a context or the extensions of a gram by one symbol, so 258 rows at most.
+    """
+    out, below = [], None
+    for k, level in enumerate(levels):
+        rows = level
+        if k:  # what the shorter context has counted of the same symbol is the sum over its extensions
+            rows = rows.withColumn("seen", F.sum("c").over(Window.partitionBy(_suffix("gram", k))))
+        sums = rows.groupBy(_context(F.col("gram")).alias("context")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), *([F.sum("seen").alias("seen")] if k else []))
+        if k:
+            low = below.select(F.col("context").alias("low"), F.col("total").alias("low_total"), F.col("kinds").alias("low_kinds"))
+            sums = sums.withColumn("low", _suffix("context", k - 1)).join(F.broadcast(low) if k <= 3 else low, "low")
+            rest, kinds = F.col("low_total") - F.col("seen"), F.col("low_kinds") - F.col("kinds")
+        else:
+            rest = kinds = F.lit(0)
+        below = staged(sums.select("context", "total", "kinds", rest.alias("rest"), kinds.alias("rest_kinds")), "contexts")
+        whole, rest = F.col("total") + F.col("kinds"), F.col("rest") + F.col("rest_kinds")
+        out.append(below.select(
+            "context", F.log10(F.col("kinds") / whole).alias("escape"), F.log10(whole.cast("double")).alias("under"),
+            F.when(F.col("rest_kinds") > 0, F.log10(F.col("rest_kinds") / rest)).otherwise(F.lit(0.0)).alias("x_escape"), F.log10(F.greatest(rest, F.lit(1)).cast("double")).alias("x_under"),
+        ))
+    return out
+
+
+def log_chances(keys: DataFrame, levels: list[DataFrame], contexts: list[DataFrame]) -> DataFrame:
+    """(gram, lp) for the distinct longest grams of keys (gram) that levels don't have: a walk down the trie by joins."""
+    order = len(levels) - 1
+    rows = keys.select("gram", F.lit(0.0).alias("lp"), F.lit(False).alias("done"), F.lit(None).cast("double").alias("escape"), F.lit(None).cast("double").alias("under"))
+    for k in range(order, -1, -1):
+        context = contexts[k].toDF("_context", "_escape", "_under", "_x_escape", "_x_under")
+        rows = rows.withColumn("_context", _context(_suffix("gram", k + 1))).join(F.broadcast(context) if k <= 2 else context, "_context", "left")
+        if k < order:
+            level = levels[k].select(F.col("gram").alias("_gram"), F.col("c").alias("_c"))
+            rows = rows.withColumn("_gram", _suffix("gram", k + 1)).join(F.broadcast(level) if k <= 1 else level, "_gram", "left")
+        else:
+            rows = rows.withColumn("_c", F.lit(None).cast("long"))
+        escape, under = F.coalesce("escape", "_escape", F.lit(0.0)), F.coalesce("under", "_under")
+        gain = F.when(F.col("done"), 0.0).when(F.col("_c").isNotNull(), F.log10(F.col("_c").cast("double")) - under).otherwise(escape)
+        rows = rows.select("gram", (F.col("lp") + gain).alias("lp"), (F.col("done") | F.col("_c").isNotNull()).alias("done"), F.col("_x_escape").alias("escape"), F.col("_x_under").alias("under"))
+    left = math.log10(max(1, END + 1 - levels[0].count()))
+    return rows.select("gram", F.when(F.col("done"), F.col("lp")).otherwise(F.col("lp") - left).alias("lp"))
+
+
 class Table:
     """A hash table from uint64 keys to their places, looked up for arrays of keys."""
 
@@ -188,15 +243,10 @@ def _rows(path: str) -> pa.Table:
 
 
 @lru_cache(1)
-def load_trie(path: str, order: int) -> Trie:
-    """One per Python worker; path: the written table of count_grams."""
-    rows, levels = _rows(path), []
-    k, gram, c = rows["ord"].to_numpy(), rows["gram"].to_numpy().view(np.uint64), rows["c"].to_numpy()
-    for i in range(order + 1):
-        own = np.flatnonzero(k == i)
-        own = own[np.argsort(gram[own])]
-        levels.append((gram[own], c[own]))
-    return Trie(levels)
+def load_grams(path: str) -> tuple[Table, np.ndarray]:
+    """One per Python worker: grams and their log10 probabilities."""
+    rows = _rows(path)
+    return Table(rows["gram"].to_numpy().view(np.uint64)), rows["lp"].to_numpy()
 
 
 @lru_cache(1)
@@ -238,7 +288,14 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES,
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", id_crc(F.col("doc_id")) % 7 == 2)
     training = rows.where("not held_out")
-    trie, counts = count_grams(training, order, max_nodes), count_words(training)
+    levels, counts = count_levels(training, order), count_words(training)
+    contexts = count_contexts(levels)
+    direct = levels[-1].withColumn("context", _context(F.col("gram"))).join(contexts[-1], "context")
+    direct = staged(direct.select("gram", "c", (F.log10(F.col("c").cast("double")) - F.col("under")).alias("lp")), "chances")
+    often = 1
+    while direct.where(F.col("c") >= often).count() > max_nodes:
+        often *= 2
+    held = staged(direct.where(F.col("c") >= often).select("gram", "lp"), "head-grams")
     least = 1
     while counts.where(F.col("c") >= least).count() > head:
         least *= 2
@@ -246,39 +303,51 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES,
     ends = training.count()
     vocabulary, total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     vocabulary, total = vocabulary + (ends > 0), total + ends
-    trie_path, head_path = trie.inputFiles(), top.inputFiles()
-    trie_path, head_path = (p[0].rsplit("/", 1)[0] for p in (trie_path, head_path))
+    gram_path, head_path = (t.inputFiles()[0].rsplit("/", 1)[0] for t in (held, top))
     floor, end = math.log10(total + vocabulary + 1), math.log10(ends + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (table, often) = load_trie(trie_path, order), load_head(head_path)
+        (model, lp), (table, counted) = load_grams(gram_path), load_head(head_path)
         for batch in slices(batches, size=SLICE):
             text = batch.column("text")
             index, distinct, per_row = words(text)
             hashed = _word_hashes(distinct)
             at = table.find(hashed)
             known = at >= 0
-            gain = np.where(known, np.log10(often[at] + 1) if len(often) else 0.0, 0.0)
+            gain = np.where(known, np.log10(counted[at] + 1) if len(counted) else 0.0, 0.0)
             row = np.repeat(np.arange(len(per_row)), per_row)
             rare = ~known[index] if len(index) else np.zeros(0, bool)
             pairs = (row[rare] << 32) | index[rare]
             pairs, times = np.unique(pairs, return_counts=True)
             cuts = np.searchsorted(pairs >> 32, np.arange(len(per_row) + 1)).astype(np.int32)
+            key, ends = grams(text, order)
+            at = model.find(key)
+            score = np.add.reduceat(np.where(at >= 0, lp[at] if len(lp) else 0.0, 0.0), ends[:-1]) if len(text) else np.zeros(0)
+            other, place = np.unique(key[at < 0], return_inverse=True)
+            others, other_times = np.unique((np.repeat(np.arange(len(text)), np.diff(ends))[at < 0] << 32) | place, return_counts=True)
+            other_cuts = np.searchsorted(others >> 32, np.arange(len(text) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n": per_row + 1,
                 "known": np.bincount(row[~rare], minlength=len(per_row)), "base": np.bincount(row, gain[index] if len(index) else None, len(per_row)) if len(index) else np.zeros(len(per_row)),
-                "score": model.scores(text),
+                "score": score,
                 "rare": pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashed[pairs & 0xFFFFFFFF].view(np.int64) if len(pairs) else np.zeros(0, np.int64))),
                 "times": pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int64))),
+                "other": pa.ListArray.from_arrays(pa.array(other_cuts), pa.array(other[others & 0xFFFFFFFF].view(np.int64) if len(others) else np.zeros(0, np.int64))),
+                "other_times": pa.ListArray.from_arrays(pa.array(other_cuts), pa.array(other_times.astype(np.int64))),
             })
 
-    fields = "doc_id long, held_out boolean, n long, known long, base double, score double, rare array<long>, times array<long>"
+    fields = "doc_id long, held_out boolean, n long, known long, base double, score double, rare array<long>, times array<long>, other array<long>, other_times array<long>"
     scored = rows.mapInArrow(run, fields)
     scored = staged(scored.withColumn("rid", F.monotonically_increasing_id()), "scores")
     pairs = scored.where(F.size("rare") > 0).select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("w"), F.col("x.times").alias("times"))
     found = pairs.join(counts.where(F.col("c") < least), "w")
     more = found.groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_base"), F.sum("times").alias("more_known"))
-    out = scored.drop("rare", "times").join(more, "rid", "left")
+    others = scored.where(F.size("other") > 0).select("rid", F.explode(F.arrays_zip("other", "other_times")).alias("x")).select("rid", F.col("x.other").alias("gram"), F.col("x.other_times").alias("times"))
+    seldom = direct.where(F.col("c") < often).select("gram", "lp")
+    never = staged(others.select("gram").distinct().join(seldom, "gram", "left_anti"), "unseen-grams")
+    chances = seldom.union(staged(log_chances(never, levels, contexts), "unseen-chances"))
+    more_score = others.join(chances, "gram").groupBy("rid").agg(F.sum(F.col("times") * F.col("lp")).alias("more_score"))
+    out = scored.drop("rare", "times", "other", "other_times").join(more, "rid", "left").join(more_score, "rid", "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -286,7 +355,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES,
         (F.col("known") + F.coalesce("more_known", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + end - F.col("n") * floor).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

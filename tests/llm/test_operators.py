@@ -212,6 +212,20 @@ def test_pruned_trie_is_a_distribution(spark):
         assert (10 ** trie.log10(key)).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("max_nodes", [0, 60])
+def test_grams_outside_the_head_count_in_full(spark, max_nodes):
+    docs = table(spark, [x for x in corpus(n=60) if len(x[1] or "") < 2000] + [(500, "zzz \u00fc q!", "a"), (505, "zzz w1 \u00fc", "a")])
+    whole, part = ({x.doc_id: x.score for x in ppm.score_texts(docs, order=3, max_nodes=m).collect()} for m in (10**9, max_nodes))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).toPandas()
+    held_out = np.array([zlib.crc32(("" if i != i else str(int(i))).encode()) % 7 == 2 for i in texts["doc_id"]])
+    rows = ppm.count_grams(spark.createDataFrame([(t,) for t in texts["text"][~held_out]], "text string"), 3, 10**9).toPandas()
+    levels = [rows[rows["ord"] == k].sort_values("gram") for k in range(4)]
+    want = ppm.Trie([(x["gram"].to_numpy().astype(np.uint64), x["c"].to_numpy()) for x in levels]).scores(pa.array(texts["text"].tolist()))
+    for i, score in zip(texts["doc_id"], want, strict=True):
+        i = None if i != i else int(i)
+        assert part[i] == pytest.approx(whole[i], rel=1e-9) and part[i] == pytest.approx(score, rel=1e-9)
+
+
 def test_adaptive_code_length(spark):
     assert ppm.adaptive_log10("") == pytest.approx(-math.log10(257))
     assert ppm.adaptive_log10("abcabcabcabcabc") > ppm.adaptive_log10("qwertyuiopasdfg")
