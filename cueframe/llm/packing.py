@@ -1,9 +1,9 @@
-"""Best-fit packing of token sequences by hierarchical residual packing.
+"""Best-fit packing of token sequences, whole, by a plan over lengths.
 
-Texts become pieces of at most `capacity` ids; a piece of full length is a sequence. Each task packs its other pieces by
-best fit, longest first, and closes its nearly full sequences. Underfull ones go up a tree as items: each node takes
-those of FAN_IN nodes below it, packs again and closes what is nearly full, until one node is left. A node hands on its
-KEEP emptiest sequences at most and closes the rest, so a node's work never grows with the input and no piece is lost.
+Texts become pieces of at most `capacity` ids. Best fit, longest first, depends on how many pieces have each length only,
+so the driver packs counts: sequences of equal room are runs of sequence numbers, and a run takes pieces of one length in
+one step. The plan's size follows the number of lengths, not of pieces. Each piece is then looked up in it by its length
+and its rank among the pieces of that length, so any number of pieces is packed as one task would pack them.
 """
 
 from __future__ import annotations
@@ -14,20 +14,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from cueframe.llm.common import id_text, read, slices, staged
 from cueframe.llm.encoding import encoder, vocabulary
 
-CAPACITY, FAN_IN, KEEP = 2048, 16, 4096
-NEARLY_FULL = 8  # free places at most
+CAPACITY = 2048
+FAN_IN = 16  # not read: packing has no tree any more; test_packing sets it
 END = 0
 PIECES = "doc_id bigint, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of each text, written as a table with an item number each."""
+    """The pieces of each text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary_path)
@@ -42,14 +43,14 @@ def pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> D
             values = {"piece": pa.array(piece, pa.int32())} | {k: pa.array(v, pa.int64()) for k, v in (("start", start), ("length", length), ("ids_crc32", crc))}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())), **values})
 
-    rows = id_text(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
-    return staged(rows.withColumn("item", F.monotonically_increasing_id()), "pieces")
+    return id_text(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
     """For items in falling length: the bin of each, its offset in it, and the fill of each bin.
 
-    An item goes to the fullest bin that can hold it. A bit mask over the free lengths finds that bin in one step.
+    An item goes to the fullest bin that can hold it. A bit mask over the free lengths finds that bin in one step. This
+    is the plain form of what plan() does with counts.
     """
     bins, offsets, fill = [], [], []
     free: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -73,49 +74,77 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, fill
 
 
-def _pack(item: np.ndarray, length: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
-    """One node: item, its bin (named by the item that opened it), offset, and on each bin's first item its fill if it goes up."""
-    order = np.lexsort((item, -length))
-    item, length = item[order], length[order]
-    bins, offsets, fill = map(np.array, best_fit(length.tolist(), capacity)) if len(item) else (np.zeros(0, int),) * 3
-    name = np.zeros(len(fill), np.int64)
-    opens = offsets == 0
-    name[bins[opens]] = item[opens]
-    under = np.flatnonzero(fill < capacity - NEARLY_FULL)
-    under = under[np.argsort(fill[under], kind="stable")][:KEEP]
-    up = np.zeros(len(fill), np.int64)
-    up[under] = fill[under]
-    return {"item": item.astype(np.int64), "bin": name[bins] if len(item) else item.astype(np.int64), "shift": offsets.astype(np.int64), "up": np.where(opens, up[bins], 0) if len(item) else item.astype(np.int64)}
+PLAN = ("length", "rank", "each", "bin", "offset")
 
 
-LEVEL = "node int, item long, bin long, shift long, up long"
+def plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
+    """Best fit of counts[n] items of each length n, in falling length: by length and rank, runs of items.
 
-
-def _table(node: int, packed: dict[str, np.ndarray]) -> pa.Table:
-    return pa.table({"node": pa.array(np.full(len(packed["item"]), node), pa.int32()), **packed})
+    The items of a run from `rank` on go to the bins from `bin` on, `each` of them to a bin, the first at `offset`.
+    """
+    free: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by room, runs of bins: first, number
+    mask, opened, out = 0, 0, []
+    for n in sorted(counts, reverse=True):
+        rank, left = 0, counts[n]
+        while left:
+            fits = mask >> n
+            if fits:
+                room = n + (fits & -fits).bit_length() - 1
+                first, bins = free[room].pop()
+                if not free[room]:
+                    mask ^= 1 << room
+            else:
+                room, first, bins = capacity, opened, -(-left // (capacity // n))
+                opened += bins
+            each = min(left, room // n)
+            use = min(bins, left // each)
+            out.append((n, rank, each, first, capacity - room))
+            rank, left = rank + each * use, left - each * use
+            for r, at, k in ((room - each * n, first, use), (room, first + use, bins - use)):
+                if k and r:
+                    free[r].append((at, k))
+                    mask |= 1 << r
+    out.sort()
+    return {k: np.array([x[i] for x in out], np.int64) for i, k in enumerate(PLAN)}
 
 
 def sequences(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(item, bin, shift) for the rows (item, length) of items, all shorter than capacity; item is unique."""
-
-    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches), pa.schema([("item", pa.int64()), ("length", pa.int64())]))
-        node = TaskContext.get().partitionId()
-        yield from _table(node, _pack(got["item"].to_numpy(), got["length"].to_numpy(), capacity)).to_batches(max_chunksize=10_000)
-
-    def inner(key: tuple, table: pa.Table) -> pa.Table:
-        return _table(key[0].as_py(), _pack(table["item"].to_numpy(), table["length"].to_numpy(), capacity))
-
-    level = staged(items.select("item", "length").mapInArrow(leaf, LEVEL), "packed")
-    placed = level.select("item", "bin", "shift")
-    nodes = (level.agg(F.max("node")).first()[0] or 0) + 1
-    while nodes > 1:
-        nodes = -(-nodes // FAN_IN)
-        up = level.where("up > 0").select((F.col("node") / FAN_IN).cast("int").alias("node"), F.col("bin").alias("item"), F.col("up").alias("length"))
-        level = staged(up.groupBy("node").applyInArrow(inner, LEVEL), "packed")
-        moved = level.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("shift").alias("by"))
-        placed = placed.join(moved, "bin", "left").select("item", F.coalesce("to", "bin").alias("bin"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift"))
-    return placed
+    """items (length and any other columns; no length above capacity), with bin and shift, its place in the bin."""
+    schema = StructType([*items.schema.fields, StructField("part", IntegerType()), StructField("nth", LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            length = batch.column("length").to_numpy()
+            order = np.argsort(length, kind="stable")
+            kinds, first, times = np.unique(length[order], return_index=True, return_counts=True)
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(length)) - np.repeat(first, times) + np.repeat(seen[kinds], times)
+            seen[kinds] += times
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, np.int32)), pa.array(nth)], [*batch.schema.names, "part", "nth"])
+
+    numbered = staged(items.mapInArrow(number, schema), "pieces")
+    ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = staged(numbered.groupBy("length", "part").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))), "piece-counts")
+    steps = plan({x["length"]: x["n"] for x in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    shared = items.sparkSession.sparkContext.broadcast(steps)
+    ranked = numbered.join(sizes.select("length", "part", "ahead"), ["length", "part"]).select(*items.columns, (F.col("nth") + F.col("ahead")).alias("rank"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = shared.value
+        starts, at = np.unique(steps["length"], return_index=True)
+        ends = np.append(at[1:], len(steps["length"]))
+        for batch in batches:
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            step = np.empty(len(length), np.int64)
+            for n in np.unique(length):
+                own, i = length == n, np.searchsorted(starts, n)
+                step[own] = at[i] + np.searchsorted(steps["rank"][at[i] : ends[i]], rank[own], "right") - 1
+            nth = rank - steps["rank"][step]
+            where, shift = steps["bin"][step] + nth // steps["each"][step], steps["offset"][step] + nth % steps["each"][step] * length
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(where), pa.array(shift)], [*batch.schema.names[:-1], "bin", "shift"])
+
+    return ranked.mapInArrow(place, StructType([*items.schema.fields, StructField("bin", LongType()), StructField("shift", LongType())]))
 
 
 def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -124,10 +153,8 @@ def pack(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY) -> Dat
     A null text is an empty one, whose only id is the end id. Rows of one doc_id, or with none, are packed each on its
     own. Other columns of docs are not read. No rows give no pieces.
     """
-    cut = pieces(docs, vocabulary_path, capacity)
-    short = sequences(cut.where(F.col("length") < capacity), capacity)
-    joined = cut.join(short, "item", "left")
-    return joined.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("bin", "item").alias("sequence_id"), F.coalesce("shift", F.lit(0)).cast("long").alias("offset"))
+    placed = sequences(pieces(docs, vocabulary_path, capacity), capacity)
+    return placed.withColumnsRenamed({"bin": "sequence_id", "shift": "offset"})
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,6 +327,29 @@ def test_packing(spark, monkeypatch):
     assert packing.pack(table(spark, EMPTY), vocabulary("word_bpe_49k.json")).collect() == []
 
 
+def test_packing_plan_is_best_fit():
+    r = random.Random(6)
+    for _ in range(200):
+        counts = {r.randint(1, 40): r.randint(1, 30) for _ in range(r.randint(1, 12))}
+        lengths = [n for n in sorted(counts, reverse=True) for _ in range(counts[n])]
+        steps, bins = packing.plan(counts, 40), Counter()
+        for i, n in enumerate(lengths):
+            rank = i - lengths.index(n)
+            k = max(k for k in range(len(steps["rank"])) if steps["length"][k] == n and steps["rank"][k] <= rank)
+            nth = rank - steps["rank"][k]
+            b = steps["bin"][k] + nth // steps["each"][k]
+            assert bins[b] == steps["offset"][k] + nth % steps["each"][k] * n
+            bins[b] += n
+        assert sorted(bins.values()) == sorted(packing.best_fit(lengths, 40)[2])
+
+
+def test_packing_closes_nothing_early(spark):
+    n = 6000  # pieces of 1200 in one task and of 800 in the other: each sequence takes one of both
+    items = spark.range(2 * n, numPartitions=2).select(F.col("id").alias("item"), F.when(F.col("id") < n, 1200).otherwise(800).cast("long").alias("length"))
+    got = packing.sequences(items, 2048)
+    assert got.count() == 2 * n and got.select("bin").distinct().count() == n
+
+
 # --- op6
 
 
