@@ -1,16 +1,16 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A first pass leaves hashes of each page's lines; these are sorted by host and URL path over range partitions, so a large
-host spreads over many tasks, and each page is paired with the page before it (the first of a host with the one behind
-it). A second pass takes from each page the lines that the pairing has named, so whole pages are never shuffled unless
-these names are too many to broadcast. The text lines of both are aligned by
+host spreads over many tasks, and each page is paired with the nearest page before it that isn't a near copy of it (the
+first ones of a host with the first such page behind them). Pages of a host with equal lines are one in this and lose the
+same lines. A second pass takes from each page the lines that the pairing has named, so whole pages are never shuffled
+unless these names are too many to broadcast. The text lines of both are aligned by
 longest common subsequence, and lines that they share are deleted: menus, notices and the like recur, articles don't.
 Markup speaks first where there is any: elements that are boilerplate by name, role or class are left out, and lines in
-an article or main element are kept even if the other page has them. A page without such an element whose every line is
-shared is a copy of its neighbour, and is kept.
+an article or main element are kept even if the other page has them. A page with no other page than near copies is kept.
 
-The first page of a partition lacks its predecessor. These few pages, and the last of each partition, are paired in a
-second step by a window over two rows per partition.
+The stream carries the last page and the one that it was paired with. Pages that have no partner so far, at the start of
+a host or partition, are paired in a second step, by a window over one row per host and partition of what was carried.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ CUT_WORDS = frozenset(
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*>?|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 SPACES = re.compile(r"\s+")
+NEAR = 0.8  # share of a page's text in shared lines that makes it a near copy
 
 
 def _cut(name: str, attributes: str) -> bool:
@@ -165,10 +167,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?(.*)$", 1)
 
 
-STEP = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("shared", pa.list_(pa.int32())), ("waits", pa.int32()), ("own", pa.list_(pa.int64())), ("main", pa.list_(pa.bool_()))])
+STEP = pa.schema([("host", pa.string()), ("part", pa.int32()), ("sig", pa.int64()), ("kind", pa.string()), ("shared", pa.list_(pa.int32())), ("own", pa.list_(pa.int64())), ("main", pa.list_(pa.bool_())), ("size", pa.list_(pa.int32()))])
 FIELDS = "page_id long, url string, key long, host string, path string"
 
 
+def paired(own: list[int], main: list[bool], size: list[int], others: list[list[int] | None]) -> tuple[int, list[int]]:
+    """Which of others is the first that the page isn't a near copy of (-1: none), and the places of the lines that go."""
+    for k, other in enumerate(others):
+        if other:
+            places = common(own, other)
+            if sum(size[i] for i in places) < NEAR * sum(size):
+                if any(main):
+                    return k, shared_lines(own, main, other)
+                return k, sorted(places) if len(places) < len(own) else []
+    return -1, []
+
+
 def _hashed(rows: DataFrame) -> DataFrame:
     """The line hashes of each distinct page, written as a table: what pairing moves instead of texts."""
 
@@ -179,54 +193,72 @@ def _hashed(rows: DataFrame) -> DataFrame:
             pages = [lines(h) for h in batch.column("html").to_pylist()]
             own = [[xxh3_64_intdigest(x) - 2**63 for x in p[0]] for p in pages]
             columns = [batch.column(c) for c in ("page_id", "url", "key", "host", "path")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.list_(pa.int64())), pa.array([p[1] for p in pages], pa.list_(pa.bool_()))], ["page_id", "url", "key", "host", "path", "own", "main"])
+            size = pa.array([[len(x) for x in p[0]] for p in pages], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.list_(pa.int64())), pa.array([p[1] for p in pages], pa.list_(pa.bool_())), size], ["page_id", "url", "key", "host", "path", "own", "main", "size"])
 
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).select("page_id", "url", "key", "host", "path", "html")
-    return staged(rows.mapInArrow(run, f"{FIELDS}, own array<long>, main array<boolean>").dropDuplicates(["page_id", "url", "key"]), "page-lines")
+    rows = rows.mapInArrow(run, f"{FIELDS}, own array<long>, main array<boolean>, size array<int>").dropDuplicates(["page_id", "url", "key"])
+    return staged(rows.withColumn("sig", F.xxhash64("own", "main")), "page-lines")
 
 
 def decisions(hashed: DataFrame) -> DataFrame:
-    """(page_id, url, key, shared) of the pages that lose lines, written as a table."""
-    order = ["host", "path", "url", "page_id", "key"]
+    """(page_id, url, key, shared) of the pages that lose lines."""
+    order = ["host", "path", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flow() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "key", "host", "path", "own", "main")), strict=True)
-
-        out, before, found = [], None, flow()
-        row = next(found, None)
-        while row:
-            after = next(found, None)
-            page_id, url, key, host, path, own, main = row
-            pair = before if before and before[3] == host else after if after and after[3] == host else None
-            shared = shared_lines(own, main, pair[5] if pair else None)
-            edge = not before or not after
-            waits = 1 if not before else 2 if not pair and not after else 0  # for the last of the partition before, or the first of the next
-            if shared or edge:
-                out.append((page_id, url, key, host, path, shared, waits, own if edge else None, main if edge else None))
-            before, row = row, after
-            if len(out) >= 1000:
-                yield pa.RecordBatch.from_pylist([dict(zip(STEP.names, x, strict=True)) for x in out], STEP)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(STEP.names, x, strict=True)) for x in out], STEP)
+        part, out = TaskContext.get().partitionId(), []
+        host, last, other, open_ = None, None, None, False  # open_: no page of this host and partition had a partner so far
 
-    done = hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, f"{FIELDS}, shared array<int>, waits int, own array<long>, main array<boolean>")
-    done = staged(done, "page-pairs")
-    edges = done.where("own is not null")  # two rows for each partition at most
-    by = Window.orderBy(*order)
-    sides = {f"{name}_{c}": f(c).over(by) for name, f in (("before", F.lag), ("after", F.lead)) for c in ("host", "own")}
-    other = F.when(F.col("before_host") == F.col("host"), F.col("before_own")).when((F.col("waits") == 2) & (F.col("after_host") == F.col("host")), F.col("after_own"))
-    edges = edges.withColumns(sides).where("waits > 0").select("page_id", "url", "key", "shared", "own", "main", other.alias("other"))
+        def put(sig: int | None, kind: str, *lists: list | None) -> None:
+            out.append(dict(zip(STEP.names, (host, part, sig, kind, *lists, *[None] * (4 - len(lists))), strict=True)))
+
+        for batch in batches:
+            for found, sig, own, main, size in zip(*(batch.column(c).to_pylist() for c in ("host", "sig", "own", "main", "size")), strict=True):
+                if found != host:  # what the first host of a partition carries, also if it ends here, stands for it
+                    if last:
+                        put(None, "last", None, last)
+                    host, last, other, open_ = found, None, None, True
+                k, shared = paired(own, main, size, [last, other])
+                if k < 0:
+                    put(sig, "waits", None, own, main, size)
+                else:
+                    if open_:
+                        put(None, "first", None, own)
+                        open_ = False
+                    if k == 0:
+                        other = last
+                    if shared:
+                        put(sig, "done", shared)
+                last = own
+                if len(out) >= 1000:
+                    yield pa.RecordBatch.from_pylist(out, STEP)
+                    out.clear()
+        if last:
+            put(None, "last", None, last)
+            put(None, "other", None, other)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, STEP)
+
+    # one page stands for all of its host with the same lines
+    pages = hashed.where(F.size("own") > 0).groupBy("host", "sig").agg(F.min(F.struct("path", "own", "main", "size")).alias("x")).select("host", "x.*", "sig")
+    steps = pages.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "host string, part int, sig long, kind string, shared array<int>, own array<long>, main array<boolean>, size array<int>")
+    steps = staged(steps, "page-pairs")
+    carried = steps.where("kind in ('first', 'last', 'other')").groupBy("host", "part").agg(*(F.first(F.when(F.col("kind") == c, F.col("own")), True).alias(c) for c in ("first", "last", "other")))
+    by = Window.partitionBy("host").orderBy("part")
+    earlier, later = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
+    # behind the page's own partition: its first page with a partner, else the last page of one after it
+    sides = {"a": F.last("last", True).over(earlier), "b": F.last("other", True).over(earlier), "c": F.last("first", True).over(earlier), "d": F.first("first", True).over(later), "e": F.lead("last").over(by), "f": F.first("last", True).over(earlier)}
+    carried = carried.withColumns(sides).select("host", "part", F.array(*"abcdef").alias("others"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = [s if o is None else shared_lines(a, m, o) for s, a, m, o in zip(*(batch.column(c).to_pylist() for c in ("shared", "own", "main", "other")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "key")), pa.array(shared, pa.list_(pa.int32()))], ["page_id", "url", "key", "shared"])
+            shared = [paired(*x[:3], x[3] or [])[1] for x in zip(*(batch.column(c).to_pylist() for c in ("own", "main", "size", "others")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("sig"), pa.array(shared, pa.list_(pa.int32()))], ["host", "sig", "shared"])
 
-    both = done.where("waits = 0").select("page_id", "url", "key", "shared").unionByName(edges.mapInArrow(again, "page_id long, url string, key long, shared array<int>"))
-    return staged(both.where("size(shared) > 0"), "shared-lines")
+    waiting = steps.where("kind = 'waits'").select("host", "part", "sig", "own", "main", "size").join(carried, ["host", "part"])
+    waiting = waiting.select("host", "sig", "own", "main", "size", "others").mapInArrow(again, "host string, sig long, shared array<int>")
+    both = steps.where("kind = 'done'").select("host", "sig", "shared").unionByName(waiting).where("size(shared) > 0")
+    return staged(hashed.select("page_id", "url", "key", "host", "sig").join(both, ["host", "sig"]).select("page_id", "url", "key", "shared"), "shared-lines")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -474,3 +474,20 @@ def test_html_text(spark):
         assert got[8].text == ("long " * 100_000).strip()
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert html_text.extract(df.limit(0)).collect() == []
+
+
+def test_copies_have_equal_texts(spark):
+    page = lambda words, n="": PAGE.format(f"<div>Trending now{n}</div><p>{words}</p><div>Call us</div>")
+    copies = [(10 + i, "http://h/c/" + str(10 + i), page("The same long text on every one of these copies")) for i in range(20)]
+    near = [(50 + i, "http://n/c/" + str(50 + i), page("An article of some length, which all near copies have in common", f" {i}")) for i in range(9)]
+    other = [(1, "http://h/b", page("Another text that no copy has, long enough")), (70, "http://n/d", page("What comes last on this host is not a copy"))]
+    df = spark.createDataFrame(copies + near + other, "page_id long, url string, html string")
+    try:
+        for parts in (1, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {x.page_id: x.text.split() for x in html_text.extract(df).collect()}
+            assert all(got[x[0]] == "The same long text on every one of these copies".split() for x in copies)
+            assert all("An article of some length, which all near copies have in common" in " ".join(got[x[0]]) for x in near)
+            assert all("Call" not in got[x[0]] for x in near)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
