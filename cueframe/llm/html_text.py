@@ -38,45 +38,61 @@ CUT_WORDS = frozenset(
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*>?|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 SPACES = re.compile(r"\s+")
+PROPERTY = frozenset("has with no without is not".split())  # a name with one of these tells of a wrapper
 NEAR = 0.8  # share of a page's text in shared lines that makes it a near copy
 
 
-def _cut(name: str, attributes: str) -> bool:
+def _named(value: str) -> bool:
+    """Whether one of the names in a class or id is a word for boilerplate, or ends in one that isn't a mere property."""
+    for x in value.split():
+        parts = [w for w in re.split(r"[^a-z0-9]+", x) if w]
+        if parts and parts[-1] in CUT_WORDS and PROPERTY.isdisjoint(parts[:-1]):
+            return True
+    return False
+
+
+def _cut(name: str, attributes: str) -> int:
+    """2 for an element that is boilerplate, 1 for one that only its class or id says so of, else 0."""
     if name in CUT:
-        return True
+        return 2
+    soft = 0
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in CUT_ROLES:
-            return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and not CUT_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
+            return 2
+        if key in ("class", "id") and name not in ("body", "html", "article", "main") and _named(value):
+            soft = 1
+    return soft
 
 
 def lines(page: str) -> tuple[list[str], list[bool]]:
-    """The text blocks of a page outside boilerplate elements, and whether each is in an article or main element."""
-    out, main, text = [], [], []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # name, cut, main
+    """The text blocks of a page outside boilerplate elements, and whether each is in an article or main element.
+
+    An element that only its class or id names stays if it holds an article or main element or most of the page's text.
+    """
+    blocks: list[tuple[list[tuple[int, str]], bool]] = []
+    text: list[tuple[int, str]] = []  # the innermost named element, -1 for none, and a text
+    named: list[tuple[int, bool]] = []  # of each named element, the one around it, and whether it is in an article
+    size, holds = [], []
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, -1)]  # name, cut, main, named
 
     def close() -> None:
-        block = SPACES.sub(" ", html.unescape("".join(text))).strip()
-        text.clear()
-        if block:
-            out.append(block)
-            main.append(stack[-1][2])
+        if text:
+            blocks.append((text.copy(), stack[-1][2]))
+            text.clear()
 
     for m in TOKEN.finditer(page):
         name = m[3]
         if name is None:
             if m[0][0] != "<" or m[0] == "<":
                 if not stack[-1][1]:
-                    text.append(m[0])
+                    text.append((stack[-1][3], m[0]))
             continue
         name = name.lower()
         if name in BLOCK:
             close()
         elif name == "br":
-            text.append(" ")
+            text.append((stack[-1][3], " "))
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
@@ -91,10 +107,41 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
                 if stack[k][0] in BLOCK:
                     break
         if name not in VOID and not m[4].endswith("/"):
-            _, cut, inside = stack[-1]
+            _, cut, inside, outer = stack[-1]
             heading = name == "header" and inside  # an article's own header holds its title
-            stack.append((name, cut or (_cut(name, m[4]) and not heading), inside or name in ("article", "main")))
+            how = 0 if cut or heading else _cut(name, m[4])
+            if how == 1:
+                named.append((outer, inside))
+                size.append(0), holds.append(False)
+                outer = len(named) - 1
+            if name in ("article", "main") and not cut and outer >= 0:
+                holds[outer] = True
+            stack.append((name, cut or how == 2, inside or name in ("article", "main"), outer))
     close()
+    if named:
+        whole = 0
+        for parts, _ in blocks:
+            for k, x in parts:
+                n = len("".join(x.split()))
+                whole += n
+                if k >= 0:
+                    size[k] += n
+        for k in range(len(named) - 1, -1, -1):
+            outer, inside = named[k]
+            if outer >= 0:
+                size[outer] += size[k]
+                holds[outer] |= holds[k]
+            holds[k] &= not inside  # an article in the comments of an article doesn't save them
+        gone = []
+        for k, (outer, _) in enumerate(named):
+            gone.append(outer >= 0 and gone[outer] or not (holds[k] or 2 * size[k] > whole))
+        blocks = [([x for x in parts if x[0] < 0 or not gone[x[0]]], inside) for parts, inside in blocks]
+    out, main = [], []
+    for parts, inside in blocks:
+        block = SPACES.sub(" ", html.unescape("".join(x for _, x in parts))).strip()
+        if block:
+            out.append(block)
+            main.append(inside)
     return out, main
 
 

@@ -491,3 +491,13 @@ def test_copies_have_equal_texts(spark):
             assert all("Call" not in got[x[0]] for x in near)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_wrappers_stay():
+    for name in ("content has-sidebar", "layout-with-nav", "site menu-closed", "no-ads", "post-share-enabled", "sidebar"):
+        for inner in ("<article><p>The text</p></article>", "<p>The text of a page without an article</p>"):
+            got = html_text.lines(f"<body><p>x</p><div class='{name}'>{inner}</div></body>")[0]
+            assert len(got) == 2 and got[1].startswith("The text")
+    page = "<article><p>Own <span class='ad'>Buy</span>text that says more than the reply</p><div id='comments'><article>a long reply by some reader</article></div></article>"
+    assert html_text.lines(page + "<div class='cookie-notice'>We use cookies</div>")[0] == ["Own text that says more than the reply"]
+    assert html_text.lines("<p>Enough text of its own</p><div class='is-open sidebar'>Links</div>")[0] == ["Enough text of its own"]
