@@ -309,7 +309,7 @@ def decisions(hashed: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for each row of pages (page_id, url, html).
+    """page_id, url, text and n_chars for each row of pages (page_id, url, html). Two line feeds part the blocks of a text.
 
     A null or empty page has the empty text; pages without a host are paired among themselves; repeated rows (equal in
     all three columns) are one page when paired, and get equal texts. Other columns are not read. No rows give no rows.
@@ -324,7 +324,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for page, shared in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist(), strict=True):
                 own, drop = lines(page)[0], set(shared or ())
-                texts.append("\n".join(x for i, x in enumerate(own) if i not in drop))
+                texts.append("\n\n".join(x for i, x in enumerate(own) if i not in drop))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

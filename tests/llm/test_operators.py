@@ -501,3 +501,9 @@ def test_wrappers_stay():
     page = "<article><p>Own <span class='ad'>Buy</span>text that says more than the reply</p><div id='comments'><article>a long reply by some reader</article></div></article>"
     assert html_text.lines(page + "<div class='cookie-notice'>We use cookies</div>")[0] == ["Own text that says more than the reply"]
     assert html_text.lines("<p>Enough text of its own</p><div class='is-open sidebar'>Links</div>")[0] == ["Enough text of its own"]
+
+
+def test_blocks_are_two_line_feeds_apart(spark):
+    """The form that the contract states, as the review of round 1 cites it."""
+    df = spark.createDataFrame([(1, "http://h/1", "<article><h1>One</h1><p>Two</p></article>")], "page_id long, url string, html string")
+    assert [(x.text, x.n_chars) for x in html_text.extract(df).collect()] == [("One\n\nTwo", 8)]
