@@ -83,6 +83,30 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(pairs.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
+def without(docs: DataFrame, marks: DataFrame, key: Column) -> DataFrame:
+    """docs, with all their columns, less the rows that marks (doc_id, key, stays) name.
+
+    key: the column of docs that marks hold as key. A row whose mark stays is kept once, however often it is repeated;
+    rows without a mark all stay, and only marks, which are few beside the rows, are sent where they are small.
+    """
+    names = docs.columns
+    row, mark = (_free(x, names) for x in ("row", "mark"))
+    whole = F.struct(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names))).alias(row)
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("_id"), key.alias("_key"))
+    marks = staged(marks.select(F.col("doc_id").alias("_mid"), F.col("key").alias("_mkey"), F.col("stays").alias(mark)).distinct(), "marks")
+    joined = rows.join(marks, F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_key") == F.col("_mkey")), "left")
+    kept = joined.where(F.col(mark).isNull()).select(row)
+    if not marks.where(mark).isEmpty():
+        kept = kept.union(joined.where(mark).dropDuplicates(["_id", "_key"]).select(row))
+    return kept.select(*(F.col(f"{row}.c{i}").alias(n) for i, n in enumerate(names)))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 # --- text buffers in Arrow tasks -------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

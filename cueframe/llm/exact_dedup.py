@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import WS, id_text, read, staged
+from cueframe.llm.common import WS, id_text, read, staged, without
 
 MIN_CHUNK, MAX_CHUNK = 64, 4096
 CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 1}}}?[.!?;。！？](?=\s?[A-Ha-hÀ-È一-忿])|.{{1,{MAX_CHUNK}}}"
@@ -71,11 +71,10 @@ def exact_dedup(docs: DataFrame, hashed=F.xxhash64) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that exact_dedup keeps."""
-    stay = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    marked = docs.withColumns({"_sha": F.sha2(normalised(F.coalesce("text", F.lit(""))), 256), "_id": F.col("doc_id")})
-    joined = marked.join(stay, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    return joined.dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    """The rows of docs, with all their columns, that exact_dedup keeps: of equal texts one row. No rows give no rows."""
+    rows = exact_dedup(docs).where("group_size > 1").groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("text_sha256").alias("key"))
+    rows = rows.agg(F.max("kept").alias("stays"), F.count("*").alias("times")).where("not stays or times > 1")
+    return without(docs, rows, F.sha2(normalised(F.coalesce("text", F.lit(""))), 256))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

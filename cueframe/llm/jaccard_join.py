@@ -5,17 +5,18 @@ sizes that can reach the threshold differ in at most H shingles, H depending on
 universe of shingles into H + 1 segments: by pigeonhole, linked sets agree in one segment, whose sum of hashes is a
 signature. A set files its signatures under its own band, and again under the band below, where it is a partner only.
 
-Cost decides between a segment and its one-deletion neighbourhood. Below REFINE sets a signature is used as it is. A
-signature v of segment i with more sets is skipped; its sets file, under v, segment i + 1 whole and with each of its
-shingles left out. That loses no link: of the segments where two sets agree with skipped signatures, either the next
-one agrees too, and the pair meets there, or each gives its unit of tolerance to a segment of its own, and the pigeon-
-hole holds as before.
-
-Groups of one signature never become all pairs. First each set is compared with one representative; links found so
-make components. Then only sets of one group in different components are compared, in blocks, by parity sketches, whose
-distance never exceeds the true one. Of what the sketches can't exclude, each set has its nearest verified on the sets;
-components grow together, and this is repeated until no pair is left that could join two. So a group gives pairs in
-proportion to its sets, and the components are those of all links.
+Cost decides between a segment and its one-deletion neighbourhood. An empty segment tells nothing and is never filed as
+it is; a signature with more than REFINE sets that aren't joined yet isn't either. In place of such a signature v of
+segment i its sets file, under v, segment i + 1 whole and with each of its shingles left out. That loses no link: of the
+segments where two sets agree with skipped signatures, either the next one agrees too, and the pair meets there, or each
+gives its unit of tolerance to a segment of its own, and the pigeonhole holds as before.
+
+Rows that are shuffled hold a signature and the name of a set; sets themselves stay with their documents. Only sets in
+candidate pairs, which parity sketches (whose distance never exceeds the true one) can't exclude, are taken from the
+documents and compared. Groups of one signature never become all pairs of sets. First each set is compared with one
+representative; links found so make components. Then only sets of one group in different components are compared by
+sketch, in blocks; of what the sketches can't exclude, each set has its nearest verified; components grow together, and
+groups that had more to verify come again. So the components are those of all links.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import components, id_text, mix, read, slices, staged, words
+from cueframe.llm.common import components, id_text, mix, read, slices, staged, without, words
 
-REFINE = 4096  # sets with one signature from which its one-deletion form is cheaper: about 10 rows a set against pairs
+REFINE = 48  # open sets with one signature from which its one-deletion form is cheaper: about 6 rows a set against pairs
+EACH = 4  # nearest candidates that a set has verified in the first round; later rounds take 8 times as many
+PAIR_WORDS = 1 << 21  # words of sketches compared at once
 BLOCK = 512
 U64 = np.uint64
 
@@ -126,13 +129,29 @@ def _pick(sets: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.
 
 
 def signatures(sets: np.ndarray, offsets: np.ndarray, num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """role, row and signature of all segments of all sets."""
+    """role, row and signature of all segments of all sets, where an empty segment has its refined form."""
     for role, which, band, segments in _filed(np.diff(offsets), num, den):
         some, at = _pick(sets, offsets, which)
-        sums, base, _ = _sums(some, at, segments[which])
-        row = np.repeat(np.flatnonzero(which), segments[which])
-        segment = np.arange(len(sums)) - np.repeat(base, segments[which])
-        yield role, row, mix(sums ^ mix((band[row].astype(U64) << U64(32)) + segment.astype(U64)))
+        own_rows, m = np.flatnonzero(which), segments[which]
+        sums, base, own = _sums(some, at, m)
+        row = np.repeat(own_rows, m)
+        segment = np.arange(len(sums)) - np.repeat(base, m)
+        sig = mix(sums ^ mix((band[row].astype(U64) << U64(32)) + segment.astype(U64)))
+        empty = np.bincount(own, minlength=len(sums)) == 0
+        yield role, row[~empty], sig[~empty]
+        hot = np.flatnonzero(empty)
+        after = np.where(segment[hot] + 1 < np.repeat(m, m)[hot], hot + 1, hot - segment[hot])
+        yield role, row[hot], _finer(sums[after], sig[hot])
+        before = np.full(len(sums), -1)
+        before[after] = hot
+        left_out = np.flatnonzero(before[own] >= 0)
+        segment = own[left_out]
+        yield role, row[segment], _finer(sums[segment] - _shares(some[left_out]), sig[before[segment]])
+
+
+def _finer(sums: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Signatures of sums filed under skipped ones."""
+    return mix(sums + mix(hot + U64(1)))
 
 
 def refined(own: np.ndarray, role: int, hot: int, num: int, den: int) -> np.ndarray:
@@ -144,8 +163,11 @@ def refined(own: np.ndarray, role: int, hot: int, num: int, den: int) -> np.ndar
             return np.array([hot], U64)
         sums, _, segment = _sums(own, np.array([0, len(own)]), segments)
         sig = mix(sums ^ mix((U64(int(band[0])) << U64(32)) + np.arange(len(sums), dtype=U64)))
-        j = (int(np.flatnonzero(sig == U64(hot))[0]) + 1) % len(sums)
-        return np.unique(mix(np.concatenate([[sums[j]], sums[j] - _shares(own[segment == j])]) + mix(np.array([hot], U64) + U64(1))))
+        at = np.flatnonzero(sig == U64(hot))
+        if not len(at):  # a refined form already
+            return np.array([hot], U64)
+        j = (int(at[0]) + 1) % len(sums)
+        return np.unique(_finer(np.concatenate([[sums[j]], sums[j] - _shares(own[segment == j])]), np.array([hot], U64)))
     return np.zeros(0, U64)
 
 
@@ -155,11 +177,22 @@ def sketch(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount((mix(own + U64(0x2545F4914F6CDD1D)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
 
-def _folded(sketches: list[bytes]) -> np.ndarray:
-    size = min(map(len, sketches)) // 8
-    out = np.zeros((len(sketches), size), U64)
-    for i, s in enumerate(sketches):
-        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, U64).reshape(-1, size), axis=0)
+def distances(sketches: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The number of bits in which the sketches of places i and j differ, the longer ones folded to the shorter ones."""
+    size = np.fromiter(map(len, sketches), np.int64, len(sketches)) // 8
+    place, table = np.zeros(len(sketches), np.int64), {}
+    for w in np.unique(size).tolist():
+        own = np.flatnonzero(size == w)
+        place[own] = np.arange(len(own))
+        table[w] = np.frombuffer(b"".join(sketches[x] for x in own), U64).reshape(-1, w)
+    out, kind = np.zeros(len(i), np.int64), size[i] << 32 | size[j]
+    for u in np.unique(kind).tolist():
+        a, b = u >> 32, u & 0xFFFFFFFF
+        which, least = np.flatnonzero(kind == u), min(a, b)
+        for k in range(0, len(which), max(1, PAIR_WORDS // max(a, b))):
+            part = which[k : k + max(1, PAIR_WORDS // max(a, b))]
+            x, y = (np.bitwise_xor.reduce(table[w][place[of[part]]].reshape(len(part), -1, least), axis=1) for w, of in ((a, i), (b, j)))
+            out[part] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -171,12 +204,15 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _named(docs: DataFrame, k: int) -> DataFrame:
+    """docs (doc_id, key, text) by set: doc_id, key, n, node and sketch, written as a table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets, at = shingle_sets(batch.column("text"), k)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": np.diff(at), "node": _long(nodes(sets, at))})
+            marks = pa.array([sketch(sets[a:b]) if a < b else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "n": np.diff(at), "node": _long(nodes(sets, at)), "sketch": marks})
 
-    return staged(docs.mapInArrow(run, "doc_id bigint, n long, node long"), "sets")
+    return staged(docs.mapInArrow(run, "doc_id bigint, key long, n long, node long, sketch binary"), "sets")
 
 
 def _signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -207,23 +243,24 @@ def _shared(rows: DataFrame) -> DataFrame:
     return marked.where("_a <> _b and _r = 0").select("sig", "node", "role").distinct()
 
 
-def _kept_sets(docs: DataFrame, named: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, n, own, sketch) of the wanted nodes, from one document each."""
+def _sets_of(docs: DataFrame, named: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, own), the sorted shingles, of the wanted nodes, from one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets, at = shingle_sets(batch.column("text"), k)
             name = nodes(sets, at)
             ok = np.flatnonzero(name.view(np.int64) == batch.column("node").to_numpy())
-            own = [sets[at[i] : at[i + 1]] for i in ok]
-            yield pa.RecordBatch.from_pydict({"node": _long(name[ok]), "n": np.diff(at)[ok], "own": pa.array([x.tobytes() for x in own], pa.binary()), "sketch": pa.array([sketch(x) for x in own], pa.binary())})
+            own = pa.array([sets[at[i] : at[i + 1]].tobytes() for i in ok], pa.binary())
+            yield pa.RecordBatch.from_pydict({"node": _long(name[ok]), "own": own})
 
-    one = named.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_id"))
-    rows = docs.join(one, docs.doc_id.eqNullSafe(one._id)).select("text", "node")
-    return staged(rows.mapInArrow(run, "node long, n long, own binary, sketch binary"), "kept-sets")
+    one = named.select("node", F.struct("doc_id", "key").alias("at")).join(wanted.select("node").distinct(), "node").groupBy("node").agg(F.min("at").alias("at"))
+    one = staged(one.select("node", F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key")), "chosen")  # its size decides how it is joined
+    rows = docs.join(one, docs.doc_id.eqNullSafe(one._id) & (docs.key == one._key)).select("text", "node")
+    return staged(rows.mapInArrow(run, "node long, own binary").dropDuplicates(["node"]), "own-sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold, by their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,89 +272,127 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 keep.append(den * both >= num * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")})
 
+    sets = _sets_of(docs, named, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), k)
     one, two = sets.select(F.col("node").alias("a"), F.col("own").alias("x")), sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
     return staged(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long"), "links")
 
 
-def _labelled(links: DataFrame, sets: DataFrame) -> DataFrame:
-    comp = components(links)
-    return staged(sets.select("node").join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")).distinct(), "labels")
+def _candidates(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches don't exclude, written as a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.arange(len(batch))
+            far = distances(batch.column("s").to_pylist() + batch.column("t").to_pylist(), rows, rows + len(rows))
+            ok = pa.array((den + num) * far <= (den - num) * (batch.column("n").to_numpy() + batch.column("m").to_numpy()))
+            yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(ok) for c in ("a", "b")})
+
+    one, two = (sets.select(F.col("node").alias(a), F.col("n").alias(n), F.col("sketch").alias(s)) for a, n, s in (("a", "n", "s"), ("b", "m", "t")))
+    near = pairs.join(one, "a").join(two, "b").where(den * F.least("n", "m") >= num * F.greatest("n", "m"))
+    return staged(near.select("a", "b", "n", "m", "s", "t").mapInArrow(run, "a long, b long"), "candidates")
 
 
-def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of groups, with their components, whose signature is shared by several components."""
+def _opened(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of groups, with their components by links, whose signature is shared by several components."""
     by = Window.partitionBy("sig")
-    rows = groups.select("sig", "node", "role").join(labels, "node").repartition("sig")
-    rows = rows.withColumns({"_a": F.min("comp").over(by), "_b": F.max("comp").over(by), "_n": F.count("*").over(by)})
+    rows = groups.select("sig", "node", "role").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = rows.repartition("sig").withColumns({"_a": F.min("comp").over(by), "_b": F.max("comp").over(by), "_n": F.count("*").over(by)})
     return staged(rows.where("_a <> _b").select("sig", "node", "role", "comp", "_n"), "open-groups")
 
 
-def _open_pairs(rows: DataFrame, sets: DataFrame, failed: DataFrame, each: int, num: int, den: int) -> DataFrame:
-    """(a, b): for each set, in each group, its nearest sets of other components that their sketches don't exclude.
+def _open_pairs(rows: DataFrame, sets: DataFrame, each: int, num: int, den: int) -> DataFrame:
+    """For each set, in each group, its nearest sets of other components that sizes and sketches don't exclude.
 
-    failed: (node, tried), for the pairs that verification has excluded already.
+    Rows (a, b, sig): a pair, or the signature of a group where a set has more than `each` of them.
     """
     rows = rows.withColumn("blocks", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, "block") * F.col("blocks") + F.greatest(i, "block"))
-    rows = rows.select("sig", "node", "role", "comp", F.explode(cells).alias("cell")).join(sets.select("node", "n", "sketch"), "node").join(failed, "node", "left")
+    # a cell of two blocks holds pairs across them only; pairs inside a block belong to its cell with itself
+    rows = rows.withColumn("cell", F.explode(cells)).withColumn("block", F.when(F.col("cell") % (F.col("blocks") + 1) == 0, -1).otherwise(F.col("block")))
+    rows = rows.select("sig", "node", "role", "comp", "cell", "block").join(sets, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in runs_of(batches, ("sig", "cell")):
-            comp = g["comp"].to_numpy()
-            if len(comp) < 2 or (comp == comp[0]).all():
+        for t in whole_runs(batches, ("sig", "cell")):
+            sig, cell, node, role, comp, block, n = (t[c].to_numpy() for c in ("sig", "cell", "node", "role", "comp", "block", "n"))
+            new = np.append(True, (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1]))
+            end = np.append(np.flatnonzero(new)[1:], len(sig))[np.cumsum(new) - 1]
+            one, two, i = [], [], np.arange(len(sig))
+            for d in range(1, int(np.diff(np.append(np.flatnonzero(new), len(sig))).max())):
+                i = i[i + d < end[i]]
+                j = i + d
+                ok = (comp[i] != comp[j]) & ((role[i] == 0) | (role[j] == 0)) & ((block[i] < 0) | (block[i] != block[j])) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+                one.append(i[ok]), two.append(j[ok])
+            i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (one, two))
+            if not len(i):
                 continue
-            role, n, node, s, tried = g["role"].to_numpy(), g["n"].to_numpy(), g["node"].to_numpy(), _folded(g["sketch"].to_pylist()), g["tried"].to_pylist()
-            found = set()
-            for i in range(len(comp)):
-                js = np.flatnonzero((comp != comp[i]) & ((role == 0) | (role[i] == 0)) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])))
-                if tried[i]:
-                    js = js[~np.isin(node[js], tried[i])]
-                if len(js):
-                    far = np.bitwise_count(s[js] ^ s[i]).sum(axis=1, dtype=np.int64)
-                    ok = (den + num) * far <= (den - num) * (n[js] + n[i])
-                    js = js[ok][np.lexsort((node[js[ok]], far[ok]))[:each]]
-                    found.update((min(int(node[i]), y), max(int(node[i]), y)) for y in node[js].tolist())
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(found), strict=True)], ["a", "b"])
+            far = distances(t["sketch"].to_pylist(), i, j)
+            ok = (den + num) * far <= (den - num) * (n[i] + n[j])
+            i, j, far = i[ok], j[ok], far[ok]
+            if not len(i):
+                continue
+            src, dst, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([far, far])
+            order = np.lexsort((node[dst], far, src))
+            src, dst = src[order], dst[order]
+            first = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+            nth = np.arange(len(src)) - np.repeat(first, np.diff(np.append(first, len(src))))
+            more = np.unique(sig[src[nth >= each]])
+            x, y = node[src[nth < each]], node[dst[nth < each]]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            none = pa.nulls(len(more), pa.int64())
+            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[0]), "b": pa.array(pairs[1]), "sig": pa.nulls(pairs.shape[1], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": none, "b": none, "sig": pa.array(more)})
 
     rows = rows.repartition("sig", "cell").sortWithinPartitions("sig", "cell")
-    return staged(rows.mapInArrow(compare, "a long, b long").distinct(), "open-pairs")
+    return staged(rows.mapInArrow(compare, "a long, b long, sig long").distinct(), "open-pairs")
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
-    """The tables of equal keys in a sorted stream of batches."""
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """A sorted stream of batches, cut so that rows of equal keys stay together."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not len(batch):
             continue
+        held.append(batch)
         cols = [batch.column(k).to_numpy() for k in keys]
-        cut = np.zeros(len(batch), bool)
-        for c, k in zip(cols, keys, strict=True):
-            cut[1:] |= c[1:] != c[:-1]
-            cut[0] |= bool(held) and held[-1].column(k)[-1].as_py() != c[0]
-        at = [*np.flatnonzero(cut).tolist(), len(batch)]
-        if at[0]:
-            held.append(batch.slice(0, at[0]))
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if held:
-                yield pa.Table.from_batches(held)
-            held = [batch.slice(a, b - a)]
+        other = np.zeros(len(batch), bool)
+        for c in cols:
+            other |= c != c[-1]
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if not cut and (len(held) < 2 or all(held[-2].column(k)[-1].as_py() == c[-1] for k, c in zip(keys, cols, strict=True))):
+            continue
+        yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+        held = [batch.slice(cut)]
     if held:
         yield pa.Table.from_batches(held)
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, refine: int = REFINE) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs; two sets link at Jaccard similarity num / den or more.
+def runs_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The tables of equal keys in a sorted stream of batches."""
+    for t in whole_runs(batches, keys):
+        new = np.zeros(len(t), bool)
+        new[:1] = True
+        for k in keys:
+            c = t[k].to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        at = np.append(np.flatnonzero(new), len(t)).tolist()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield t.slice(a, b - a)
 
-    A text of fewer than k words is one shingle, the whole; a text without words, or null, has none, links with nothing
-    and is its own component. component_id is the smallest doc_id that links lead to (a null one counts only where
-    there is no other, and repeated rows are one set). Other columns of docs are not read. No rows give no rows.
-    """
-    docs = id_text(docs).select(F.col("doc_id").cast("long"), "text")
+
+def _members(docs: DataFrame, k: int, num: int, den: int, refine: int) -> DataFrame:
+    """(doc_id, key, n, comp) of each row of docs (doc_id, key, text); comp is null without links."""
     named = _named(docs, k)
     groups = staged(_shared(_signed(docs, k, num, den)), "groups")
-    sets = _kept_sets(docs, named, groups.select("node").distinct(), k)
-    crowded = staged(groups.groupBy("sig").count().where(F.col("count") > refine).select("sig"), "crowded")
+    sets = staged(named.where("n > 0").join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "sketch"), "sketches")
+
+    # one comparison for each set: with the smallest set of the band among those it shares a signature with
+    least = F.min(F.when(F.col("role") == 0, F.col("node"))).over(Window.partitionBy("sig"))
+    stars = groups.withColumn("rep", least).where("rep <> node").groupBy("node").agg(F.min("rep").alias("rep"))
+    near = _candidates(stars.select(F.col("rep").alias("a"), F.col("node").alias("b")), sets, num, den)
+    links = _verified(near, docs, named, k, num, den)
+
+    rows, each = _opened(groups, links), EACH
+    crowded = rows.where(F.col("_n") > refine)
     if not crowded.isEmpty():
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,39 +401,53 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, ref
                     new = refined(np.frombuffer(own, U64), role, sig % 2**64, num, den)
                     yield pa.RecordBatch.from_pydict({"sig": _long(new), "node": pa.array([node] * len(new), pa.int64()), "role": pa.array([role] * len(new), pa.int8())})
 
-        finer = groups.join(crowded, "sig", "left_semi").join(sets.select("node", "own"), "node").mapInArrow(run, "sig long, node long, role byte")
-        groups = staged(groups.join(crowded, "sig", "left_anti").unionByName(_shared(finer)), "groups")
-
-    # one comparison for each set: with the smallest set of the band among those it shares a signature with
-    least = F.min(F.when(F.col("role") == 0, F.col("node"))).over(Window.partitionBy("sig"))
-    stars = groups.withColumn("rep", least).where("rep <> node").groupBy("node").agg(F.min("rep").alias("rep"))
-    links = _verified(stars.select(F.col("rep").alias("a"), F.col("node").alias("b")), sets, num, den)
-    labels = _labelled(links, sets)
-
-    rows, bad, each = _open(groups, labels), None, 1
+        own = _sets_of(docs, named, crowded, k)
+        finer = crowded.select("sig", "node", "role").join(own, "node").mapInArrow(run, "sig long, node long, role byte")
+        finer = _opened(staged(_shared(finer), "finer-groups"), links)
+        rows = staged(rows.where(F.col("_n") <= refine).unionByName(finer), "open-groups")
     while True:
-        both = bad.union(bad.select("b", "a")).groupBy("a").agg(F.collect_set("b")) if bad else sets.select("node", F.array("node")).limit(0)
-        pairs = _open_pairs(rows, sets, both.toDF("node", "tried"), each, num, den)
+        found = _open_pairs(rows, sets, each, num, den)
+        pairs = found.where("a is not null").select("a", "b")
         if pairs.isEmpty():
             break
-        good = _verified(pairs, sets, num, den)
-        wrong = pairs.join(good, ["a", "b"], "left_anti")
-        bad = staged(bad.union(wrong) if bad else wrong, "excluded")
-        links = staged(links.union(good), "links")
-        labels = _labelled(links, sets)
-        rows = _open(rows, labels)
-        each *= 2  # nearest first; more at a time where these don't join
-
-    rows = named.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least_id = rows.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
+        links = staged(links.union(_verified(pairs, docs, named, k, num, den)), "links")
+        more = found.where("sig is not null").select("sig")
+        if more.isEmpty():
+            break
+        rows = _opened(rows.join(more, "sig", "left_semi"), links)
+        each *= 8  # nearest first; more at a time where these don't join
+    return named.select("doc_id", "key", "n", "node").join(components(links), "node", "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return id_text(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
+
+
+def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, refine: int = REFINE) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs; two sets link at Jaccard similarity num / den or more.
+
+    A text of fewer than k words is one shingle, the whole; a text without words, or null, has none, links with nothing
+    and is its own component. component_id is the smallest doc_id that links lead to (a null one counts only where
+    there is no other, and repeated rows are one set). Other columns of docs are not read. No rows give no rows.
+    """
+    rows = _members(_keyed(docs), k, num, den, refine)
+    least_id = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
     joined = rows.join(least_id, "comp", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, that stand for their component: those with its smallest doc_id."""
-    stay = jaccard_groups(docs, **options).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay._stay), "left_semi")
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10, refine: int = REFINE) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their component: one row of each.
+
+    It is the one with the smallest doc_id (a null one only where there is no other), of several texts with this id the
+    one with the smallest hash, of repeated rows any. Rows without words all stay. No rows give no rows.
+    """
+    rows = _members(_keyed(docs), k, num, den, refine).where("comp is not null")
+    by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    rows = rows.groupBy("comp", "doc_id", "key").agg(F.count("*").alias("times")).withColumn("at", by)
+    best = rows.groupBy("comp").agg(F.min("at").alias("best"), F.sum("times").alias("all")).where("all > 1")
+    marks = rows.join(best, "comp").select("doc_id", "key", (F.col("at") == F.col("best")).alias("stays"), "times").where("not stays or times > 1")
+    return without(docs, marks.select("doc_id", "key", "stays"), F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,6 +356,7 @@ def test_packing_closes_nothing_early(spark):
 @pytest.mark.parametrize(("k", "num", "den", "refine"), [(3, 90, 100, 4096), (5, 8, 10, 4096), (2, 7, 10, 2)])
 def test_jaccard_groups(spark, monkeypatch, k, num, den, refine):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "EACH", 1)
     rows = [x for x in corpus(n=80) if x[0] is not None]
     got = {x.doc_id: x for x in jaccard_join.jaccard_groups(table(spark, rows), k, num, den, refine).collect()}
     sets = {}
