@@ -1,8 +1,9 @@
 """Token ids of whole texts, by the tokenizers library, with each distinct stretch of text encoded once per batch.
 
 A text is cut before each run of ASCII white space, and between a letter and a full stop or the like. No pre-token of
-the vocabularies used here crosses such a cut, so the ids of a text are the ids of its stretches in a row. Arrow's dictionary encoding finds the distinct stretches of a
-batch; a bounded memo in each Python worker keeps those it has met.
+the vocabularies used here crosses such a cut, so the ids of a text are the ids of its stretches in a row. Arrow's
+dictionary encoding finds the distinct stretches of a batch; a bounded memo in each Python worker keeps those it has met.
+Texts that hold the writing of a special token, in any case of letters, are given to the library whole.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         #: Vocabularies with word ends drop white space and fold case; in the others a word's first id holds its space.
@@ -104,12 +105,32 @@ class Encoder:
                         self.memo[distinct[i]] = ids
         return got
 
+    def _whole(self, raw: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """The rows that hold the writing of a special token."""
+        low, rows = _LOWER[raw].tobytes(), set()
+        for x in self.special:
+            at = low.find(x)
+            while at >= 0:
+                rows.add(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = low.find(x, at + 1)
+        return sorted(rows)
+
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows in order, as uint32, and the n + 1 offsets of the rows in them."""
         raw, offsets = buffers(text)
+        out, at = self._by_stretches(raw, offsets)
+        whole = self._whole(raw, offsets)
+        if not whole:
+            return out, at
+        parts = [out[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for i in whole:
+            parts[i] = np.array(self.tokenizer.encode(raw[offsets[i] : offsets[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    def _by_stretches(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         space = _SPACE[raw]
         if not len(raw) or self.ends and space.all():
-            return np.zeros(0, np.uint32), np.zeros(len(text) + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
         if self.ends:
             start = ~space

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cueframe.llm import exact_dedup, html_text, jaccard_join, packing, ppm, source_mix, token_files, toxicity, vector_dedup
 from cueframe.llm.common import components
 from cueframe.llm.encoding import Encoder, vocabulary
+from tokenizers import Tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, key string, h int, node int, sig int, item int, n int, _n int"
 WORDS = [f"w{i}" for i in range(60)]
@@ -268,11 +269,12 @@ def test_drop_copies(spark):
 def test_encoder(name):
     r = random.Random(4)
     letters = list("ab é.,!?;:'\n\t   \x1c\x85 　Ωσς日本1٣×÷ÿÀ́'sSTt")
-    texts = ["", "  ", "<|endoftext|> x", "x" * 3000, "don't DON'T 3.14", *("".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(2000))]
-    encoder = Encoder(vocabulary(name))
-    ids, at = encoder.encode(pa.array(texts))
+    special = ["<|endoftext|> x", "a <|endoftext|> b", "a<|startoftext|>b  <|endoftext|>\n c", "A <|ENDOFTEXT|> b", "<|endoftext|>" * 3, "<|endoftext", " <|startoftext|>.", "don't<|endoftext|>'s"]
+    texts = ["", "  ", *special, "x" * 3000, "don't DON'T 3.14", *("".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(2000))]
+    plain = Tokenizer.from_file(vocabulary(name))
+    ids, at = Encoder(vocabulary(name)).encode(pa.array(texts))
     for i, t in enumerate(texts):
-        assert ids[at[i] : at[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 def test_token_files(spark):
@@ -280,7 +282,7 @@ def test_token_files(spark):
     docs = table(spark, rows)
     records, files, index = token_files.token_files(docs, vocabulary("byte_bpe_50k.json"))
     got = sorted(map(tuple, token_files.digests(token_files.look_up(docs.select("doc_id").distinct(), index), files).collect()), key=lambda x: x[1])
-    encoder = Encoder(vocabulary("byte_bpe_50k.json")).tokenizer
+    encoder = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     want, start = [], 0
     for i, t in sorted(((i, t or "") for i, t, _ in rows), key=lambda x: (x[0] is not None, x[0], x[1])):
         ids = np.array([*encoder.encode(t, add_special_tokens=False).ids, 0], "<u4")
@@ -300,12 +302,11 @@ def test_perfect_hash():
     assert token_files.PerfectHash(same).slots(np.array([9], np.uint64))[0] >= 0
 
 
-def test_packing(spark, monkeypatch):
-    monkeypatch.setattr(packing, "FAN_IN", 2)
+def test_packing(spark):
     rows = corpus()
     docs = table(spark, rows).repartition(7)
     got = packing.pack(docs, vocabulary("word_bpe_49k.json"), capacity=64).collect()
-    encoder, want, lengths = Encoder(vocabulary("word_bpe_49k.json")).tokenizer, Counter(), []
+    encoder, want, lengths = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), Counter(), []
     for i, t, _ in rows:
         ids = np.array([*encoder.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         for k, s in enumerate(range(0, len(ids), 64)):
@@ -331,16 +332,33 @@ def test_packing_plan_is_best_fit():
     r = random.Random(6)
     for _ in range(200):
         counts = {r.randint(1, 40): r.randint(1, 30) for _ in range(r.randint(1, 12))}
+        bins, seen = defaultdict(list), Counter()
+        for n, rank, each, use, fill, first, at in packing.plan(counts, 40):
+            for k in range(each * use):
+                seen[n, rank + k] += 1
+                bins[fill, first + k // each].append((at + k % each * n, n))
+        assert seen == {(n, k): 1 for n in counts for k in range(counts[n])}
+        for (fill, _), own in bins.items():  # without gaps or overlaps
+            assert sum(n for _, n in own) == fill and all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:]))
         lengths = [n for n in sorted(counts, reverse=True) for _ in range(counts[n])]
-        steps, bins = packing.plan(counts, 40), Counter()
-        for i, n in enumerate(lengths):
-            rank = i - lengths.index(n)
-            k = max(k for k in range(len(steps["rank"])) if steps["length"][k] == n and steps["rank"][k] <= rank)
-            nth = rank - steps["rank"][k]
-            b = steps["bin"][k] + nth // steps["each"][k]
-            assert bins[b] == steps["offset"][k] + nth % steps["each"][k] * n
-            bins[b] += n
-        assert sorted(bins.values()) == sorted(packing.best_fit(lengths, 40)[2])
+        assert sorted(fill for fill, _ in bins) == sorted(packing.best_fit(lengths, 40)[2])
+
+
+def test_packing_tree(spark):
+    """Many leaves and levels: each item once, no gaps, and hardly more bins than one task would need."""
+    r = random.Random(8)
+    lengths = [min(100, int(r.paretovariate(1.1) * 4)) for _ in range(5000)] + [100] * 300
+    items = spark.createDataFrame(list(enumerate(lengths)), "item int, length long").repartition(6)
+    for leaf, fan_in in ((300, 3), (10**9, 16)):
+        got = packing.sequences(items, 100, leaf, fan_in).collect()
+        assert sorted((x.item, x.length) for x in got) == list(enumerate(lengths))
+        bins = defaultdict(list)
+        for x in got:
+            bins[x.bin].append((x.shift, x.length))
+        for own in bins.values():
+            ends = [0, *(a + n for a, n in sorted(own))]
+            assert [a for a, _ in sorted(own)] == ends[:-1] and ends[-1] <= 100
+        assert len(bins) <= 1.03 * len(packing.best_fit(sorted(lengths, reverse=True), 100)[2]) + 1
 
 
 def test_packing_closes_nothing_early(spark):
