@@ -1,11 +1,11 @@
 """Toxicity by weak supervision: many voters, a generative label model over them, a linear classifier on its posteriors.
 
-Lexicons are fixed (INSULTS) or induced from labelled rows: words and word beginnings that toxic rows hold far more
-often. Voters look at how many and how dense such hits are, and at patterns of shouting and address. The label model is
-fitted by expectation maximisation on the counts of vote patterns of all documents, anchored by those of labelled rows:
+Lexicons are fixed (insults, abuse of groups, profanity, hate, threats, dismissals in four languages) or induced from
+labelled rows: words and word beginnings that toxic rows hold far more often. Voters look at hits of each lexicon, how
+many and how dense they are, and at patterns of address, shouting and masked letters. The label model is fitted by expectation maximisation on the counts of vote patterns of all documents, anchored by those of labelled rows:
 it estimates how often each voter fires in each class, finds voters that depend on each other given the class, and gives
 such groups a joint table. Its posteriors, together with the given label as one more voter of estimated accuracy, train
-a logistic regression on hits and votes.
+a logistic regression on votes, densities and the induced terms themselves, each with a weight of its own.
 """
 
 from __future__ import annotations
@@ -19,43 +19,72 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cueframe.llm.common import buffers, id_crc, read, slices, staged, words
+from cueframe.llm.common import buffers, id_crc, id_text, read, slices, staged, words
 
 MAX_LABELLED = 20_000  # labelled rows to learn from, the first in hash order: the bound of everything that is collected
-MAX_FEATURES = 1_500  # induced features of each kind
 STRONG, WEAK = 4.0, 2.0  # log-odds of an induced feature
 THRESHOLD = 0.7
 EDGES = b".,!?;:\"'()[]{}*_-#%&$|<>/\\"
 KINDS = 4  # whole words, and beginnings of 4, 5 and 6 bytes
-#: Common insults of four languages.
-INSULTS = frozenset(
-    x.encode()
-    for x in (
-        "asshole bastard bitch clown coward creep cretin degenerate disgusting dumb dumbass fool freak garbage idiot idiotic imbecile jerk liar loser lunatic "
-        "maggot moron moronic pathetic pig psycho retard scum scumbag stupid trash useless vermin worthless "
-        "abschaum arschloch blödmann dummkopf drecksau idioten lügner missgeburt schwachkopf trottel versager vollidiot wertlos widerlich "
-        "abruti bouffon clochard connard connasse crétin débile imbécile minable ordure pourriture raclure salaud salope "
-        "basura cabrón cerdo escoria estúpido gilipollas idiota imbécil inútil mierda patético payaso tonto asqueroso"
-    ).split()
-)
-ADDRESS = re.compile(rb"\b(?:you(?:'re| are)|du bist|ihr seid|tu es|vous \xc3\xaates|eres|sois)\b")
-VOTERS = ("word>0", "word>1", "word>3", "begin4>1", "begin5>1", "begin6>1", "weak>2", "dense", "insult>0", "insult>1", "address", "shouting", "exclaims", "no hit")
+#: Words of abuse in four languages, by lexicon.
+LEXICONS = {
+    "insult": "asshole bastard bitch clown coward creep cretin degenerate disgusting dumb dumbass fool freak garbage idiot idiotic imbecile jerk liar loser lunatic "
+    "moron moronic pathetic psycho retard scumbag stupid useless worthless "
+    "arschloch blödmann dummkopf drecksau idioten lügner missgeburt schwachkopf trottel versager vollidiot wertlos widerlich "
+    "abruti bouffon clochard connard connasse crétin débile imbécile minable salaud salope "
+    "cabrón estúpido gilipollas idiota inútil patético payaso tonto asqueroso",
+    "abuse": "maggot maggots parasite parasites pig pigs scum subhuman trash vermin filth filthy abschaum ungeziefer untermensch gesindel ordure pourriture raclure racaille vermine basura cerdo escoria alimaña",
+    "profanity": "bullshit crap damn fuck fucked fucker fucking shit shitty scheiße scheiss verdammt merde putain bordel mierda joder puta",
+    "hate": "hate hated hates despise despised loathe loathed hasse hasst verachte déteste détestes méprise odio odias desprecio",
+    "threat": "kill killed hurt destroy strangle punch burn rot töten umbringen verrecke verreck tuer crève brûler matar muérete pudrirte",
+}
+#: Words in a row that address somebody, and that dismiss somebody.
+ADDRESS = ("you are", "you're", "ur a", "du bist", "ihr seid", "tu es", "vous êtes", "t'es", "eres un", "eres una", "sois unos")
+DISMISS = ("shut up", "get lost", "drop dead", "go away", "screw you", "halt maul", "verpiss dich", "hau ab", "ferme la", "dégage", "cállate", "lárgate", "vete a")
+VOTERS = (
+    "word>0", "word>1", "word>3", "begin4>1", "begin5>1", "begin6>1", "weak>2", "dense", "insult>0", "insult>1", "abuse", "profanity", "hate", "threat", "addressed insult", "dismissal", "shouting", "exclaims", "masked",
+    "no hit",
+)
 DENSE = 2 * KINDS + 3  # real-valued features besides the votes
 
 
-def _hashes(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit features of each distinct word, KINDS columns (0: none), and whether it is an insult."""
+_KNOWN = {w.encode(): i for i, x in enumerate(LEXICONS.values()) for w in x.split()}
+_MASKED = re.compile(rb"[a-z]+[*@$#]+[a-z]+")
+
+
+def _hashes(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit features of each distinct word, KINDS columns (0: none), its lexicon (-1: none), and whether it is masked."""
     from xxhash import xxh3_64_intdigest as h
 
-    out, bad = np.zeros((len(distinct), KINDS), np.uint64), np.zeros(len(distinct), bool)
+    out, known, masked = np.zeros((len(distinct), KINDS), np.uint64), np.full(len(distinct), -1), np.zeros(len(distinct), bool)
     for i, w in enumerate(distinct):
         w = w.strip(EDGES)
         if w:
             n = len(w)
             out[i] = (h(w), h(w[:4], 4) if n > 4 else 0, h(w[:5], 5) if n > 5 else 0, h(w[:6], 6) if n > 6 else 0)
-            bad[i] = w in INSULTS
-    return out, bad
+            known[i] = _KNOWN.get(w, -1)
+            masked[i] = _MASKED.fullmatch(w) is not None
+    return out, known, masked
+
+
+def _phrases(index: np.ndarray, distinct: list[bytes], row: np.ndarray, phrases: tuple[str, ...]) -> np.ndarray:
+    """The places of words that begin one of the phrases of one or two words."""
+    wanted, places = {w for p in phrases for w in p.encode().split()}, {}
+    for i, w in enumerate(distinct):
+        if (bare := w.strip(EDGES)) in wanted:
+            places.setdefault(bare, []).append(i)
+    out = np.zeros(len(index), bool)
+    for p in phrases:
+        first, *more = p.encode().split()
+        if first in places and all(w in places for w in more):
+            hit = np.isin(index, places[first])
+            if more:
+                hit[:-1] &= np.isin(index[1:], places[more[0]]) & (row[1:] == row[:-1])
+                hit[-1:] = False
+            out |= hit
+    return out
 
 
 @dataclass
@@ -75,10 +104,10 @@ class Lexicon:
 
 
 def _views(text: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Vote masks, dense features, and the (row, feature) pairs of induced hits, for each text."""
+    """Vote masks, dense features, and the distinct (row, feature) pairs of induced hits, for each text."""
     index, distinct, per_row = words(text)
-    hashed, bad = _hashes(distinct)
-    rows = len(per_row)
+    hashed, known, masked = _hashes(distinct)
+    rows, size = len(per_row), max(1, sum(map(len, lexicon.hashes)))
     row = np.repeat(np.arange(rows), per_row)
     strong, weak, pairs, base = np.zeros((rows, KINDS)), np.zeros((rows, KINDS)), [], 0
     for kind in range(KINDS):
@@ -88,22 +117,27 @@ def _views(text: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, tu
         sure[hit] = lexicon.strong[kind][at[hit]]
         strong[:, kind] = np.bincount(row[sure], minlength=rows)
         weak[:, kind] = np.bincount(row[hit], minlength=rows)
-        pairs.append((row[hit], base + at[hit]))
+        pairs.append(np.unique(row[hit] * size + base + at[hit]))
         base += len(lexicon.hashes[kind])
-    insult = np.bincount(row[bad[index]], minlength=rows) if len(index) else np.zeros(rows)
+    which = known[index] if len(index) else np.zeros(0, int)
+    insult, abuse, profanity, hate, threat = (np.bincount(row[which == k], minlength=rows) for k in range(len(LEXICONS)))
+    insult = insult + abuse
     share = weak.max(axis=1) / np.maximum(per_row, 1)
     raw, offsets = buffers(text)
     upper, letters = _per_row((raw >= 65) & (raw <= 90), offsets), _per_row(((raw | 32) >= 97) & ((raw | 32) <= 122), offsets)
     shout = (upper > 20) & (3 * upper > letters)
     marks = np.zeros(len(raw), bool)
     marks[1:] = (raw[1:] == 33) & (raw[:-1] == 33)
-    address = np.zeros(rows, bool)
-    for i in np.flatnonzero(insult + strong[:, 0]):  # only beside an insult
-        address[i] = ADDRESS.search(raw[offsets[i] : offsets[i + 1]].tobytes().lower()) is not None
-    votes = [strong[:, 0] > 0, strong[:, 0] > 1, strong[:, 0] > 3, strong[:, 1] > 1, strong[:, 2] > 1, strong[:, 3] > 1, weak.max(axis=1) > 2, share > 0.02, insult > 0, insult > 1, address, shout, _per_row(marks, offsets) > 1, (weak.sum(axis=1) + insult) == 0]
+    address, dismissal = (np.bincount(row[_phrases(index, distinct, row, p)], minlength=rows) for p in (ADDRESS, DISMISS))
+    hidden = np.bincount(row[masked[index]], minlength=rows) if len(index) else np.zeros(rows)
+    votes = [
+        strong[:, 0] > 0, strong[:, 0] > 1, strong[:, 0] > 3, strong[:, 1] > 1, strong[:, 2] > 1, strong[:, 3] > 1, weak.max(axis=1) > 2, share > 0.02, insult > 0, insult > 1, abuse > 0, profanity > 0, hate > 0, threat > 0,
+        (address > 0) & (insult > 0), dismissal > 0, shout, _per_row(marks, offsets) > 1, hidden > 0, (weak.sum(axis=1) + insult) == 0,
+    ]
     mask = sum(np.asarray(v, bool).astype(np.int64) << i for i, v in enumerate(votes)) if rows else np.zeros(0, np.int64)
     dense = np.column_stack([np.log1p(strong), np.log1p(weak), np.log1p(insult), np.sqrt(share), np.sqrt(strong.max(axis=1) / np.maximum(per_row, 1))]) if rows else np.zeros((0, DENSE))
-    return mask, dense, (np.concatenate([p for p, _ in pairs]), np.concatenate([f for _, f in pairs]))
+    found = np.concatenate(pairs)
+    return mask, dense, (found // size, found % size)
 
 
 def _per_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -183,34 +217,45 @@ class Model:
     lexicon: Lexicon
     dense: np.ndarray
     votes: np.ndarray
-    hits: np.ndarray
+    terms: np.ndarray
     bias: float
 
     def score(self, text: pa.Array) -> np.ndarray:
         mask, dense, (row, feature) = _views(text, self.lexicon)
-        return 1 / (1 + np.exp(-np.clip(self._logit(mask, dense, row, feature), -30, 30)))
-
-    def _logit(self, mask: np.ndarray, dense: np.ndarray, row: np.ndarray, feature: np.ndarray) -> np.ndarray:
         fired = ((mask[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
-        hit = np.bincount(row, self.hits[feature], len(mask)) if len(feature) else np.zeros(len(mask))
-        return self.bias + dense @ self.dense + fired @ self.votes + np.sign(hit) * np.log1p(np.abs(hit))
+        found = np.bincount(row, self.terms[feature], len(mask)) if len(feature) else np.zeros(len(mask))
+        return _sigmoid(self.bias + dense @ self.dense + fired @ self.votes + found)
+
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-def _train(lexicon: Lexicon, mask: np.ndarray, dense: np.ndarray, target: np.ndarray, prior: float) -> Model:
-    """L2-regularised logistic regression on posterior labels, by Newton steps; hits enter through the dense counts."""
+
+def _train(lexicon: Lexicon, mask: np.ndarray, dense: np.ndarray, hits: tuple[np.ndarray, np.ndarray], target: np.ndarray, prior: float, ridge: float = 1.0, term_ridge: float = 8.0) -> Model:
+    """L2-regularised logistic regression on posterior labels: Newton steps for densities and votes, and between them
+    steps for the terms under a bound of the loss that is separate for each term, so that the loss never rises."""
     fired = ((mask[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
     x = np.column_stack([dense, fired, np.ones(len(mask))])
     w = np.zeros(x.shape[1])
     w[-1] = math.log(prior / (1 - prior))
-    ridge = np.full(len(w), 1.0)
-    ridge[-1] = 1e-3
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), x.T @ (target - p) - ridge * w)
+    least = np.full(len(w), ridge)
+    least[-1] = 1e-3
+    row, feature = hits
+    terms = np.zeros(sum(map(len, lexicon.hashes)))
+    per_row = np.bincount(row, minlength=len(mask))
+    curve = term_ridge + 0.25 * np.bincount(feature, per_row[row], len(terms)) if len(row) else np.ones(len(terms))
+    found = np.zeros(len(mask))
+    for _ in range(60):
+        p = _sigmoid(x @ w + found)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(least), x.T @ (target - p) - least * w)
         w += step
-        if np.abs(step).max() < 1e-6:
+        for _ in range(5 if len(row) else 0):
+            p = _sigmoid(x @ w + found)
+            terms += (np.bincount(feature, (target - p)[row], len(terms)) - term_ridge * terms) / curve
+            found = np.bincount(row, terms[feature], len(mask))
+        if np.abs(step).max() < 1e-4:
             break
-    return Model(lexicon, w[:DENSE], w[DENSE:-1], np.zeros(sum(map(len, lexicon.hashes))), float(w[-1]))
+    return Model(lexicon, w[:DENSE], w[DENSE:-1], terms, float(w[-1]))
 
 
 def training_rows(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
@@ -225,7 +270,7 @@ def induce(texts: DataFrame, positives: int, negatives: int) -> Lexicon:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             index, distinct, per_row = words(batch.column("text"))
-            hashed, _ = _hashes(distinct)
+            hashed, _, _ = _hashes(distinct)
             row, y = np.repeat(np.arange(len(per_row)), per_row), batch.column("y").to_numpy()
             for kind in range(KINDS):
                 f, place = np.unique(hashed[:, kind], return_inverse=True)
@@ -241,7 +286,7 @@ def induce(texts: DataFrame, positives: int, negatives: int) -> Lexicon:
     found = staged(sums.withColumn("odds", odds).where((F.col("odds") >= WEAK) & (F.col("pos") >= least)), "induced")
     lexicon = Lexicon([], [])
     for kind in range(KINDS):
-        best = found.where(F.col("kind") == kind).orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "f").limit(MAX_FEATURES).toPandas()
+        best = found.where(F.col("kind") == kind).select("f", "odds").toPandas()  # from MAX_LABELLED rows at most
         h = best["f"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(h)
         lexicon.hashes.append(h[order])
@@ -255,7 +300,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = staged(docs.join(F.broadcast(chosen), "doc_id").select("text", "y"), "labelled-texts")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
-        return Model(Lexicon(), np.zeros(DENSE), np.zeros(len(VOTERS)), np.zeros(0), 30.0 if sizes.get(1) else -30.0)
+        return Model(Lexicon(), np.zeros(DENSE), np.zeros(len(VOTERS)), np.zeros(1), 30.0 if sizes.get(1) else -30.0)
     lexicon = induce(rows, sizes[1], sizes[0])
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,11 +310,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            mask, dense, _ = _views(batch.column("text"), lexicon)
-            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "mask": mask, "dense": [x.tobytes() for x in dense]})
+            mask, dense, (row, feature) = _views(batch.column("text"), lexicon)
+            cuts = np.searchsorted(np.sort(row), np.arange(len(mask) + 1)).astype(np.int32)
+            terms = pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature[np.argsort(row, kind="stable")]))
+            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "mask": mask, "dense": [x.tobytes() for x in dense], "terms": terms})
 
-    patterns = docs.select("text").mapInArrow(vote, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n")).toPandas()  # 2 ** 14 rows at most
-    seen = rows.mapInArrow(view, "y int, mask long, dense binary").toPandas()
+    patterns = docs.select("text").mapInArrow(vote, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n")).toPandas()  # 2 ** 20 small rows at most, some hundreds in fact
+    seen = rows.mapInArrow(view, "y int, mask long, dense binary, terms array<long>").toPandas()
     y, mask = seen["y"].to_numpy(), seen["mask"].to_numpy()
     every = np.union1d(patterns["mask"].to_numpy(), mask)
     counts = np.zeros(len(every))
@@ -281,19 +328,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     right = np.clip(np.mean(np.where(y == 1, soft, 1 - soft)), 0.6, 0.99)  # the given label is a voter of this accuracy
     logit = np.log(np.clip(soft, 1e-6, 1 - 1e-6) / np.clip(1 - soft, 1e-6, 1 - 1e-6)) + np.where(y == 1, 1, -1) * math.log(right / (1 - right))
     dense = np.stack([np.frombuffer(x) for x in seen["dense"]])
-    return _train(lexicon, mask, dense, 1 / (1 + np.exp(-np.clip(logit, -30, 30))), model.prior)
+    hits = np.repeat(np.arange(len(seen)), seen["terms"].map(len)), np.concatenate([np.zeros(0, np.int64), *seen["terms"]]).astype(np.int64)
+    return _train(lexicon, mask, dense, hits, _sigmoid(logit), model.prior)
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with their columns and _score, the probability that label 1 fits the text; a null text is an empty one."""
-    columns = docs.columns
+    """(row, score): each row of docs as a struct, and the probability that label 1 fits its text; null is the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(model.score(batch.column("_text")))], [*columns, "_score"])
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.score(batch.column("text")))], ["row", "score"])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.withColumn("_text", F.coalesce("text", F.lit(""))).mapInArrow(run, f"{fields}, _score double")
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -301,17 +348,24 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     labels: (doc_id, toxic), learnt from outside the held-out fold only; of repeated ids the largest counts, nulls don't.
     Without labels of both classes every score is that of the one class (no labels: 0). A null text is an empty one,
-    repeated rows get equal scores, no rows give no rows. Only doc_id and text of docs are read.
+    repeated rows get equal scores, no rows give no rows. Only doc_id and text of docs are read. A text is scored whole,
+    in one piece: a task holds about 30 bytes for each byte of a text longer than a slice.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = with_scores(rows, learn(rows, labels))
-    return scored.select("doc_id", (id_crc(F.col("doc_id")) % 3 == 1).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    rows = id_text(docs).select(F.col("doc_id").cast("long"), "text")
+    model = learn(rows, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(batch.column("text")))], ["doc_id", "score"])
+
+    scored = rows.mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", (id_crc(F.col("doc_id")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that aren't predicted toxic."""
-    model = learn(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), labels)
-    return with_scores(docs, model).where(F.col("_score") < THRESHOLD).drop("_score")
+    """The rows of docs, with all their columns under any names, that aren't predicted toxic."""
+    model = learn(id_text(docs).select(F.col("doc_id").cast("long"), "text"), labels)
+    return with_scores(docs, model).where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
