@@ -4,10 +4,11 @@ A first pass leaves hashes of each page's lines; these are sorted by host and UR
 host spreads over many tasks, and each page is paired with the nearest page before it that isn't a near copy of it (the
 first ones of a host with the first such page behind them). Pages of a host with equal lines are one in this and lose the
 same lines. A second pass takes from each page the lines that the pairing has named, so whole pages are never shuffled
-unless these names are too many to broadcast. The text lines of both are aligned by
-longest common subsequence, and lines that they share are deleted: menus, notices and the like recur, articles don't.
-Markup speaks first where there is any: elements that are boilerplate by name, role or class are left out, and lines in
-an article or main element are kept even if the other page has them. A page with no other page than near copies is kept.
+unless these names are too many to broadcast. All text lines of both, in menus and articles alike, are aligned by longest
+common subsequence, and lines that they share are deleted: menus, notices and the like recur, articles don't. Markup
+speaks beside it, where there is any: lines of elements that are boilerplate by name, role or class go also where the
+other page has them not, and lines in an article or main element stay even if it has them, but for those of a header
+inside, where only headings stay. A page with no other page than near copies is kept.
 
 The stream carries the last page and the one that it was paired with. Pages that have no partner so far, at the start of
 a host or partition, are paired in a second step, by a window over one row per host and partition of what was carried.
@@ -35,8 +36,13 @@ CUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
     "navigation newsletter notice notices notification pager pagination popup promo promotion recommended related reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*>?|[^<]+|<", re.S | re.I)
+TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*>?|[^<]+|<",  # the second form: an open quote ends with its tag
+    re.S | re.I,
+)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 SPACES = re.compile(r"\s+")
 PROPERTY = frozenset("has with no without is not".split())  # a name with one of these tells of a wrapper
 NEAR = 0.8  # share of a page's text in shared lines that makes it a near copy
@@ -65,16 +71,20 @@ def _cut(name: str, attributes: str) -> int:
     return soft
 
 
-def lines(page: str) -> tuple[list[str], list[bool]]:
-    """The text blocks of a page outside boilerplate elements, and whether each is in an article or main element.
+LOOSE, KEPT, MARKED = 0, 1, 2  # kinds of lines: go if shared, stay, go
+
+
+def lines(page: str) -> tuple[list[str], list[int]]:
+    """The text blocks of a page and their kinds.
 
-    An element that only its class or id names stays if it holds an article or main element or most of the page's text.
+    KEPT: in an article or main element; MARKED: in an element that is boilerplate by its markup. An element that only
+    its class or id names is none if it holds an article or main element or over four fifths of the page's text.
     """
-    blocks: list[tuple[list[tuple[int, str]], bool]] = []
-    text: list[tuple[int, str]] = []  # the innermost named element, -1 for none, and a text
+    blocks: list[tuple[list[tuple[int, bool, str]], bool]] = []
+    text: list[tuple[int, bool, str]] = []  # the innermost named element, -1 for none, whether it is cut, and a text
     named: list[tuple[int, bool]] = []  # of each named element, the one around it, and whether it is in an article
     size, holds = [], []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, -1)]  # name, cut, main, named
+    stack: list[tuple[str, bool, bool, int, bool]] = [("", False, False, -1, False)]  # name, cut, main, named, header of an article
 
     def close() -> None:
         if text:
@@ -82,18 +92,17 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
             text.clear()
 
     for m in TOKEN.finditer(page):
-        name = m[3]
+        slash, name, attributes = m.group(2, 3, 4) if m[3] else m.group(5, 6, 7)
         if name is None:
             if m[0][0] != "<" or m[0] == "<":
-                if not stack[-1][1]:
-                    text.append((stack[-1][3], m[0]))
+                text.append((stack[-1][3], stack[-1][1], m[0]))
             continue
         name = name.lower()
         if name in BLOCK:
             close()
         elif name == "br":
-            text.append((stack[-1][3], " "))
-        if m[2]:
+            text.append((stack[-1][3], stack[-1][1], " "))
+        if slash:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
                     del stack[k:]
@@ -106,26 +115,29 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
                     break
                 if stack[k][0] in BLOCK:
                     break
-        if name not in VOID and not m[4].endswith("/"):
-            _, cut, inside, outer = stack[-1]
+        if name not in VOID:  # a slash before the end of a tag means nothing in HTML
+            _, cut, inside, outer, head = stack[-1]
             heading = name == "header" and inside  # an article's own header holds its title
-            how = 0 if cut or heading else _cut(name, m[4])
+            how = 0 if cut or heading else _cut(name, attributes)
             if how == 1:
                 named.append((outer, inside))
                 size.append(0), holds.append(False)
                 outer = len(named) - 1
             if name in ("article", "main") and not cut and outer >= 0:
                 holds[outer] = True
-            stack.append((name, cut or how == 2, inside or name in ("article", "main"), outer))
+            head = (head or heading) and name not in ("article", "main")
+            kept = name in ("article", "main") or (head and name in HEADINGS or inside) and not heading
+            stack.append((name, cut or how == 2, kept, outer, head))
     close()
     if named:
         whole = 0
         for parts, _ in blocks:
-            for k, x in parts:
-                n = len("".join(x.split()))
-                whole += n
-                if k >= 0:
-                    size[k] += n
+            for k, cut, x in parts:
+                if not cut:
+                    n = len("".join(x.split()))
+                    whole += n
+                    if k >= 0:
+                        size[k] += n
         for k in range(len(named) - 1, -1, -1):
             outer, inside = named[k]
             if outer >= 0:
@@ -134,15 +146,16 @@ def lines(page: str) -> tuple[list[str], list[bool]]:
             holds[k] &= not inside  # an article in the comments of an article doesn't save them
         gone = []
         for k, (outer, _) in enumerate(named):
-            gone.append(outer >= 0 and gone[outer] or not (holds[k] or 2 * size[k] > whole))
-        blocks = [([x for x in parts if x[0] < 0 or not gone[x[0]]], inside) for parts, inside in blocks]
-    out, main = [], []
+            gone.append(outer >= 0 and gone[outer] or not (holds[k] or 5 * size[k] > 4 * whole))
+        blocks = [([(k, cut or k >= 0 and gone[k], x) for k, cut, x in parts], inside) for parts, inside in blocks]
+    out, kinds = [], []
     for parts, inside in blocks:
-        block = SPACES.sub(" ", html.unescape("".join(x for _, x in parts))).strip()
-        if block:
-            out.append(block)
-            main.append(inside)
-    return out, main
+        for kind in (KEPT if inside else LOOSE, MARKED):
+            block = SPACES.sub(" ", html.unescape("".join(x for _, cut, x in parts if cut == (kind == MARKED)))).strip()
+            if block:
+                out.append(block)
+                kinds.append(kind)
+    return out, kinds
 
 
 # --- alignment -------------------------------------------------------------------------------------------------------
@@ -196,11 +209,11 @@ def common(a: list, b: list, memory: int = 1 << 30) -> set[int]:
     return out
 
 
-def shared_lines(own: list[int], main: list[bool], other: list[int] | None) -> list[int]:
-    """The places of the lines that go because the paired page has them; none if all lines would go."""
-    loose = [i for i, m in enumerate(main) if not m] if other else []
+def shared_lines(own: list[int], kinds: list[int], other: list[int] | None) -> list[int]:
+    """The places of the lines that go because the paired page has them; none if nothing of the page would be left."""
+    loose = [i for i, k in enumerate(kinds) if k != KEPT] if other else []
     out = sorted(loose[i] for i in common([own[i] for i in loose], other)) if loose else []
-    return out if len(out) < len(own) else []
+    return out if {i for i, k in enumerate(kinds) if k != MARKED} - set(out) else []
 
 
 # --- pairing ---------------------------------------------------------------------------------------------------------
@@ -214,19 +227,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?(.*)$", 1)
 
 
-STEP = pa.schema([("host", pa.string()), ("part", pa.int32()), ("sig", pa.int64()), ("kind", pa.string()), ("shared", pa.list_(pa.int32())), ("own", pa.list_(pa.int64())), ("main", pa.list_(pa.bool_())), ("size", pa.list_(pa.int32()))])
+STEP = pa.schema([("host", pa.string()), ("part", pa.int32()), ("sig", pa.int64()), ("kind", pa.string()), ("shared", pa.list_(pa.int32())), ("own", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int8())), ("size", pa.list_(pa.int32()))])
 FIELDS = "page_id long, url string, key long, host string, path string"
 
 
-def paired(own: list[int], main: list[bool], size: list[int], others: list[list[int] | None]) -> tuple[int, list[int]]:
+def paired(own: list[int], kinds: list[int], size: list[int], others: list[list[int] | None]) -> tuple[int, list[int]]:
     """Which of others is the first that the page isn't a near copy of (-1: none), and the places of the lines that go."""
+    size = [0 if k == MARKED else n for n, k in zip(size, kinds, strict=True)]
     for k, other in enumerate(others):
-        if other:
-            places = common(own, other)
-            if sum(size[i] for i in places) < NEAR * sum(size):
-                if any(main):
-                    return k, shared_lines(own, main, other)
-                return k, sorted(places) if len(places) < len(own) else []
+        if other and sum(size[i] for i in common(own, other)) < max(1, NEAR * sum(size)):
+            return k, shared_lines(own, kinds, other)
     return -1, []
 
 
@@ -241,11 +251,11 @@ def _hashed(rows: DataFrame) -> DataFrame:
             own = [[xxh3_64_intdigest(x) - 2**63 for x in p[0]] for p in pages]
             columns = [batch.column(c) for c in ("page_id", "url", "key", "host", "path")]
             size = pa.array([[len(x) for x in p[0]] for p in pages], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.list_(pa.int64())), pa.array([p[1] for p in pages], pa.list_(pa.bool_())), size], ["page_id", "url", "key", "host", "path", "own", "main", "size"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.list_(pa.int64())), pa.array([p[1] for p in pages], pa.list_(pa.int8())), size], ["page_id", "url", "key", "host", "path", "own", "kinds", "size"])
 
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).select("page_id", "url", "key", "host", "path", "html")
-    rows = rows.mapInArrow(run, f"{FIELDS}, own array<long>, main array<boolean>, size array<int>").dropDuplicates(["page_id", "url", "key"])
-    return staged(rows.withColumn("sig", F.xxhash64("own", "main")), "page-lines")
+    rows = rows.mapInArrow(run, f"{FIELDS}, own array<long>, kinds array<tinyint>, size array<int>").dropDuplicates(["page_id", "url", "key"])
+    return staged(rows.withColumn("sig", F.xxhash64("own", "kinds")), "page-lines")
 
 
 def decisions(hashed: DataFrame) -> DataFrame:
@@ -260,14 +270,14 @@ def decisions(hashed: DataFrame) -> DataFrame:
             out.append(dict(zip(STEP.names, (host, part, sig, kind, *lists, *[None] * (4 - len(lists))), strict=True)))
 
         for batch in batches:
-            for found, sig, own, main, size in zip(*(batch.column(c).to_pylist() for c in ("host", "sig", "own", "main", "size")), strict=True):
+            for found, sig, own, kinds, size in zip(*(batch.column(c).to_pylist() for c in ("host", "sig", "own", "kinds", "size")), strict=True):
                 if found != host:  # what the first host of a partition carries, also if it ends here, stands for it
                     if last:
                         put(None, "last", None, last)
                     host, last, other, open_ = found, None, None, True
-                k, shared = paired(own, main, size, [last, other])
+                k, shared = paired(own, kinds, size, [last, other])
                 if k < 0:
-                    put(sig, "waits", None, own, main, size)
+                    put(sig, "waits", None, own, kinds, size)
                 else:
                     if open_:
                         put(None, "first", None, own)
@@ -287,8 +297,8 @@ def decisions(hashed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, STEP)
 
     # one page stands for all of its host with the same lines
-    pages = hashed.where(F.size("own") > 0).groupBy("host", "sig").agg(F.min(F.struct("path", "own", "main", "size")).alias("x")).select("host", "x.*", "sig")
-    steps = pages.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "host string, part int, sig long, kind string, shared array<int>, own array<long>, main array<boolean>, size array<int>")
+    pages = hashed.where(F.size("own") > 0).groupBy("host", "sig").agg(F.min(F.struct("path", "own", "kinds", "size")).alias("x")).select("host", "x.*", "sig")
+    steps = pages.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "host string, part int, sig long, kind string, shared array<int>, own array<long>, kinds array<tinyint>, size array<int>")
     steps = staged(steps, "page-pairs")
     carried = steps.where("kind in ('first', 'last', 'other')").groupBy("host", "part").agg(*(F.first(F.when(F.col("kind") == c, F.col("own")), True).alias(c) for c in ("first", "last", "other")))
     by = Window.partitionBy("host").orderBy("part")
@@ -299,11 +309,11 @@ def decisions(hashed: DataFrame) -> DataFrame:
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared = [paired(*x[:3], x[3] or [])[1] for x in zip(*(batch.column(c).to_pylist() for c in ("own", "main", "size", "others")), strict=True)]
+            shared = [paired(*x[:3], x[3] or [])[1] for x in zip(*(batch.column(c).to_pylist() for c in ("own", "kinds", "size", "others")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("sig"), pa.array(shared, pa.list_(pa.int32()))], ["host", "sig", "shared"])
 
-    waiting = steps.where("kind = 'waits'").select("host", "part", "sig", "own", "main", "size").join(carried, ["host", "part"])
-    waiting = waiting.select("host", "sig", "own", "main", "size", "others").mapInArrow(again, "host string, sig long, shared array<int>")
+    waiting = steps.where("kind = 'waits'").select("host", "part", "sig", "own", "kinds", "size").join(carried, ["host", "part"])
+    waiting = waiting.select("host", "sig", "own", "kinds", "size", "others").mapInArrow(again, "host string, sig long, shared array<int>")
     both = steps.where("kind = 'done'").select("host", "sig", "shared").unionByName(waiting).where("size(shared) > 0")
     return staged(hashed.select("page_id", "url", "key", "host", "sig").join(both, ["host", "sig"]).select("page_id", "url", "key", "shared"), "shared-lines")
 
@@ -323,8 +333,8 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, "html"):
             texts = []
             for page, shared in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist(), strict=True):
-                own, drop = lines(page)[0], set(shared or ())
-                texts.append("\n\n".join(x for i, x in enumerate(own) if i not in drop))
+                (own, kinds), drop = lines(page), set(shared or ())
+                texts.append("\n\n".join(x for i, x in enumerate(own) if kinds[i] != MARKED and i not in drop))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
