@@ -71,13 +71,14 @@ def _key(seed: int) -> Column:
 
 
 def marked(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """docs with _size, _source_size, _target and _epochs; nothing but the sums and the few boundary rows is shuffled."""
-    plan = mix_plan(docs, seed=seed, **options).select(*(F.col(c).alias(f"_{c}") for c in ("s", "source_size", "target", "whole", "bucket_cut", "last")))
+    """(row, source, size, source_size, target, epochs): row is each row of docs, as a struct; only sums and the few
+    boundary rows are shuffled."""
+    plan = mix_plan(docs.select("doc_id", "source", "text"), seed=seed, **options)
     own = F.struct(_key(seed).alias("key"), "doc_id", size_of(F.col("text")).alias("size"))
-    rows = docs.withColumn("_own", own).join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    first = F.substring("_own.key", 1, BUCKET_DIGITS) < F.col("_bucket_cut")
-    more = F.coalesce(first | (F.col("_own") <= F.col("_last")), first, F.lit(False))
-    return rows.select(*docs.columns, F.col("_own.size").alias("_size"), "_source_size", "_target", (F.col("_whole") + more.cast("int")).cast("int").alias("_epochs"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source", own.alias("own")).join(plan, F.col("source").eqNullSafe(F.col("s")))
+    first = F.substring("own.key", 1, BUCKET_DIGITS) < F.col("bucket_cut")
+    more = F.coalesce(first | (F.col("own") <= F.col("last")), first, F.lit(False))
+    return rows.select("row", "source", F.col("own.size").alias("size"), "source_size", "target", (F.col("whole") + more.cast("int")).cast("int").alias("epochs"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, max_epochs: int = 3, seed: int = 17) -> DataFrame:
@@ -89,13 +90,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     give no rows; other columns of docs are not read. The result depends on the rows and the seed only.
     """
     rows = marked(docs.select("doc_id", "source", "text"), weights=weights, share=share, max_epochs=max_epochs, seed=seed)
-    return rows.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_epochs").alias("epochs"), (F.col("_size") * F.col("_epochs")).alias("taken"))
+    return rows.select("row.doc_id", "source", "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with their columns."""
-    rows = marked(docs, **options).where("_epochs > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*docs.columns)
+    """The rows of docs as often as the mix takes them, with all their columns under any names."""
+    rows = marked(docs, **options).where("epochs > 0")
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("row.*")
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,25 +65,22 @@ def _hashes(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             n = len(w)
             out[i] = (h(w), h(w[:4], 4) if n > 4 else 0, h(w[:5], 5) if n > 5 else 0, h(w[:6], 6) if n > 6 else 0)
             known[i] = _KNOWN.get(w, -1)
-            masked[i] = _MASKED.fullmatch(w) is not None
+            masked[i] = not w.isalpha() and _MASKED.fullmatch(w) is not None
     return out, known, masked
 
 
-def _phrases(index: np.ndarray, distinct: list[bytes], row: np.ndarray, phrases: tuple[str, ...]) -> np.ndarray:
-    """The places of words that begin one of the phrases of one or two words."""
-    wanted, places = {w for p in phrases for w in p.encode().split()}, {}
-    for i, w in enumerate(distinct):
-        if (bare := w.strip(EDGES)) in wanted:
-            places.setdefault(bare, []).append(i)
-    out = np.zeros(len(index), bool)
-    for p in phrases:
-        first, *more = p.encode().split()
-        if first in places and all(w in places for w in more):
-            hit = np.isin(index, places[first])
-            if more:
-                hit[:-1] &= np.isin(index[1:], places[more[0]]) & (row[1:] == row[:-1])
-                hit[-1:] = False
-            out |= hit
+def _phrases(index: np.ndarray, distinct: list[bytes], row: np.ndarray, rows: int) -> list[np.ndarray]:
+    """How often each row holds one of the phrases of ADDRESS, and of DISMISS; a phrase has one or two words."""
+    number = {w: i + 1 for i, w in enumerate(sorted({w for p in (*ADDRESS, *DISMISS) for w in p.encode().split()}))}
+    code = np.fromiter((number.get(w.strip(EDGES), 0) for w in distinct), np.int64, len(distinct))
+    codes = np.append(code[index], 0) if len(index) else np.zeros(1, np.int64)
+    at = np.flatnonzero(codes)
+    after = np.where(np.append(row, -1)[np.minimum(at + 1, len(row))] == row[at], codes[np.minimum(at + 1, len(row))], 0) if len(at) else at
+    out, size = [], len(number) + 1
+    for phrases in (ADDRESS, DISMISS):
+        numbers = [[number[w] for w in p.encode().split()] for p in phrases]
+        hit = np.isin(codes[at], [x[0] for x in numbers if len(x) == 1]) | np.isin(codes[at] * size + after, [x[0] * size + x[1] for x in numbers if len(x) == 2])
+        out.append(np.bincount(row[at[hit]], minlength=rows))
     return out
 
 
@@ -128,7 +125,7 @@ def _views(text: pa.Array, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, tu
     shout = (upper > 20) & (3 * upper > letters)
     marks = np.zeros(len(raw), bool)
     marks[1:] = (raw[1:] == 33) & (raw[:-1] == 33)
-    address, dismissal = (np.bincount(row[_phrases(index, distinct, row, p)], minlength=rows) for p in (ADDRESS, DISMISS))
+    address, dismissal = _phrases(index, distinct, row, rows)
     hidden = np.bincount(row[masked[index]], minlength=rows) if len(index) else np.zeros(rows)
     votes = [
         strong[:, 0] > 0, strong[:, 0] > 1, strong[:, 0] > 3, strong[:, 1] > 1, strong[:, 2] > 1, strong[:, 3] > 1, weak.max(axis=1) > 2, share > 0.02, insult > 0, insult > 1, abuse > 0, profanity > 0, hate > 0, threat > 0,

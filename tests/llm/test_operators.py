@@ -434,6 +434,87 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_toxicity(table(spark, EMPTY), none).collect() == []
 
 
+def test_scores_are_those_of_the_linear_model():
+    """Votes, densities and terms of each text by hand, from its words one by one."""
+    r = random.Random(3)
+    terms = ["blarg", "zork", "idiot"]
+    xxh = pytest.importorskip("xxhash").xxh3_64_intdigest
+    hashes = sorted(xxh(t.encode()) for t in terms)
+    lexicon = toxicity.Lexicon([np.array(hashes, np.uint64), *[np.zeros(0, np.uint64)] * 3], [np.array([h != xxh(b"zork") for h in hashes]), *[np.zeros(0, bool)] * 3])
+    model = toxicity.Model(lexicon, np.array([r.uniform(-1, 1) for _ in range(toxicity.DENSE)]), np.array([r.uniform(-1, 1) for _ in toxicity.VOTERS]), np.array([0.5, -0.25, 0.75]), -0.3)
+    words = ["a", "b", "you", "are", "idiot", "Idiot!", "blarg", "zork,", "scum", "shut", "up", "hate", "kill", "f*ck", "damn", "TU", "es"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(60)] + ["", "LOUD " * 20, "what!! no!!"]
+    for text, score in zip(texts, model.score(pa.array(texts)), strict=True):
+        own = [w.strip(toxicity.EDGES.decode()) for w in text.lower().split()]
+        count = lambda lex: sum(w in toxicity.LEXICONS[lex].split() for w in own)
+        hit, strong = sum(w in terms for w in own), sum(w in ("blarg", "idiot") for w in own)
+        insult = count("insult") + count("abuse")
+        pairs = {" ".join(x) for x in zip(own, own[1:])} | set(own)
+        share = hit / max(1, len(own))
+        upper, letters = sum(c.isupper() for c in text), sum(c.isalpha() for c in text)
+        votes = [
+            strong > 0, strong > 1, strong > 3, False, False, False, hit > 2, share > 0.02, insult > 0, insult > 1, count("abuse") > 0, count("profanity") > 0, count("hate") > 0, count("threat") > 0,
+            bool(pairs & set(toxicity.ADDRESS)) and insult > 0, bool(pairs & set(toxicity.DISMISS)), upper > 20 and 3 * upper > letters, sum(x == "!!" for x in map("".join, zip(text, text[1:]))) > 1, any(re.fullmatch(r"[a-z]+[*@$#]+[a-z]+", w) for w in own),
+            hit + insult == 0,
+        ]
+        dense = [math.log1p(strong), 0, 0, 0, math.log1p(hit), 0, 0, 0, math.log1p(insult), math.sqrt(share), math.sqrt(strong / max(1, len(own)))]
+        found = sum(model.terms[hashes.index(xxh(t.encode()))] for t in terms if t in own)
+        z = model.bias + float(np.dot(dense, model.dense)) + sum(w for w, v in zip(model.votes, votes) if v) + found
+        assert score == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_label_model_by_hand():
+    """Expectation maximisation over documents one by one, with independent voters, gives the model over patterns."""
+    r = np.random.default_rng(1)
+    y = r.random(300) < 0.3
+    fire = np.array([np.where(y, r.random(300) < 0.7, r.random(300) < 0.2) for _ in toxicity.VOTERS])
+    mask = sum(f.astype(int) << i for i, f in enumerate(fire))
+    every, counts = np.unique(mask, return_counts=True)
+    known = np.zeros((len(every), 2))
+    np.add.at(known, (np.searchsorted(every, mask[:60]), y[:60].astype(int)), 1)
+    model = toxicity.fit_labels(every, counts.astype(float), known, rounds=3, tie=2.0)
+    boost, weight = max(1.0, 300 / 60), [[[0.0, 0.0] for _ in range(300)], None]
+    given = [[boost * (i < 60 and not y[i]), boost * (i < 60 and y[i])] for i in range(300)]
+    weight = [list(g) for g in given]
+    for _ in range(6):
+        total = [sum(w[c] for w in weight) for c in (0, 1)]
+        prior = min(max(total[1] / sum(total), 1e-4), 1 - 1e-4)
+        rate = [[(sum(w[c] for w, f in zip(weight, fire[v]) if f) + 1) / (total[c] + 2) for v in range(len(fire))] for c in (0, 1)]
+        post = []
+        for i in range(300):
+            odds = math.log(prior / (1 - prior))
+            for v in range(len(fire)):
+                a, b = (rate[c][v] if fire[v][i] else 1 - rate[c][v] for c in (1, 0))
+                odds += math.log(a / b)
+            post.append(1 / (1 + math.exp(-odds)))
+        last = post
+        weight = [[g[0] + 1 - p, g[1] + p] for g, p in zip(given, post)]
+    total = [sum(w[c] for w in weight) for c in (0, 1)]
+    rate = [[(sum(w[c] for w, f in zip(weight, fire[v]) if f) + 1) / (total[c] + 2) for v in range(len(fire))] for c in (0, 1)]
+    assert model.prior == pytest.approx(prior) and len(last) == 300
+    for group, table in zip(model.groups, model.tables, strict=True):
+        assert table[1][1] == pytest.approx(rate[1][group[0]]) and table[0][1] == pytest.approx(rate[0][group[0]])
+
+
+def test_stage_functions_take_any_column_names(spark):
+    rows, labels = toxic_rows(60)
+    rows = [(i, t, s, 7, 8, 9, 10) for i, t, s in [*rows, (5, rows[5][1], "s"), (None, None, None), (None, "x " * 50_000, "s")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _score int, _id int, row int, `a.b` int")
+    docs = docs.withColumn("_s", F.lit(1)).withColumn("_sha", F.lit("a")).withColumn("_stay", F.lit(2)).withColumn("mark", F.lit(3)).withColumn("_epochs", F.lit(1))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for stage in (lambda d: toxicity.drop_toxic(d, marks), exact_dedup.drop_copies, jaccard_join.one_of_each, source_mix.mixed):
+        out = stage(docs)
+        assert out.columns == docs.columns and 0 < out.count() <= 3 * docs.count()
+        assert stage(docs.limit(0)).count() == 0
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, a, "s"), (4, a, "s"), (4, b, "s"), (4, b, "s"), (None, b, "s"), (9, None, "s"), (9, "", "s")]
+    got = sorted(((x.doc_id or 0, x.text or "") for x in jaccard_join.one_of_each(table(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, a), (4, b), (9, ""), (9, "")], key=str)
+
+
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(7)
     y = r.random(20_000) < 0.2
