@@ -5,8 +5,13 @@ Python's str methods treat Unicode white space and word characters alike; the pa
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Scripts written without spaces, and scripts whose words spaces divide.
 NO_SPACE = r"[一-鿿぀-ゟ゠-ヿ가-힯฀-໿က-႟ក-៿ऀ-෿]"
@@ -122,3 +127,131 @@ def register(spark) -> None:
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION is_pure_punctuation(t STRING) RETURNS BOOLEAN RETURN NOT regexp_like(t, '(?U)\\w')")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION cue_words(t STRING) RETURNS INT RETURN regexp_count(t, r'{NO_SPACE}') + size(filter(split(regexp_replace(t, r'{NO_SPACE}', ' '), r'(?U)\\s+'), x -> x <> ''))".replace(r"\\s", r"\s"))
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION srt_time(ms BIGINT) RETURNS STRING RETURN format_string('%02d:%02d:%02d,%03d', ms div 3600000, (ms div 60000) % 60, (ms div 1000) % 60, ms % 1000)")
+
+
+# --- words, sentences and small conversions --------------------------------------------------------------------------
+
+#: Punctuation that displayed subtitles are freed of (decimal points stay), and an apostrophe in English.
+SHOWN = r"[。，！？；：、,!?;:　「」『』“”‘’（）()【】\[\]\"…—–·《》〈〉-]|(?<![0-9])\.|\.(?![0-9])"
+APOSTROPHE = r"(?i)[’‘]['‘]?(?:s|t|re|ve|ll|m|d)\b"
+#: Letters that recognition takes for each other.
+CONFUSABLE = "vf bp dt sz mn ie ae ou ck gj lr wv xs qw ph cz".split()
+
+
+def is_word_level(text: Column) -> Column:
+    """One word, or one or two characters of a script without spaces."""
+    t = strip(text)
+    return F.when(is_mainly_cjk(t), F.length(t) <= 2).otherwise(F.size(tokens_by_space(t)) == 1)
+
+
+def strip_subtitle_punctuation(text: Column, english: bool = False) -> Column:
+    """Text without the punctuation that subtitles don't show; English apostrophes are made straight and stay."""
+    straight = F.translate(text, "‘’", "''")
+    own = straight if english else F.when(text.rlike(APOSTROPHE), straight).otherwise(text)
+    return F.regexp_replace(own, SHOWN, "")
+
+
+def utterances(text: Column) -> Column:
+    """The parts of a plain text between sentence ends and line ends, without blanks."""
+    return F.filter(F.transform(F.split(text, r"(?<=[。？！\n])"), lambda x: strip(x)), lambda x: x != "")
+
+
+def pack_words(text: Column, limit: int = 50) -> Column:
+    """The words of a text packed in order into lines of at most limit characters, longer words alone."""
+    words = tokens_by_space(text)
+    start = F.array().cast("array<string>")
+    add = lambda acc, w: F.when((F.size(acc) > 0) & (F.length(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))) + 1 + F.length(w) <= limit), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.try_element_at(acc, F.lit(-1)), F.lit(" "), w)))).otherwise(F.concat(acc, F.array(w)))
+    return F.aggregate(words, start, add)
+
+
+def char_cost(a: Column, b: Column, sounds: dict[str, str] | None = None) -> Column:
+    """Cost of one character for another: 0 for the same letter, 0.6 for confusable ones, else 1.
+
+    sounds: syllable with tone of characters, as ni3; equal ones cost 0.25, in another tone 0.4, with one part in common 0.7.
+    """
+    x, y = F.lower(a), F.lower(b)
+    pairs = F.array(*map(F.lit, CONFUSABLE))
+    cost = F.when(x == y, 0.0).when(F.array_contains(pairs, F.concat(x, y)) | F.array_contains(pairs, F.concat(y, x)), 0.6)
+    if sounds:
+        table = F.create_map(*(F.lit(z) for pair in sounds.items() for z in pair))
+        s, t = F.try_element_at(table, a), F.try_element_at(table, b)
+        plain = lambda c: F.regexp_replace(c, "[0-9]$", "")
+        initial = lambda c: F.regexp_extract(c, "^(zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?", 0)
+        final = lambda c: F.regexp_replace(plain(c), "^(zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])", "")
+        shared = ((initial(s) == initial(t)) & (initial(s) != "")) | ((final(s) == final(t)) & (final(s) != ""))
+        cost = cost.when(s == t, 0.25).when(plain(s) == plain(t), 0.4).when(shared, 0.7)
+    return cost.otherwise(1.0)
+
+
+def short_hash(text: Column, digits: int = 10) -> Column:
+    return F.substring(F.md5(text), 1, digits)
+
+
+def distinct_in_order(listed: Column, separator: str = ",") -> Column:
+    """The distinct parts of a list as text, in order, without blanks."""
+    return F.array_distinct(F.filter(F.transform(F.split(listed, separator), lambda x: strip(x)), lambda x: x != ""))
+
+
+def ass_colour(web: Column) -> Column:
+    """#RRGGBB, or #RRGGBBAA with AA for opaqueness, as &HAABBGGRR with AA for transparency."""
+    hexes = F.upper(F.regexp_replace(web, "^#", ""))
+    part = lambda k: F.substring(hexes, k, 2)
+    clear = F.when(F.length(hexes) == 8, F.lpad(F.hex((255 - F.conv(part(7), 16, 10).cast("int")).cast("long")), 2, "0")).otherwise(F.lit("00"))
+    return F.when(hexes.rlike("^([0-9A-F]{6}|[0-9A-F]{8})$"), F.concat(F.lit("&H"), clear, part(5), part(3), part(1)))
+
+
+def web_colour(ass: Column) -> Column:
+    """&HAABBGGRR or &HBBGGRR as #RRGGBB."""
+    hexes = F.lpad(F.upper(F.regexp_replace(ass, "(?i)^&H|&$", "")), 8, "0")
+    return F.concat(F.lit("#"), F.substring(hexes, 7, 2), F.substring(hexes, 5, 2), F.substring(hexes, 3, 2))
+
+
+@F.pandas_udf(StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """Character references decoded."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+def translation_input(text: Column, most: int = 5000) -> Column:
+    return F.substring(text, 1, most)
+
+
+def _packed(parts: list[str], limit: int, split_longer) -> list[str]:
+    """Parts joined in order into lines of at most limit characters; longer parts are split, their last piece goes on."""
+    out, line = [], ""
+    for part in parts:
+        if not part.strip():
+            continue
+        if len(line) + len(part) <= limit:
+            line += part
+            continue
+        if line:
+            out.append(line.strip())
+        *whole, line = split_longer(part) if len(part) > limit else [part]
+        out += [x.strip() for x in whole]
+    return [*out, line.strip()] if line.strip() else out
+
+
+def _hard(text: str, limit: int) -> list[str]:
+    """A text cut at limit characters, or behind the last comma or space of the ten before."""
+    out = []
+    while len(text) > limit:
+        near = [i + 1 for i in range(limit - 1, max(0, limit - 10), -1) if text[i] in "，,、 　"]
+        at = near[0] if near else limit
+        out.append(text[:at].strip())
+        text = text[at:].strip()
+    return [*out, text] if text or not out else out
+
+
+def sentence_lines(text: str, limit: int = 30) -> list[str]:
+    """A text as lines for subtitles: by line ends, sentence ends (no decimal points), commas, and at last by length."""
+    out = []
+    for line in text.split("\n"):
+        parts = re.findall(r"(?:[^。！？；.!?;]|(?<=[0-9])\.(?=[0-9]))*(?:[。！？；!?;.]|$)", line.strip())
+        out += _packed(parts, limit, lambda s: _packed(re.findall(r"[^，,、]*(?:[，,、]|$)", s), limit, lambda x: _hard(x, limit)) or [s])
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def pack_sentences(text: pd.Series, limit: pd.Series) -> pd.Series:
+    return pd.Series([sentence_lines(t or "", int(n)) for t, n in zip(text, limit, strict=True)])

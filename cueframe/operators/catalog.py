@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueframe.functions import text as T
+
 
 def voices(catalog: DataFrame) -> DataFrame:
     """(language, name, voice) of catalogues (content): JSON of language to display name to voice."""
@@ -122,3 +124,44 @@ def lines_of(texts: DataFrame, width: int) -> DataFrame:
     rows = rows.withColumn("line", F.least(F.floor((F.col("_upto") - F.col("_u") / 2) * F.col("_n") / F.col("_all")), F.col("_n") - 1))
     parts = rows.groupBy("track_id", "seg_idx", "line").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]), "")).alias("t"))
     return parts.groupBy("track_id", "seg_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n").alias("text"))
+
+
+#: Codes of languages by service, in the order google, bing, deeplx; None where the service has none.
+LANGUAGE_CODES = {
+    "simplified_chinese": ("zh-CN", "zh-Hans", "zh-Hans"), "traditional_chinese": ("zh-TW", "zh-Hant", "zh-Hant"),
+    "english": ("en", "en", "en"), "english_us": ("en", "en", "en-US"), "english_uk": ("en", "en", "en-GB"),
+    "japanese": ("ja", "ja", "ja"), "korean": ("ko", "ko", "ko"), "cantonese": ("yue", "yue", None), "thai": ("th", "th", None), "vietnamese": ("vi", "vi", None),
+    "indonesian": ("id", "id", "id"), "malay": ("ms", "ms", None), "tagalog": ("tl", "fil", None),
+    "french": ("fr", "fr", "fr"), "german": ("de", "de", "de"), "spanish": ("es", "es", "es"), "spanish_latam": ("es", "es", None), "russian": ("ru", "ru", "ru"),
+    "portuguese": ("pt", "pt", "pt"), "portuguese_br": ("pt", "pt", "pt-BR"), "portuguese_pt": ("pt", "pt-PT", "pt-PT"), "italian": ("it", "it", "it"),
+    "dutch": ("nl", "nl", "nl"), "polish": ("pl", "pl", "pl"), "turkish": ("tr", "tr", "tr"), "greek": ("el", "el", "el"), "czech": ("cs", "cs", "cs"),
+    "swedish": ("sv", "sv", "sv"), "danish": ("da", "da", "da"), "finnish": ("fi", "fi", "fi"), "norwegian": ("no", "nb", "nb"), "hungarian": ("hu", "hu", "hu"),
+    "romanian": ("ro", "ro", "ro"), "bulgarian": ("bg", "bg", "bg"), "ukrainian": ("uk", "uk", "uk"), "arabic": ("ar", "ar", "ar"), "hebrew": ("he", "he", None), "persian": ("fa", "fa", None),
+}
+SERVICES = ("google", "bing", "deeplx")
+
+
+def language_code(language: Column, service: Column) -> Column:
+    """The code that a translation service has for a language; simplified Chinese where it has none."""
+    entries = [(f"{s}:{name}", codes[i]) for i, s in enumerate(SERVICES) for name, codes in LANGUAGE_CODES.items() if codes[i]]
+    table = F.create_map(*(F.lit(x) for e in entries for x in e))
+    return F.coalesce(F.try_element_at(table, F.concat(service, F.lit(":"), language)), F.try_element_at(table, F.concat(service, F.lit(":simplified_chinese"))), F.lit("zh-CN"))
+
+
+def presets_for(rows: DataFrame, provider: str) -> DataFrame:
+    """Presets of a provider, and those without one."""
+    return rows.where(T.is_blank(F.col("provider")) | (F.lower("provider") == provider.lower()))
+
+
+def voice_problems(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (provider, voice) with problem where the provider doesn't have the voice, or there is none; known: (provider, voice)."""
+    own = known.select("provider", "voice").distinct().withColumn("_known", F.lit(True))
+    out = rows.join(own, ["provider", "voice"], "left")
+    return out.withColumn("problem", F.when(T.is_blank(F.col("voice")), "no voice").when(F.col("_known").isNull(), F.concat(F.lit("unknown voice: "), "voice"))).drop("_known")
+
+
+def replace_provider(maps: DataFrame, provider: str, voices_: dict[str, str]) -> DataFrame:
+    """maps (voices: provider to speaker to voice) with one provider's part replaced."""
+    own = F.create_map(*(F.lit(x) for e in voices_.items() for x in e)) if voices_ else F.create_map().cast("map<string,string>")
+    rest = F.map_filter("voices", lambda k, _: k != provider.lower())
+    return maps.withColumn("voices", F.map_concat(rest, F.create_map(F.lit(provider.lower()), own)))

@@ -81,3 +81,20 @@ def bridge(intervals: DataFrame, max_gap_ms: int) -> DataFrame:
     rows = intervals.withColumn("_new", F.coalesce(F.col("start_ms") - reach > max_gap_ms, F.lit(True)).cast("long"))
     rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("track_id", "_run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("pieces")).drop("_run")
+
+
+def bridge_unblocked(spans: DataFrame, blockers: DataFrame) -> DataFrame:
+    """Spans (track_id, start_ms, end_ms) merged over any gap in which no blocker (same columns) lies, even in part.
+
+    Spans are merged where they overlap first. A gap is blocked if the last blocker that starts before the next span ends
+    behind the span before; blockers merged where they overlap make that one as-of look-up.
+    """
+    rows = bridge(spans.where("end_ms > start_ms"), 0)
+    walls = bridge(blockers.where("end_ms > start_ms"), 0).select("track_id", F.col("start_ms").alias("t"), F.col("end_ms").alias("wall"), F.lit(None).cast("long").alias("end_ms"))
+    both = rows.select("track_id", F.col("start_ms").alias("t"), F.lit(None).cast("long").alias("wall"), "end_ms").unionByName(walls)
+    order = Window.partitionBy("track_id").orderBy("t", F.col("wall").isNotNull())  # a blocker from the span's start on isn't in the gap
+    both = both.withColumn("wall", F.max("wall").over(order.rowsBetween(Window.unboundedPreceding, -1))).where("end_ms is not null")
+    before = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("_new", before.isNull() | F.coalesce(F.col("wall") > before, F.lit(False)).cast("long"))
+    both = both.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return both.groupBy("track_id", "_run").agg(F.min("t").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_run")

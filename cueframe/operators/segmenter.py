@@ -1,11 +1,12 @@
 """Cutting word rows into readable segments by rules: gaps, connectives, and the longest pauses of what is too long.
 
-Each rule depends on the cuts before it, so a run of words is folded in Python; Spark groups the runs. Runs are bounded
-first by a plain gap rule in the windows of cueframe.operators.timeline, so a task never holds a whole long track.
+Each rule depends on the cuts before it, so a run of words is folded in Python; Spark groups the runs. A run ends at a gap
+wider than any rule allows, found by a window, and at a change of speaker; a track without such a gap is one run.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,79 +15,96 @@ from cueframe.functions import text as T
 from cueframe.operators import timeline
 
 #: Words before which, and after which, a long run may be cut.
-BEFORE_WORDS = ("and", "or", "but", "if", "then", "because", "as", "until", "while", "what", "when", "where", "nor", "yet", "so", "for", "however", "moreover", "和", "及", "与", "但", "而", "或", "因")
-AFTER_WORDS = (".", ",", "!", "?", "。", "，", "！", "？", "的", "了", "着", "过", "吗", "呢", "吧", "啊", "呀", "嘛", "啦")
+BEFORE_WORDS = (
+    "and", "or", "but", "if", "then", "because", "as", "until", "while", "what", "when", "where", "nor", "yet", "so", "for", "however", "moreover",
+    "和", "及", "与", "但", "而", "或", "因", "我", "你", "他", "她", "它", "咱", "您", "这", "那", "哪",
+)
+AFTER_WORDS = (
+    ".", ",", "!", "?", "。", "，", "！", "？", "的", "了", "着", "过", "吗", "呢", "吧", "啊", "呀", "嘛", "啦",
+    "mine", "yours", "hers", "its", "ours", "theirs", "either", "neither",
+)
 
 
 def by_gaps(start: list[int], end: list[int], max_gap: int, adaptive: bool = True) -> list[int]:
-    """First places of groups: gaps above max_gap, or above three times the mean of the last five in a group of over five."""
+    """First places of groups: gaps above max_gap, or above three times the mean of the last five, itself among them, in a group of over five."""
     cuts, recent = [0], []
     for i in range(1, len(start)):
         gap = start[i] - end[i - 1]
-        recent.append(gap)
-        last = recent[-6:-1]
-        wide = adaptive and len(recent) > 5 and i - cuts[-1] > 5 and gap > 3 * max(1.0, sum(last) / len(last))
+        recent = [*recent[-4:], gap]
+        wide = adaptive and len(recent) == 5 and i - cuts[-1] > 5 and gap > 3 * sum(recent) / 5
         if gap > max_gap or wide:
             cuts.append(i)
             recent = []
     return cuts if start else []
 
 
-def by_connectives(words: list[str], limit: int) -> list[int]:
-    """Cuts before a connective once 60 % of the limit is reached, behind a final word once 40 % is."""
+def by_connectives(words: list[str], limits: list[int] | int) -> list[int]:
+    """Cuts before a connective once 60 % of the word's limit is reached, behind a final word once 40 % is."""
     cuts, at = [0], 0
-    for i in range(1, len(words)):
-        n = i - at
-        if n >= 0.6 * limit and words[i].lower().startswith(BEFORE_WORDS) or n >= 0.4 * limit and words[i - 1].lower().endswith(AFTER_WORDS):
+    for i, limit in enumerate([limits] * len(words) if isinstance(limits, int) else limits):
+        if i - at >= int(limit * 0.6) and words[i].lower().startswith(BEFORE_WORDS) or i and i - at >= int(limit * 0.4) and words[i - 1].lower().endswith(AFTER_WORDS):
             cuts.append(i)
             at = i
-    return cuts if words else []
+    return sorted({*cuts}) if words else []
 
 
-def by_longest_pause(start: list[int], end: list[int], limit: int, low: int = 0) -> list[int]:
-    """Cuts of a run of over limit words at its longest inner pause, again and again; of equal pauses at the middle."""
+def by_longest_pause(start: list[int], end: list[int], fits, low: int = 0) -> list[int]:
+    """Cuts of a run at its longest inner pause, again and again, until it fits (a number of words, or a function of first and
+    end) or has under four words; of equal pauses behind the middle word."""
     todo, cuts = [(0, len(start))], {0} if start else set()
     while todo:
         a, b = todo.pop()
         n = b - a
-        if n <= limit or n < 4:
+        if n < 4 or (n <= fits if isinstance(fits, int) else fits(a, b)):
             continue
-        inner = range(a + max(1, n // 6), max(a + max(1, n // 6) + 1, a + 5 * n // 6))
-        gaps = {i: start[i] - end[i - 1] for i in inner}
-        at = a + n // 2 if len(set(gaps.values())) == 1 else max(gaps, key=lambda i: (gaps[i], -i))
+        gaps = [start[i + 1] - end[i] for i in range(a, b - 1)]
+        inner = range(max(n // 6, 1), min(5 * n // 6, n - 2))
+        k = n // 2 if len(set(gaps)) == 1 else max(inner, key=gaps.__getitem__, default=n // 2)
+        at = a + k + 1
         cuts.add(at)
         todo += [(a, at), (at, b)]
     return sorted(c + low for c in cuts)
 
 
-def _folded(run: pd.DataFrame, limit: int, max_gap: int) -> pd.Series:
-    """The segment number of each word of one run."""
-    run = run.sort_values("seg_idx")
+def _folded(run: pd.DataFrame, limit: int, limit_cjk: int, max_gap: int) -> list[int]:
+    """The segment number of each word of one run, in order; words counts, cjk and solid are those of the words' own texts."""
     start, end, words = run["start_ms"].tolist(), run["end_ms"].tolist(), run["text"].tolist()
+    count, cjk, solid = (np.concatenate([[0], np.cumsum(run[c])]) for c in ("words", "cjk", "solid"))
+
+    def most(a: int, b: int) -> int:
+        return limit_cjk if 2 * (cjk[b] - cjk[a]) > solid[b] - solid[a] else limit
+
+    def fits(a: int, b: int) -> bool:
+        return count[b] - count[a] <= most(a, b)
+
     cuts: set[int] = set()
     edges = [*by_gaps(start, end, max_gap), len(words)]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        inner = [*(a + c for c in by_connectives(words[a:b], limit)), b] if b - a > limit else [a, b]
+        inner = [a, b] if fits(a, b) else [*(a + c for c in by_connectives(words[a:b], [most(i, i + 1) for i in range(a, b)])), b]
         for c, d in zip(inner[:-1], inner[1:], strict=True):
-            cuts.update(by_longest_pause(start[c:d], end[c:d], limit, c))
-    number, n = [], -1
-    for i in range(len(words)):
-        n += i in cuts
-        number.append(n)
-    return pd.Series(number, run.index)
+            cuts.update(by_longest_pause(start[c:d], end[c:d], lambda x, y, c=c: fits(c + x, c + y), c))
+    return (np.cumsum([i in cuts for i in range(len(words))]) - 1).tolist()
+
 
+def segment_words(words: DataFrame, limit: int = 18, max_gap_ms: int = 500, bound_gap_ms: int = 1500, limit_cjk: int = 25, lower: bool = False) -> DataFrame:
+    """Segments (track_id, seg_idx, start_ms, end_ms, text) from word rows; with a speaker column none crosses speakers.
 
-def segment_words(words: DataFrame, limit: int = 18, max_gap_ms: int = 500, bound_gap_ms: int = 1500) -> DataFrame:
-    """Segments (track_id, seg_idx, start_ms, end_ms, text) from word rows; with a speaker column none crosses speakers."""
-    rows = timeline.islands(words.where(~T.is_pure_punctuation(F.col("text"))), bound_gap_ms)
+    Words are taken by start; a segment spans its words from the earliest start to the latest end. lower: words of
+    scripts with spaces are lower-cased.
+    """
+    rows = words.where(~T.is_pure_punctuation(F.col("text")))
+    rows = rows.withColumn("seg_idx", F.row_number().over(Window.partitionBy("track_id").orderBy("start_ms", "seg_idx")).cast("long"))
+    rows = timeline.islands(rows, bound_gap_ms)
     rows = timeline.run_ids(rows, "speaker") if "speaker" in words.columns else rows.withColumn("run", F.lit(0).cast("long"))
-    rows = rows.withColumn("text", F.when(T.is_space_separated(F.col("text")), F.concat(T.strip(F.col("text")), F.lit(" "))).otherwise(F.col("text")))
-    rows = rows.select("track_id", "island", "run", "seg_idx", "start_ms", "end_ms", "text")
+    bare = F.lower(T.strip(F.col("text"))) if lower else T.strip(F.col("text"))
+    rows = rows.withColumn("text", F.when(T.is_space_separated(F.col("text")), F.concat(bare, F.lit(" "))).otherwise(F.col("text")))
+    own = {"words": T.count_words(F.col("text")), "cjk": F.regexp_count("text", F.lit(T.NO_SPACE)), "solid": F.length(F.regexp_replace("text", r"(?U)\s+", ""))}
+    rows = rows.withColumns(own).select("track_id", "island", "run", "seg_idx", "start_ms", "end_ms", "text", *own)
 
     def fold(run: pd.DataFrame) -> pd.DataFrame:
         run = run.sort_values("seg_idx")
-        g = run.assign(part=_folded(run, limit, max_gap_ms)).groupby("part")
-        out = pd.DataFrame({"start_ms": g["start_ms"].first(), "end_ms": g["end_ms"].last(), "text": g["text"].agg("".join).str.strip(), "first": g["seg_idx"].first()})
+        g = run.assign(part=_folded(run, limit, limit_cjk, max_gap_ms)).groupby("part")
+        out = pd.DataFrame({"start_ms": g["start_ms"].min(), "end_ms": g["end_ms"].max(), "text": g["text"].agg("".join).str.strip(), "first": g["seg_idx"].first()})
         return out.assign(track_id=run["track_id"].iloc[0])[["track_id", "first", "start_ms", "end_ms", "text"]]
 
     kind = words.schema["track_id"].dataType.simpleString()

@@ -42,7 +42,9 @@ def run_stage(segments: DataFrame, stage: Stage, size: int = 20, cache: DataFram
     if cache is None:
         return rows.groupBy("track_id", "batch").applyInPandas(run, schema)
     known = cache.select("key", "place", "reply").dropDuplicates(["key", "place"])
-    misses = rows.join(known.select("key").distinct(), "key", "left_anti").select(*rows.columns)
+    whole = rows.groupBy("key").agg(F.count_distinct("place").alias("_n")).join(known.groupBy("key").agg(F.count("*").alias("_m")), "key").where("_n <= _m").select("key")
+    known = known.join(whole, "key", "left_semi")  # a batch that the cache has in part is run
+    misses = rows.join(whole, "key", "left_anti").select(*rows.columns)
     hits = rows.join(known, ["key", "place"]).select(*rows.columns, "reply", F.lit(None).cast("string").alias("error"))
     return misses.groupBy("track_id", "batch").applyInPandas(run, schema).unionByName(hits)
 
@@ -56,3 +58,43 @@ def cache_rows(done: DataFrame) -> DataFrame:
 def mapped(segments: DataFrame, stage: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """A stage that turns a row into any number of rows, such as recognition of audio chunks."""
     return segments.mapInPandas(stage, schema)
+
+
+def fresh(cache: DataFrame, now, days: float = 7.0, made: str = "made_at") -> DataFrame:
+    """The rows of a cache that are at most so many days old at the time now: 7 for translations, 2 for recognition."""
+    return cache.where(F.timestamp_seconds(F.unix_timestamp(made) + int(days * 86_400)) >= F.lit(now))
+
+
+def checked(ask: Callable[[pd.DataFrame, list[str]], pd.Series], check: Callable[[pd.DataFrame, pd.Series], str | None], steps: int = 3) -> Stage:
+    """A stage that asks again, with all complaints so far, until check has none; after `steps` the last reply stands.
+
+    ask: from a batch and the complaints to its replies; check: a complaint, or None.
+    """
+
+    def run(batch: pd.DataFrame) -> pd.Series:
+        complaints: list[str] = []
+        for _ in range(steps):
+            reply = ask(batch, complaints)
+            complaint = check(batch, reply)
+            if complaint is None:
+                break
+            complaints.append(complaint)
+        return reply
+
+    return run
+
+
+def whole_or_batches(segments: DataFrame, size: int = 20, whole: int = 100) -> DataFrame:
+    """batch of each row: short tracks are one batch, so that a stage sees all of their context, longer ones are cut."""
+    from pyspark.sql import Window
+
+    rows = timeline.batches(segments, size).withColumn("_n", F.count("*").over(Window.partitionBy("track_id")))
+    return rows.withColumn("batch", F.when(F.col("_n") <= whole, 0).otherwise(F.col("batch")).cast("long")).drop("_n")
+
+
+def repair(done: DataFrame, suspicious, stage: Stage) -> DataFrame:
+    """done (with reply) after one more run of stage over each suspicious row by itself; a failed or empty one changes nothing."""
+    rows = done.where(suspicious)
+    again = run_stage(rows.select("track_id", "seg_idx", "text", "start_ms", "end_ms"), stage, 1).where("error is null and coalesce(reply, '') <> ''")
+    out = done.join(again.select("track_id", "seg_idx", F.col("reply").alias("_again")), ["track_id", "seg_idx"], "left")
+    return out.withColumn("reply", F.coalesce("_again", "reply")).drop("_again")

@@ -17,7 +17,8 @@ def layout(text: Column, translation: Column, kind: str = "original_top") -> Col
     return F.when(has, forms[kind]).otherwise(text)
 
 
-def _joined(segments: DataFrame, line: Column, between: str) -> DataFrame:
+def joined_lines(segments: DataFrame, line: Column, between: str) -> DataFrame:
+    """(track_id, content): the lines of a track in order."""
     rows = segments.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", line.alias("line")))).alias("l"))
     return rows.select("track_id", F.array_join(F.transform("l", lambda x: x["line"]), between).alias("content"))
 
@@ -26,11 +27,11 @@ def to_srt(segments: DataFrame, kind: str = "original_top") -> DataFrame:
     """(track_id, content); seg_idx counts the cues of a track from 1."""
     times = F.concat(timecode.srt(F.col("start_ms")), F.lit(" --> "), timecode.srt(F.col("end_ms")))
     body = layout(F.col("text"), F.col("translated_text"), kind)
-    return _joined(segments, F.concat(F.col("seg_idx").cast("string"), F.lit("\n"), times, F.lit("\n"), body, F.lit("\n")), "\n")
+    return joined_lines(segments, F.concat(F.col("seg_idx").cast("string"), F.lit("\n"), times, F.lit("\n"), body, F.lit("\n")), "\n")
 
 
 def to_txt(segments: DataFrame, kind: str = "original_top") -> DataFrame:
-    return _joined(segments, layout(F.col("text"), F.col("translated_text"), kind), "\n")
+    return joined_lines(segments, layout(F.col("text"), F.col("translated_text"), kind), "\n")
 
 
 def to_json(segments: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def to_ass(segments: DataFrame, header: str = "") -> DataFrame:
     row = lambda style, c: F.concat(F.lit("Dialogue: 0,"), timecode.ass(F.col("start_ms")), F.lit(","), timecode.ass(F.col("end_ms")), F.lit(f",{style},,0,0,0,,"), F.regexp_replace(c, "\n", r"\\N"))
     first = row("Default", "text")
     both = F.concat(row("Secondary", "translated_text"), F.lit("\n"), first)
-    out = _joined(segments, F.when(F.coalesce("translated_text", F.lit("")) != "", both).otherwise(first), "\n")
+    out = joined_lines(segments, F.when(F.coalesce("translated_text", F.lit("")) != "", both).otherwise(first), "\n")
     return out.withColumn("content", F.concat(F.lit(header), "content"))
 
 

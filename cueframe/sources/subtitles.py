@@ -120,7 +120,7 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     shape = "struct<utterances: array<struct<start_time: bigint, end_time: bigint, text: string, transcript: string, words: array<struct<start_time: bigint, end_time: bigint, text: string, label: string>>>>, segments: array<struct<start: double, end: double, text: string>>, words: array<struct<start: double, end: double, word: string>>>"
     r = replies.select("track_id", F.from_json("content", shape).alias("j"))
     u = r.select("track_id", F.posexplode("j.utterances").alias("i", "u")).select("track_id", "i", F.posexplode("u.words").alias("k", "w"))
-    one = u.select("track_id", (F.col("i") * 100_000 + F.col("k")).alias("pos"), F.col("w.start_time").alias("start_ms"), F.col("w.end_time").alias("end_ms"), F.coalesce("w.text", "w.label").alias("text"))
+    one = u.select("track_id", (F.col("i") * F.lit(1 << 31) + F.col("k")).alias("pos"), F.col("w.start_time").alias("start_ms"), F.col("w.end_time").alias("end_ms"), F.coalesce("w.text", "w.label").alias("text"))
     ms = lambda c: (F.col(c) * 1000).cast("long")
     two = r.where("j.words is null").select("track_id", F.posexplode("j.segments").alias("pos", "s")).select("track_id", "pos", ms("s.start").alias("start_ms"), ms("s.end").alias("end_ms"), F.col("s.text").alias("text"))
     three = r.select("track_id", F.posexplode("j.words").alias("pos", "s")).select("track_id", "pos", ms("s.start").alias("start_ms"), ms("s.end").alias("end_ms"), F.col("s.word").alias("text"))
@@ -152,3 +152,41 @@ def decode_reply(reply: Column) -> Column:
     """The JSON array in a model's reply: without thinking blocks and code fences, from the first [ to the last ]."""
     bare = F.regexp_replace(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""), r"```[a-zA-Z]*", "")
     return F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
+
+
+def reply_object(reply: Column, schema: str) -> Column:
+    """A model's reply as an object: what stands between its first { and last }, without thinking blocks and code fences."""
+    bare = F.regexp_replace(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""), r"```[a-zA-Z]*", "")
+    return F.from_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), schema)
+
+
+def joined_events(streams: DataFrame) -> DataFrame:
+    """(track_id, text) of server-sent events (track_id, content): the text pieces of all data lines in order."""
+    lines = F.regexp_extract_all("content", F.lit(r"(?m)^data:[ ]?(\{.*\})[ ]*$"), F.lit(1))
+    piece = lambda x: F.coalesce(F.get_json_object(x, "$.choices[0].delta.content"), F.get_json_object(x, "$.text"), F.lit(""))
+    return streams.select("track_id", F.array_join(F.transform(lines, piece), "").alias("text"))
+
+
+#: Phrases that recognisers make up where nobody speaks.
+MADE_UP = ("请不吝点赞 订阅 转发", "打赏支持明镜")
+
+
+def parse_srt_replies(replies: DataFrame, phrases: tuple[str, ...] = MADE_UP) -> DataFrame:
+    """Segments of recogniser replies (track_id, content) in SRT form, without sounds in brackets and made-up phrases."""
+    rows = parse_srt(replies)
+    rows = rows.where(~T.is_non_speech(F.col("text")) & ~T.contains_any(F.col("text"), phrases))
+    return rows.withColumn("seg_idx", F.row_number().over(Window.partitionBy("track_id").orderBy("seg_idx")))
+
+
+def append_log(entries: DataFrame, path: str) -> None:
+    """Appends rows to a folder of JSON lines; Spark writes new files, so none has to be locked or rotated."""
+    entries.write.mode("append").json(path)
+
+
+def recent_log(log: DataFrame, text: str = "", columns: tuple[str, ...] = ("task_id", "file_name", "stage", "prompt", "response", "error"), time: str = "time") -> DataFrame:
+    """Entries of a log that hold text in one of columns, in any case of letters, newest first."""
+    wanted = [F.contains(F.lower(F.col(c).cast("string")), F.lit(text.lower())) for c in columns if c in log.columns]
+    hit = F.lit(not text)
+    for w in wanted:
+        hit = hit | F.coalesce(w, F.lit(False))
+    return log.where(hit).orderBy(F.desc(time))

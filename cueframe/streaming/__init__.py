@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,3 +19,36 @@ def live_islands(events: DataFrame, gap_seconds: int = 600, late: str = "30 minu
 def live_load(events: DataFrame, length: str = "12 hours", hop: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Calls and time by hopping window, for rate limits."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length, hop).alias("w"), "track_id").agg(F.count("*").alias("calls"), F.sum("dur_ms").alias("busy_ms"))
+
+
+def live_frames(samples: DataFrame, frame: str = "20 milliseconds", late: str = "5 seconds") -> DataFrame:
+    """RMS by tumbling frame of samples (track_id, ts, value)."""
+    frames = samples.withWatermark("ts", late).groupBy("track_id", F.window("ts", frame).alias("w"))
+    return frames.agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), F.count("*").alias("n"))
+
+
+def follow_log(spark: SparkSession, path: str, schema: str, files_at_once: int = 100) -> DataFrame:
+    """New JSON lines of a folder as they come."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(path)
+
+
+def live_placement(rows: DataFrame, gap_ms: int) -> DataFrame:
+    """place_start and place_end of rows (track_id, seg_idx, start_ms, audio_ms) that come in order: each at its start,
+    or gap_ms behind the row before where that is later. The state of a track is the end of its last row."""
+
+    def place(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        for part in parts:
+            part = part.sort_values("seg_idx")
+            starts, ends = [], []
+            for s, n in zip(part["start_ms"], part["audio_ms"], strict=True):
+                s = s if last is None else max(s, last + gap_ms)
+                last = s + n
+                starts.append(s), ends.append(last)
+            yield part.assign(place_start=starts, place_end=ends)[["track_id", "seg_idx", "place_start", "place_end"]]
+        if last is not None:
+            state.update((int(last),))
+
+    kind = rows.schema["track_id"].dataType.simpleString()
+    out = f"track_id {kind}, seg_idx long, place_start long, place_end long"
+    return rows.groupBy("track_id").applyInPandasWithState(place, out, "last long", "append", "NoTimeout")
