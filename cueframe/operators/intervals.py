@@ -95,6 +95,6 @@ def bridge_unblocked(spans: DataFrame, blockers: DataFrame) -> DataFrame:
     order = Window.partitionBy("track_id").orderBy("t", F.col("wall").isNotNull())  # a blocker from the span's start on isn't in the gap
     both = both.withColumn("wall", F.max("wall").over(order.rowsBetween(Window.unboundedPreceding, -1))).where("end_ms is not null")
     before = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    both = both.withColumn("_new", before.isNull() | F.coalesce(F.col("wall") > before, F.lit(False)).cast("long"))
+    both = both.withColumn("_new", (before.isNull() | F.coalesce(F.col("wall") > before, F.lit(False))).cast("long"))
     both = both.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return both.groupBy("track_id", "_run").agg(F.min("t").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_run")

@@ -66,6 +66,8 @@ def fix_overlaps(segments: DataFrame) -> DataFrame:
     rows = rows.withColumn("_new", F.coalesce(F.col("start_ms") >= reach, F.lit(True)).cast("long"))
     rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
+    columns = segments.columns
+
     def fold(run: pd.DataFrame) -> pd.DataFrame:
         run = run.sort_values(["start_ms", "seg_idx"])
         starts, ends = [], []
@@ -73,7 +75,7 @@ def fix_overlaps(segments: DataFrame) -> DataFrame:
             s = max(s, ends[-1]) if ends else s
             e = min(e, s + most) if pd.isna(following) else min(e, s + most, int(following))
             starts.append(s), ends.append(e if e > s else s + extra)
-        return run.assign(start_ms=starts, end_ms=ends)[segments.columns]
+        return run.assign(start_ms=starts, end_ms=ends)[columns]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in segments.dtypes)
     return rows.groupBy("track_id", "_run").applyInPandas(fold, schema)
@@ -103,3 +105,8 @@ def merge_short(segments: DataFrame, limit: int = 18, limit_cjk: int = 25) -> Da
 
     kind = segments.schema["track_id"].dataType.simpleString()
     return rows.groupBy("track_id", "_run").applyInPandas(fold, f"track_id {kind}, seg_idx long, start_ms long, end_ms long, text string")
+
+
+def word_level_tracks(segments: DataFrame, share: float = 0.8) -> DataFrame:
+    """word_level by track: whether at least that share of its rows is a word each."""
+    return segments.groupBy("track_id").agg((F.avg(F.coalesce(T.is_word_level(F.col("text")), F.lit(False)).cast("int")) >= share).alias("word_level"))
