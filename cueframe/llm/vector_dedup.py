@@ -5,9 +5,10 @@ factor, the inner product of vector and code. For a query quantised to four bits
 an unbiased estimate of the cosine with a confidence bound that follows from the factor; pairs whose estimate plus bound
 stays below the threshold are done, all others are recomputed in double precision.
 
-Which classes are estimated against each other is decided by tables of rotated sign bits: as many bits as keep a bucket
-small at this input's size, and as many tables as let a pair at the threshold meet with probability `recall`. A pair is
-counted in the first table where it meets. Buckets are cut into blocks, blocks meet in cells of bounded size, and a cell
+Which classes are estimated against each other is decided by tables of rotated sign bits: as many bits as leave about
+BUCKET classes in a bucket, and as many tables as let a pair at the threshold meet with probability `recall`, the same at
+every size. Estimates are cheap beside a copy of a vector, so buckets are wide and tables few. A pair is counted in the
+first table where it meets. Buckets are cut into blocks, blocks meet in cells of bounded size, and a cell
 returns sums of weights and a spanning forest of its links, never all of them.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from cueframe.llm.common import components, read, staged
 from cueframe.llm.jaccard_join import runs_of
 
-BUCKET, BLOCK = 64, 1024
+BUCKET, BLOCK = 1024, 1024
 EPSILON = 3.0  # width of the confidence bound in standard units
 RECALL = 0.995  # of pairs exactly at the threshold; nearer pairs meet more often
 
@@ -64,7 +65,8 @@ def estimates(code: np.ndarray, factor: np.ndarray, unit: np.ndarray, seed: int,
             dots += float(1 << bit) * np.bitwise_count(plane[:, word, None] & code[None, :, word])
     ones = np.bitwise_count(code).sum(axis=1)
     inner = (2 * step * dots + 2 * low * ones - step * level.sum(axis=1, keepdims=True) - full * low) / math.sqrt(full)
-    return inner / factor, EPSILON * np.sqrt(np.maximum(0, 1 - factor**2)) / factor / math.sqrt(max(1, full - 1))
+    # variance of the code's error, and of the query's rounding: step ** 2 / 4 a dimension at most
+    return inner / factor, EPSILON * np.sqrt(np.maximum(0, 1 - factor**2) / max(1, full - 1) + step**2 / 4) / factor
 
 
 def tables(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
@@ -77,7 +79,8 @@ def tables(n: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
 def _links(g: pa.Table, seed: int, threshold: float) -> tuple[list[int], list[int], list[int]]:
     """Of one cell: a, b and w, where w adds to a's links, and b, if there is one, is joined to a."""
     node, weight, block, table = (g[c].to_numpy() for c in ("node", "w", "block", "table"))
-    rows = np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in g["vector"].combine_chunks()]).astype(np.float64)
+    vectors = g["vector"].combine_chunks()
+    rows = np.stack([np.frombuffer(x.as_buffer(), np.float64 if len(x.as_buffer()) == 8 * g["dim"][0].as_py() else np.float32) for x in vectors]).astype(np.float64)
     keys = np.stack([np.frombuffer(x.as_buffer(), np.int64) for x in g["keys"].combine_chunks()])[:, : table[0]]
     norm = np.sqrt((rows * rows).sum(axis=1))
     unit = rows / norm[:, None]
@@ -119,9 +122,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, seed: int = 11, re
     Only vectors of one label and one length are compared. A vector that is null, zero, or holds a null or a value that
     isn't finite, or whose label is null, links with nothing and is its own component. Equal vectors link. Repeated
     rows are vectors of their own; a null vec_id stands for a component only where there is no other. Other columns are
-    not read. No rows give no rows.
+    not read. No rows give no rows. Links of a pair at the threshold are found with probability `recall`, of nearer pairs
+    with a higher one; none is false. Components of equal least vec_id are one.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("string"))
+    exact = vectors.schema["embedding"].dataType.simpleString() != "array<float>"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>" if exact else "array<float>"), F.col("label").cast("string"))
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.coalesce(F.col("label").isNotNull() & fine & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("good", good)
@@ -136,7 +141,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, seed: int = 11, re
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
                 out = {k: [] for k in ("label", "dim", "table", "bucket", "node", "w", "vector", "keys")}
-                own = [np.array(x, np.float32) for x in batch.column("embedding").to_pylist()]
+                own = [np.array(x, np.float64 if exact else np.float32) for x in batch.column("embedding").to_pylist()]
                 for label, node, w, v in zip(*(batch.column(c).to_pylist() for c in ("label", "node", "w")), own, strict=True):
                     signs = (v.astype(np.float64) @ planes(len(v), bits * count, seed) > 0).reshape(count, bits)
                     keys = (signs * power).sum(axis=1)

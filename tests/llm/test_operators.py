@@ -156,6 +156,23 @@ def test_near_vectors(spark, monkeypatch):
     assert vector_dedup.near_vectors(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_tables_of_sign_bits_find_the_links(spark, monkeypatch, kind):
+    """Large labels, so that buckets have bits: nearly all links of brute force, and no other."""
+    monkeypatch.setattr(vector_dedup, "BUCKET", 32)
+    r = np.random.default_rng(8)
+    base = r.standard_normal((700, 64))
+    near = base[:500] + r.uniform(0.05, 0.5, (500, 1)) * r.standard_normal((500, 64))
+    rows = [(i, [float(x) for x in v], "a") for i, v in enumerate(np.float32(np.vstack([base, near])))]
+    assert vector_dedup.tables(len(rows), 0.93) > (3, 3)
+    got = {x.vec_id: x.n_links for x in vector_dedup.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label string")).collect()}
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert want.sum() > 400 and all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
 # --- op3
 
 
