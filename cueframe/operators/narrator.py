@@ -45,14 +45,17 @@ def majority_lang(segments: DataFrame) -> DataFrame:
     return sums.groupBy("track_id", "speaker").agg(F.max_by("lang", F.struct("score", "lang")).alias("lang"))
 
 
-def filter_rows(segments: DataFrame, strict: bool = False) -> DataFrame:
-    """keep and why for each row: unlabelled, narrator, same_language or other_speaker."""
+def filter_rows(segments: DataFrame, strict: bool = False, keep_unlabelled: bool = False) -> DataFrame:
+    """keep and why for each row: no_narrator (of its track), unlabelled, narrator, same_language or other_speaker.
+
+    Only the narrator's rows, those in the narrator's language unless strict, and if wanted unlabelled ones are kept.
+    """
     choice = pick(durations(segments)).select("track_id", "narrator")
     langs = majority_lang(segments).select("track_id", F.col("speaker").alias("narrator"), F.col("lang").alias("narrator_lang"))
     rows = segments.join(choice, "track_id", "left").join(langs, ["track_id", "narrator"], "left")
     who, same = T.normalize_speaker(F.col("speaker")), T.lang_matches(T.detect_lang(F.col("text")), F.coalesce("narrator_lang", F.lit("empty")))
-    why = F.when(who.isNull(), "unlabelled").when(who == F.col("narrator"), "narrator").when(F.lit(not strict) & same, "same_language").otherwise("other_speaker")
-    return rows.withColumn("why", why).withColumn("keep", F.col("why") != "other_speaker").drop("narrator", "narrator_lang")
+    why = F.when(F.col("narrator").isNull(), "no_narrator").when(who.isNull(), "unlabelled").when(who == F.col("narrator"), "narrator").when(F.lit(not strict) & same, "same_language").otherwise("other_speaker")
+    return rows.withColumn("why", why).withColumn("keep", F.col("why").isin("narrator", "same_language", *(["unlabelled"] if keep_unlabelled else []))).drop("narrator", "narrator_lang")
 
 
 def report(filtered: DataFrame) -> DataFrame:

@@ -149,7 +149,8 @@ def test_preferred_narrator(spark):
 def test_narrator_filter(spark):
     rows = segments(spark, [(0, 2000, "hello there"), (2000, 3000, "more words"), (3000, 3500, "x")]).withColumn("speaker", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("none")), F.col("seg_idx").cast("int")))
     assert [x.why for x in narrator.filter_rows(rows).orderBy("seg_idx").collect()] == ["narrator", "same_language", "unlabelled"]
-    strict = narrator.filter_rows(rows, strict=True)
+    assert [x.keep for x in narrator.filter_rows(rows).orderBy("seg_idx").collect()] == [True, True, False]  # unlabelled rows only on demand
+    strict = narrator.filter_rows(rows, strict=True, keep_unlabelled=True)
     assert [x.keep for x in strict.orderBy("seg_idx").collect()] == [True, False, True]
     assert narrator.report(strict).first().dropped_rows == [2]
 
