@@ -125,7 +125,7 @@ def small_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filled_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tl(spark, sf_dir).select("track_id", "seg_idx", F.when(F.col("event_id") % 4 == 0, F.col("start_ms")).alias("at_ms"))
-    return polish.fill_times(points, F.lit(1_800_000_000_000))
+    return polish.fill_times(points, F.lit(1_800_000_000_000)).withColumn("at_ms", F.round("at_ms").cast("long"))
 
 
 def pause_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +227,7 @@ SQL = {
     "filled_times": f"""WITH RECURSIVE {TIMELINE}, p AS (SELECT track_id, seg_idx, CASE WHEN event_id % 4 = 0 THEN start_ms END AS v FROM tl),
         q AS (SELECT *, coalesce(first_value(v IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY seg_idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1800000000000) AS nx FROM p),
         f AS (SELECT track_id, seg_idx, coalesce(CAST(v AS DOUBLE), (0 + nx) / 2.0::DOUBLE) AS at_ms FROM q WHERE seg_idx = 1
-        UNION ALL SELECT q.track_id, q.seg_idx, coalesce(CAST(q.v AS DOUBLE), (f.at_ms + q.nx) / 2.0::DOUBLE) FROM f JOIN q ON q.track_id = f.track_id AND q.seg_idx = f.seg_idx + 1) SELECT * FROM f""",
+        UNION ALL SELECT q.track_id, q.seg_idx, coalesce(CAST(q.v AS DOUBLE), (f.at_ms + q.nx) / 2.0::DOUBLE) FROM f JOIN q ON q.track_id = f.track_id AND q.seg_idx = f.seg_idx + 1) SELECT track_id, seg_idx, CAST(round(at_ms) AS BIGINT) AS at_ms FROM f""",
     "tiny_merges": f"""WITH {TIMELINE}, t AS (SELECT *, substr(speaker, 1, CAST(event_id % 4 AS INT)) AS t FROM tl), g AS (SELECT *, sum(CASE WHEN length(t) >= 2 OR seg_idx = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY seg_idx) AS g FROM t)
         SELECT track_id, min(seg_idx) AS seg_idx, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(t, '' ORDER BY seg_idx) AS text FROM g GROUP BY track_id, g""",
     "fixed_overlaps": f"""WITH RECURSIVE {TIMELINE}, p AS (SELECT track_id, seg_idx, start_ms // 100000 AS s, start_ms // 100000 + event_id % 7 * 900 - 900 AS e, length(replace(speaker, '-', '')) AS n FROM tl),
