@@ -138,10 +138,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1
         pa.default_memory_pool().release_unused()  # workers live on: what this task took is there for the next
 
 
-def words(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Of all rows in order: each word's place in the list of distinct words, that list, and the words per row."""
+def words(text: pa.Array, lower: bool = True, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Of all rows in order: each word's place in the list of distinct words, that list, and the words per row.
+
+    gaps: for each byte, whether it stands between words.
+    """
     raw, offsets = buffers(text)
-    space = _SPACE[raw]
+    space = gaps[raw]
     keep = ~space
     start = keep.copy()
     start[1:] &= space[:-1]
