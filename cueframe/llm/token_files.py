@@ -2,8 +2,9 @@
 
 Documents are range-partitioned and sorted by key; each task encodes its rows and writes one file, so keys, files and
 places all ascend together. The index is dealt by key hash into parts of bounded size; each part is a minimal perfect
-hash function (levels of collision-free bits, ranked by population counts), whose slots hold a fingerprint, the file,
-and the record. A look-up touches one slot and compares the fingerprint. Files get names of their own for each attempt,
+hash function (levels of collision-free bits, ranked by population counts), whose slots hold a fingerprint and the runs
+of records (file, first record, number) of the key: one, or several where a repeated key goes over more than one file. A
+look-up touches one slot and compares the fingerprint. Files get names of their own for each attempt,
 and only names that a finished task has reported are read, so lost executors and repeated tasks do no harm.
 
 Payload file: ids of all records (uint16 or uint32, little-endian), the n + 1 record offsets in ids (uint64), then n, the
@@ -12,7 +13,7 @@ size of an id in bytes, and MAGIC (uint64 each). Files are opened through Arrow'
 
 from __future__ import annotations
 
-import pickle
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueframe.llm.common import id_text, mix, read, shared_dir, slices, staged
@@ -30,6 +31,7 @@ from cueframe.llm.encoding import encoder, vocabulary
 MAGIC = 0x43554546524D4531
 END = 0
 PART_KEYS = 1_000_000  # keys in a part of the index
+PIECE = 1000  # records of a run that are read back as one row
 RECORDS = "shard int, path string, doc_id bigint, record long, n long"
 
 
@@ -65,7 +67,8 @@ def write_files(docs: DataFrame, folder: str, vocabulary_path: str, id_size: int
             offsets = np.concatenate([[0], *map(np.asarray, sizes)]).cumsum().astype("<u8")
             out.write(offsets.tobytes() + np.array([record, id_size, MAGIC], "<u8").tobytes())
 
-    rows = id_text(docs).select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = id_text(docs).select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")  # a repeated key is split
     return staged(rows.mapInArrow(write, RECORDS), "records")
 
 
@@ -141,60 +144,90 @@ class PerfectHash:
         return out
 
 
-def _hashed(df: DataFrame, parts: int) -> DataFrame:
+def _hashed(df: DataFrame, parts: int | Column) -> DataFrame:
     key = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))]
-    return df.withColumns({"h": F.xxhash64(*key), "print": F.hash(*key), "part": F.pmod(F.xxhash64(F.lit("part"), *key), F.lit(parts)).cast("int")})
+    parts = F.lit(parts) if isinstance(parts, int) else parts
+    return df.withColumns({"h": F.xxhash64(*key), "print": F.hash(*key), "part": F.pmod(F.xxhash64(F.lit("part"), *key), parts).cast("int")})
+
+
+def _saved(index: PerfectHash, held: dict[str, np.ndarray]) -> bytes:
+    """An index part as named arrays; loading them runs no code."""
+    out = io.BytesIO()
+    levels = {f"{kind}-{i}": x for kind, arrays in (("word", index.words), ("rank", index.ranks)) for i, x in enumerate(arrays)}
+    np.savez(out, levels=np.array(len(index.words)), base=np.array(index.base), rest=index.rest, **levels, **held)
+    return out.getvalue()
+
+
+def _loaded(data: bytes) -> tuple[PerfectHash, dict[str, np.ndarray]]:
+    index = PerfectHash.__new__(PerfectHash)
+    with np.load(io.BytesIO(data), allow_pickle=False) as x:
+        index.words, index.ranks = ([x[f"{kind}-{i}"] for i in range(int(x["levels"]))] for kind in ("word", "rank"))
+        index.base, index.rest = int(x["base"]), x["rest"]
+        return index, {k: x[k] for k in ("fingerprint", "first", *RUN)}
+
+
+RUN = ("shard", "record", "records")
 
 
 def build_index(records: DataFrame, folder: str) -> DataFrame:
-    """Writes the parts of the index; returns (part, index_path) and has as many rows as parts, at least one."""
-    keys = records.groupBy("doc_id").agg(F.min(F.struct("shard", "record")).alias("first"), F.count("*").alias("records"))
-    parts = max(1, -(-records.count() // PART_KEYS))
-    keys = _hashed(keys.select("doc_id", "first.*", "records"), parts)
+    """Writes the parts of the index; returns (part, parts, index_path), a row for each part that holds a key."""
+    runs = records.groupBy("doc_id", "shard").agg(F.min("record").alias("record"), F.count("*").alias("records"))  # of a key in one file
+    keys = staged(runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*RUN))).alias("runs")), "index-keys")
+    parts = max(1, -(-keys.count() // PART_KEYS))
+    keys = _hashed(keys, parts).select("part", "h", "print", *(F.col(f"runs.{c}").alias(c) for c in RUN))
 
     def write(pdf):
         import pandas as pd
 
         index = PerfectHash(pdf["h"].to_numpy().view(np.uint64))
-        order = np.empty(len(pdf), np.int64)
         slots = index.slots(pdf["h"].to_numpy().view(np.uint64))
         if len(np.unique(slots)) != len(pdf):  # xxhash64 maps longs one to one; only the null key could meet another
             raise ValueError("two keys share a 64-bit hash")
-        order[slots] = np.arange(len(pdf))
-        held = {"fingerprint": pdf["print"].to_numpy(np.int32)[order], "shard": pdf["shard"].to_numpy(np.int32)[order], "record": pdf["record"].to_numpy(np.int64)[order], "records": pdf["records"].to_numpy(np.int32)[order]}
+        pdf = pdf.iloc[np.argsort(slots)]
+        held = {c: np.concatenate(pdf[c].tolist()).astype(np.int64) for c in RUN}
+        held |= {"fingerprint": pdf["print"].to_numpy(np.int32), "first": np.concatenate([[0], np.cumsum(pdf["shard"].map(len))])}
         uri = f"{folder}/index-{uuid.uuid4().hex}.bin"
         system, path = _at(uri)
         with system.open_output_stream(path) as out:
-            out.write(pickle.dumps((index, held), 5))
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "index_path": [uri]})
+            out.write(_saved(index, held))
+        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "parts": [parts], "index_path": [uri]})
 
-    return staged(keys.groupBy("part").applyInPandas(write, "part int, index_path string"), "index")
+    return staged(keys.groupBy("part").applyInPandas(write, "part int, parts int, index_path string"), "index")
 
 
 def look_up(keys: DataFrame, index: DataFrame) -> DataFrame:
-    """(doc_id, shard, record, records) of the keys (doc_id) that the index holds; keys with other fingerprints go."""
-    parts = max(1, index.count())
+    """(doc_id, shard, record, records) of the runs of the keys (doc_id) that the index holds; other keys go.
+
+    A key leads to a row for each of its runs. How keys are dealt to parts is read from the index, whose parts may be
+    fewer than dealt where some have no key.
+    """
+    found = index.select("parts").first()
+    parts = found[0] if found else 1
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, loaded = None, None
         for batch in batches:
-            runs = batch.column("index_path").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])).tolist() + [len(runs)] if len(runs) else [0]
+            names = batch.column("index_path").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.append(True, names[1:] != names[:-1])).tolist() + [len(names)] if len(names) else [0]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if runs[a] != path:
-                    path = runs[a]
+                if names[a] != path:
+                    path = names[a]
                     system, at = _at(path)
                     with system.open_input_file(at) as f:
-                        loaded = pickle.loads(f.read())
+                        loaded = _loaded(f.read())
                 hashed, held = loaded
                 part = batch.slice(a, b - a)
                 slot = hashed.slots(part.column("h").to_numpy().view(np.uint64))
                 ok = (slot >= 0) & (held["fingerprint"][slot] == part.column("print").to_numpy())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").filter(pa.array(ok)), **{k: held[k][slot[ok]] for k in ("shard", "record", "records")}})
+                slot = slot[ok]
+                first, times = held["first"][slot], np.diff(held["first"])[slot]
+                run = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                key = part.column("doc_id").filter(pa.array(ok)).take(pa.array(np.repeat(np.arange(len(slot)), times)))
+                yield pa.RecordBatch.from_pydict({"doc_id": key, **{k: held[k][run] for k in RUN}})
 
-    asked = _hashed(keys.select(F.col("doc_id").cast("long")), parts).join(F.broadcast(index) if parts <= 10_000 else index, "part")
+    asked = _hashed(keys.select(F.col("doc_id").cast("long")), parts).join(index.select("part", "index_path"), "part")
     asked = asked.repartition("part").sortWithinPartitions("part").select("doc_id", "h", "print", "index_path")
-    return asked.mapInArrow(find, "doc_id bigint, shard int, record long, records int")
+    return asked.mapInArrow(find, "doc_id bigint, shard long, record long, records long")
 
 
 def digests(hits: DataFrame, files: DataFrame) -> DataFrame:
@@ -202,8 +235,15 @@ def digests(hits: DataFrame, files: DataFrame) -> DataFrame:
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, payload = None, None
+        out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
+
+        def flush() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+            for v in out.values():
+                v.clear()
+            return made
+
         for batch in batches:
-            out = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
             for doc_id, uri, base, record, records in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "path", "base", "record", "records")), strict=True):
                 if uri != path:
                     path, payload = uri, Payload(uri)
@@ -211,9 +251,14 @@ def digests(hits: DataFrame, files: DataFrame) -> DataFrame:
                     ids = payload.ids(r)
                     for k, v in zip(out, (doc_id, base + int(payload.offsets[r]), len(ids), zlib.crc32(ids.tobytes())), strict=True):
                         out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
-
-    rows = staged(hits.join(files, "shard"), "hits").repartitionByRange("shard", "record").sortWithinPartitions("shard", "record")
+                if len(out["doc_id"]) >= 5000:
+                    yield flush()
+        yield flush()
+
+    rows = hits.withColumn("end", F.col("record") + F.col("records"))
+    rows = rows.withColumn("record", F.explode(F.sequence("record", F.col("end") - 1, F.lit(PIECE).cast("long"))))
+    rows = rows.withColumn("records", F.least(F.lit(PIECE), F.col("end") - F.col("record")))
+    rows = staged(rows.join(files, "shard"), "hits").repartitionByRange("shard", "record").sortWithinPartitions("shard", "record")
     return rows.select("doc_id", "path", "base", "record", "records").mapInArrow(load, "doc_id bigint, start long, n_tokens long, ids_crc32 long")
 
 
@@ -221,7 +266,8 @@ def token_files(docs: DataFrame, vocabulary_path: str, id_size: int = 2, folder:
     """Writes payload and index; returns the tables records, files (shard, path, base) and index.
 
     base: ids in all files before. A null text is an empty one, and each document ends with the id 0. Rows with a null
-    doc_id come first; rows of one doc_id stand side by side in one file, and its key leads to all of them. Other
+    doc_id come first; rows of one doc_id stand side by side, over several files if
+    they are many, and its key leads to all of them. Other
     columns of docs are not read. No rows give no files.
     """
     folder = folder or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
