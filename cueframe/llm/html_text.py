@@ -7,8 +7,8 @@ same lines. A second pass takes from each page the lines that the pairing has na
 unless these names are too many to broadcast. All text lines of both, in menus and articles alike, are aligned by longest
 common subsequence, and lines that they share are deleted: menus, notices and the like recur, articles don't. Markup
 speaks beside it, where there is any: lines of elements that are boilerplate by name, role or class go also where the
-other page has them not, and lines in an article or main element stay even if it has them, but for those of a header
-inside, where only headings stay. A page with no other page than near copies is kept.
+other page has them not, and lines in an article or main element stay even if it has them, as an article may quote a
+passage that others quote; of a header inside it, links and lists go. A page with no other page than near copies is kept.
 
 The stream carries the last page and the one that it was paired with. Pages that have no partner so far, at the start of
 a host or partition, are paired in a second step, by a window over one row per host and partition of what was carried.
@@ -44,21 +44,27 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 SPACES = re.compile(r"\s+")
-PROPERTY = frozenset("has with no without is not".split())  # a name with one of these tells of a wrapper
+PROPERTY = frozenset("has with no without is not of".split())  # a name with one of these tells of a wrapper
+HEADS = frozenset("banner header masthead".split())
+LINKS = frozenset("a dl menu ol table ul".split())  # of a header inside an article these go
 NEAR = 0.8  # share of a page's text in shared lines that makes it a near copy
 
 
-def _named(value: str) -> bool:
-    """Whether one of the names in a class or id is a word for boilerplate, or ends in one that isn't a mere property."""
-    for x in value.split():
-        parts = [w for w in re.split(r"[^a-z0-9]+", x) if w]
-        if parts and parts[-1] in CUT_WORDS and PROPERTY.isdisjoint(parts[:-1]):
-            return True
-    return False
+def _named(value: str) -> str:
+    """The word for boilerplate that a class or id tells of, or "": a name's last word, or the first one of the only name.
+
+    Names with a word for a mere property tell nothing.
+    """
+    names = [[w for w in re.split(r"[^a-z0-9]+", x) if w] for x in value.split()]
+    for parts in names:
+        for w in (parts[-1:] + parts[: len(names) == 1]) if PROPERTY.isdisjoint(parts[:-1]) else ():
+            if w in CUT_WORDS:
+                return w
+    return ""
 
 
 def _cut(name: str, attributes: str) -> int:
-    """2 for an element that is boilerplate, 1 for one that only its class or id says so of, else 0."""
+    """2 for an element that is boilerplate, 1 for one that only its class or id says so of, -1 for a header by name, else 0."""
     if name in CUT:
         return 2
     soft = 0
@@ -66,8 +72,9 @@ def _cut(name: str, attributes: str) -> int:
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in CUT_ROLES:
             return 2
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and _named(value):
-            soft = 1
+        word = _named(value) if key in ("class", "id") and name not in ("body", "html", "article", "main") else ""
+        if word:
+            soft = 1 if soft == 1 or word not in HEADS else -1
     return soft
 
 
@@ -77,14 +84,15 @@ LOOSE, KEPT, MARKED = 0, 1, 2  # kinds of lines: go if shared, stay, go
 def lines(page: str) -> tuple[list[str], list[int]]:
     """The text blocks of a page and their kinds.
 
-    KEPT: in an article or main element; MARKED: in an element that is boilerplate by its markup. An element that only
+    KEPT: in an article or main element; MARKED: in an element that is boilerplate by its markup, or a link or list of a
+    header inside an article. An element that only
     its class or id names is none if it holds an article or main element or over four fifths of the page's text.
     """
-    blocks: list[tuple[list[tuple[int, bool, str]], bool]] = []
+    blocks: list[tuple[list[tuple[int, bool, str]], int]] = []
     text: list[tuple[int, bool, str]] = []  # the innermost named element, -1 for none, whether it is cut, and a text
     named: list[tuple[int, bool]] = []  # of each named element, the one around it, and whether it is in an article
     size, holds = [], []
-    stack: list[tuple[str, bool, bool, int, bool]] = [("", False, False, -1, False)]  # name, cut, main, named, header of an article
+    stack: list[tuple[str, bool, int, int, bool]] = [("", False, LOOSE, -1, False)]  # name, cut, kind, named, header of an article
 
     def close() -> None:
         if text:
@@ -116,18 +124,22 @@ def lines(page: str) -> tuple[list[str], list[int]]:
                 if stack[k][0] in BLOCK:
                     break
         if name not in VOID:  # a slash before the end of a tag means nothing in HTML
-            _, cut, inside, outer, head = stack[-1]
-            heading = name == "header" and inside  # an article's own header holds its title
-            how = 0 if cut or heading else _cut(name, attributes)
-            if how == 1:
+            _, cut, kind, outer, head = stack[-1]
+            how = 0 if cut else _cut(name, attributes)
+            inside = kind != LOOSE or head
+            if inside and (name == "header" or how < 0):  # an article's own header holds its title
+                head, kind, how = True, LOOSE, 0
+            elif head and name in LINKS:
+                how = 2
+            elif head and (name in HEADINGS or name in ("p", "blockquote")) or name in ("article", "main"):
+                head, kind = False, KEPT
+            if how in (1, -1):
                 named.append((outer, inside))
                 size.append(0), holds.append(False)
                 outer = len(named) - 1
             if name in ("article", "main") and not cut and outer >= 0:
                 holds[outer] = True
-            head = (head or heading) and name not in ("article", "main")
-            kept = name in ("article", "main") or (head and name in HEADINGS or inside) and not heading
-            stack.append((name, cut or how == 2, kept, outer, head))
+            stack.append((name, cut or how == 2, kind, outer, head))
     close()
     if named:
         whole = 0
@@ -147,10 +159,10 @@ def lines(page: str) -> tuple[list[str], list[int]]:
         gone = []
         for k, (outer, _) in enumerate(named):
             gone.append(outer >= 0 and gone[outer] or not (holds[k] or 5 * size[k] > 4 * whole))
-        blocks = [([(k, cut or k >= 0 and gone[k], x) for k, cut, x in parts], inside) for parts, inside in blocks]
+        blocks = [([(k, cut or k >= 0 and gone[k], x) for k, cut, x in parts], kind) for parts, kind in blocks]
     out, kinds = [], []
-    for parts, inside in blocks:
-        for kind in (KEPT if inside else LOOSE, MARKED):
+    for parts, own in blocks:
+        for kind in (own, MARKED):
             block = SPACES.sub(" ", html.unescape("".join(x for _, cut, x in parts if cut == (kind == MARKED)))).strip()
             if block:
                 out.append(block)
