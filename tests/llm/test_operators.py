@@ -311,6 +311,24 @@ def test_token_files(spark):
     assert token_files.digests(token_files.look_up(docs.select("doc_id"), none[2]), none[1]).collect() == []
 
 
+def test_token_files_keep_every_row_of_few_keys(spark, monkeypatch):
+    """More rows than keys, more parts than keys with rows, one key in most rows and over several files."""
+    monkeypatch.setattr(token_files, "PART_KEYS", 2)
+    monkeypatch.setattr(token_files, "PIECE", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(7, f"text {i % 9}") for i in range(400)] + [(None, "none")] * 60 + [(i, "few words here") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    records, files, index = token_files.token_files(docs, vocabulary("byte_bpe_50k.json"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert records.where("doc_id = 7").select("shard").distinct().count() > 1
+    got = token_files.digests(token_files.look_up(docs.select("doc_id").distinct(), index), files).collect()
+    assert Counter(x.doc_id for x in got) == Counter(i for i, _ in rows)
+    ordered = sorted(got, key=lambda x: x.start)
+    assert [x.start for x in ordered] == np.cumsum([0, *(x.n_tokens for x in ordered)])[:-1].tolist()
+    assert [x.doc_id for x in ordered] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert len({x.ids_crc32 for x in got if x.doc_id == 7}) == 9
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64)
     slots = token_files.PerfectHash(keys).slots(keys)
@@ -655,3 +673,33 @@ def test_differencing_removes_what_markup_does_not(spark):
             want[100 * host + i] = "\n\n".join([f"title {host} {i}"] * marked + own)
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
     assert {x.page_id: x.text for x in html_text.extract(df).collect()} == want
+
+
+@pytest.mark.parametrize("tag", ["div class='ad-slot'", "div class='cookie-bar'", "div class='sidebar-left'", "div class='share-buttons'", "div class='social-links'", "section class='related-posts'", "div class='share-count'", "ul class='comment-list'", "div id='newsletter_signup'"])
+def test_html_compound_names(tag):
+    """A name for boilerplate counts as the first or the last word of a class or id, in an article too."""
+    inner = f"<{tag}><li>Gone with this</li></{tag.split()[0]}>"
+    assert shown(f"<article><h1>Title</h1><p>The first paragraph is long.</p>{inner}<p>And the second.</p></article>") == ["Title", "The first paragraph is long.", "And the second."]
+
+
+def test_html_headers_of_an_article():
+    body = "<p>The text of it all, quite long.</p>"
+    assert shown(f"<main><header><a href='/'>Home</a><ul><li>About</li></ul><h1>Title <a>one</a></h1><p>By <a>me</a></p></header>{body}</main>") == ["Title one", "By me", "The text of it all, quite long."]
+    assert shown(f"<div class='post-header'><h1>Site</h1></div><article><div class='post-header'><a>Up</a><h1>In</h1></div>{body}</article>") == ["In", "The text of it all, quite long."]
+    assert shown(f"<div class='layout-with-nav'><div class='menu-closed'>{body}</div></div><div class='menu'>Gone</div>") == ["The text of it all, quite long."]
+
+
+def test_html_differencing_without_markup(spark):
+    """Where markup says nothing, what is left is what the nearest other page hasn't: the same as lines cut by hand."""
+    r = random.Random(8)
+    menu, foot = ["Home", "News", "About us"], ["Imprint", "All rights reserved"]
+    pages, want = [], {}
+    for i in range(60):
+        own = [" ".join(r.choices(["word", "of", "page", str(i), "text", "more"], k=9)) + f" {i}.{k}" for k in range(r.randint(1, 5))]
+        if i % 9 == 4:
+            own = []
+        blocks = "".join(f"<div>{x}</div>" for x in [*menu, *own, *foot])
+        pages.append((i, f"http://{'ab'[i % 2]}.example/{i:03}", f"<html><body>{blocks}</body></html>"))
+        want[i] = "\n\n".join(own or [*menu, *foot])  # a page without lines of its own is kept
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
