@@ -17,13 +17,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows of an Arrow batch while queries of this package run: texts are long, and JVM and worker both hold whole batches.
-BATCH_ROWS = "2000"
+BATCH_ROWS, BATCH_BYTES = "2000", "32m"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the driver's; the queries' entry, so it also keeps Arrow batches small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > int(BATCH_ROWS):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -39,10 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution, over a persisted sparse matrix of documents by hashed features.
 
 Each document is a row of counts of its word runs, hashed into buckets. Rows are written as blocks in compressed sparse
-row form: row ends, bucket numbers that ascend within a row, and counts. Everything after that reads blocks, not texts:
+row form: row ends, bucket numbers that ascend within a row, and counts, in the narrowest integers that hold them. Everything after that reads blocks, not texts:
 column sums are the corpus' distribution over buckets, their ratio to the target's gives each bucket a gain, and the
 product of matrix and gains gives each document's weight. A draw without replacement takes the highest weights after
 Gumbel noise from a hash of the document's key.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from cueframe.llm.common import read, slices, staged, words
 
 BUCKETS, RUNS = 10_000, 3
+TEXT, FILE = 1 << 16, 256  # bytes of text in a block, or one longer row, and blocks in a file: readers hold many blocks at once
 #: Bytes between words: ASCII other than digits and letters.
 GAPS = np.ones(256, bool)
 GAPS[128:] = GAPS[48:58] = GAPS[65:91] = GAPS[97:123] = False
@@ -84,26 +85,32 @@ def run_crcs(text: pa.Array, runs: int = RUNS) -> tuple[np.ndarray, np.ndarray,
 def count_blocks(docs: DataFrame, buckets: int = BUCKETS, runs: int = RUNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the matrix of docs and returns its blocks: of each, ids and words of its rows and the CSR arrays.
 
-    ends: int64, one for each row; buckets and counts: uint32, counts of a row's buckets in ascending order. A block
-    holds the rows of about a megabyte of text, or one longer row, which has `buckets` entries at most. A null text has
-    none; null ids stay null. Other columns are not read. No rows give no blocks.
+    ends: int64, one for each row; buckets: uint16, or uint32 where there are more of them; counts of a row's buckets in
+    ascending order: uint8, or uint32 where one is larger. A block holds the rows of about TEXT bytes, or one longer row,
+    which has `buckets` entries at most. A null text has none; null ids stay null. Other columns are not read. No rows
+    give no blocks.
     """
+    narrow = "<u2" if buckets <= 1 << 16 else "<u4"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=TEXT):
             crcs, rows, per_row = run_crcs(batch.column("text"), runs)
             keys, counts = np.unique(rows * buckets + crcs % np.uint32(buckets), return_counts=True)
             ends = np.cumsum(np.bincount(keys // buckets, minlength=len(batch)), dtype=np.int64)
-            arrays = ends, (keys % buckets).astype("<u4"), counts.astype("<u4")
+            arrays = ends, (keys % buckets).astype(narrow), counts.astype("u1" if counts.max(initial=0) < 256 else "<u4")
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (batch.column("id").to_pylist(), per_row.tolist())] + [pa.array([x.tobytes()], pa.binary()) for x in arrays], ["doc_ids", "words", "ends", "buckets", "counts"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return staged(rows.mapInArrow(build, BLOCK), "count-blocks")
+    return staged(rows.mapInArrow(build, BLOCK), "count-blocks", FILE)
 
 
-def _csr(blocks: pa.RecordBatch) -> Iterator[tuple[pa.Scalar, pa.Scalar, np.ndarray, np.ndarray, np.ndarray]]:
+def csr(blocks: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each block: ids and words of its rows, and ends, buckets and counts."""
     for k in range(len(blocks)):
-        yield blocks.column("doc_ids")[k].values, blocks.column("words")[k].values, *(np.frombuffer(blocks.column(c)[k].as_buffer(), t) for c, t in (("ends", np.int64), ("buckets", "<u4"), ("counts", "<u4")))
+        ends, *rest = (blocks.column(c)[k].as_buffer() for c in ("ends", "buckets", "counts"))
+        ends = np.frombuffer(ends, np.int64)
+        n = int(ends[-1]) if len(ends) else 0
+        yield blocks.column("doc_ids")[k].values, blocks.column("words")[k].values, ends, *(np.frombuffer(x, f"<u{len(x) // n if n else 1}") for x in rest)
 
 
 def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -112,8 +119,8 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for _, _, _, at, counts in _csr(batch):
-                np.add.at(total, at, counts)
+            for _, _, _, at, counts in csr(batch):
+                total += np.bincount(at, counts, buckets).astype(np.int64)  # exact: sums of a block stay below 2 ** 53
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["bucket", "n"])
 
@@ -137,7 +144,7 @@ def weights(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, n_words, ends, at, counts in _csr(batch):
+            for ids, n_words, ends, at, counts in csr(batch):
                 first = np.concatenate([[0], ends])
                 out = [n_words]
                 for values in (counts.astype(np.int64), gain[at] * counts):
