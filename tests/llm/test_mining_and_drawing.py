@@ -172,10 +172,10 @@ def test_matrix_comes_back(spark):
     """Blocks hold each row's counts, also of a text of more than one block's size."""
     docs = spark.createDataFrame([(1, "a b a b"), (2, None), (3, "q " * 700_000)], "doc_id bigint, text string")
     seen = {}
-    for x in resampling.count_blocks(docs, buckets=97).collect():
-        ends = [0, *np.frombuffer(x.ends, np.int64).tolist()]
-        at, counts = np.frombuffer(x.buckets, "<u4"), np.frombuffer(x.counts, "<u4")
-        for k, i in enumerate(x.doc_ids):
-            seen[i] = dict(zip(at[ends[k] : ends[k + 1]].tolist(), counts[ends[k] : ends[k + 1]].tolist(), strict=True))
+    for block in resampling.count_blocks(docs, buckets=97).toArrow().to_batches():
+        for ids, _, ends, at, counts in resampling.csr(block):
+            first = [0, *ends.tolist()]
+            for k, i in enumerate(ids.to_pylist()):
+                seen[i] = dict(zip(at[first[k] : first[k + 1]].tolist(), counts[first[k] : first[k + 1]].tolist(), strict=True))
     want = {i: dict(Counter(zlib.crc32(f) % 97 for f in features(t))) for i, t in ((1, "a b a b"), (2, ""), (3, "q " * 700_000))}
     assert seen == want
