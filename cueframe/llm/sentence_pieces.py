@@ -29,7 +29,7 @@ from cueframe.llm.common import buffers, read, slices
 from cueframe.llm.encoding import vocabulary
 
 SIGN = "▁"
-MEMO, LONG = 500_000, 256  # stretches a worker remembers, and their longest
+MEMO, LONG = 1_000_000, 256  # stretches a worker remembers, and their longest
 
 
 class Pieces:
@@ -60,6 +60,7 @@ class Pieces:
         self.own: dict[str, bool] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo: dict[bytes, tuple[int, ...]] = {}
+        self.written = [str(k) for k in range(size)]
 
     def merged(self, text: str) -> list[str]:
         """The rule itself, for short texts: join the best pair of neighbours until none is a piece."""
@@ -94,16 +95,23 @@ class Pieces:
             lengths[end + 1 - length] |= 1 << length
         failed = bytearray(len(text) // 8 + 1)
         out: list[str] = []
-        at, longest = 0, len(text)
-        while at < len(text):
+        own, pairs, size = self.own, self.pairs, len(text)
+        at, longest = 0, size
+        while at < size:
             fits = lengths[at] & ((2 << longest) - 1)
             while fits:
                 length = fits.bit_length() - 1
                 fits ^= 1 << length
                 end, token = at + length, text[at : at + length]
-                if not failed[end >> 3] >> (end & 7) & 1 and self._stands(token) and (not out or self._agree(out[-1], token)):
+                if failed[end >> 3] >> (end & 7) & 1:
+                    continue
+                stands = own.get(token)
+                if stands is False or stands is None and not self._stands(token):
+                    continue
+                agree = pairs.get((out[-1], token)) if out else True
+                if agree or agree is None and self._agree(out[-1], token):
                     out.append(token)
-                    at, longest = end, len(text)
+                    at, longest = end, size
                     break
             else:
                 failed[at >> 3] |= 1 << (at & 7)
@@ -201,7 +209,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
             shas, texts = [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 own = ids[a:b].tolist()
-                shas.append(hashlib.sha256(",".join(map(str, own)).encode()).hexdigest())
+                shas.append(hashlib.sha256(",".join(map(model.written.__getitem__, own)).encode()).hexdigest())
                 texts.append(hashlib.sha256(model.model.decode(own).encode()).hexdigest())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": np.diff(at), "ids_sha256": shas, "decoded_sha256": texts})
 
