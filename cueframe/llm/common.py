@@ -44,7 +44,18 @@ def staged(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of staged tables that no later step reads, also not to recompute what a lost executor held."""
+    for table in tables:
+        if path := getattr(table, "staged_at", None):
+            sc = table.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,6 +87,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         new = staged(small.where("a <> b").distinct(), "edges")
         was = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(pairs)
         pairs = new
         if was == now:
             break

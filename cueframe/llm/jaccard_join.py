@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import components, id_text, mix, read, slices, staged, without, words
+from cueframe.llm.common import components, discard, id_text, mix, read, slices, staged, without, words
 
 REFINE = 48  # open sets with one signature from which its one-deletion form is cheaper: about 6 rows a set against pairs
 EACH = 4  # nearest candidates that a set has verified in the first round; later rounds take 8 times as many
@@ -257,7 +257,9 @@ def _sets_of(docs: DataFrame, named: DataFrame, wanted: DataFrame, k: int) -> Da
     one = named.select("node", F.struct("doc_id", "key").alias("at")).join(wanted.select("node").distinct(), "node").groupBy("node").agg(F.min("at").alias("at"))
     one = staged(one.select("node", F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key")), "chosen")  # its size decides how it is joined
     rows = docs.join(one, docs.doc_id.eqNullSafe(one._id) & (docs.key == one._key)).select("text", "node")
-    return staged(rows.mapInArrow(run, "node long, own binary").dropDuplicates(["node"]), "own-sets")
+    out = staged(rows.mapInArrow(run, "node long, own binary").dropDuplicates(["node"]), "own-sets")
+    discard(one)
+    return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -274,7 +276,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, k: int, num:
 
     sets = _sets_of(docs, named, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), k)
     one, two = sets.select(F.col("node").alias("a"), F.col("own").alias("x")), sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
-    return staged(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long"), "links")
+    links = staged(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long"), "links")
+    discard(sets)
+    return links
 
 
 def _candidates(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -390,8 +394,10 @@ def _members(docs: DataFrame, k: int, num: int, den: int, refine: int) -> DataFr
     stars = groups.withColumn("rep", least).where("rep <> node").groupBy("node").agg(F.min("rep").alias("rep"))
     near = _candidates(stars.select(F.col("rep").alias("a"), F.col("node").alias("b")), sets, num, den)
     links = _verified(near, docs, named, k, num, den)
+    discard(near)
 
     rows, each = _opened(groups, links), EACH
+    discard(groups)
     crowded = rows.where(F.col("_n") > refine)
     if not crowded.isEmpty():
 
@@ -403,18 +409,24 @@ def _members(docs: DataFrame, k: int, num: int, den: int, refine: int) -> DataFr
 
         own = _sets_of(docs, named, crowded, k)
         finer = crowded.select("sig", "node", "role").join(own, "node").mapInArrow(run, "sig long, node long, role byte")
-        finer = _opened(staged(_shared(finer), "finer-groups"), links)
-        rows = staged(rows.where(F.col("_n") <= refine).unionByName(finer), "open-groups")
+        shared = staged(_shared(finer), "finer-groups")
+        finer, whole = _opened(shared, links), rows
+        rows = staged(whole.where(F.col("_n") <= refine).unionByName(finer), "open-groups")
+        discard(own, shared, finer, whole)
     while True:
         found = _open_pairs(rows, sets, each, num, den)
         pairs = found.where("a is not null").select("a", "b")
         if pairs.isEmpty():
             break
-        links = staged(links.union(_verified(pairs, docs, named, k, num, den)), "links")
+        new, old = _verified(pairs, docs, named, k, num, den), links
+        links = staged(old.union(new), "links")
+        discard(new, old)
         more = found.where("sig is not null").select("sig")
         if more.isEmpty():
             break
-        rows = _opened(rows.join(more, "sig", "left_semi"), links)
+        left = _opened(rows.join(more, "sig", "left_semi"), links)
+        discard(rows, found)
+        rows = left
         each *= 8  # nearest first; more at a time where these don't join
     return named.select("doc_id", "key", "n", "node").join(components(links), "node", "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
 
