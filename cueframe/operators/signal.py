@@ -34,12 +34,12 @@ def thresholds(frames: DataFrame) -> DataFrame:
     ranked = frames.withColumns({"_n": n, "_k": rank})
     at = F.greatest(F.lit(1), F.floor(F.col("_n") * 0.2))
     out = ranked.groupBy("track_id").agg(F.max(F.when(F.col("_k") == at, F.col("rms"))).alias("noise"), F.max("rms").alias("peak"))
-    return out.withColumn("threshold", F.greatest(F.col("noise") * 2.5, F.col("peak") * 0.06))
+    return out.withColumn("threshold", F.greatest(F.col("noise") * 3.0, F.col("peak") * 0.08))
 
 
 def speech(frames: DataFrame, frame_ms: int = 20, merge_ms: int = 80, least_ms: int = 80) -> DataFrame:
-    """(track_id, start_ms, end_ms) of frames above the threshold, merged over short gaps, without short islands."""
-    loud = frames.join(thresholds(frames), "track_id").where(F.col("rms") >= F.col("threshold"))
+    """(track_id, start_ms, end_ms) of frames above the threshold, merged over short gaps, without short islands; none in silence."""
+    loud = frames.join(thresholds(frames), "track_id").where((F.col("rms") >= F.col("threshold")) & (F.col("threshold") > 0))
     spans = loud.select("track_id", (F.col("frame") * frame_ms).alias("start_ms"), ((F.col("frame") + 1) * frame_ms).alias("end_ms"))
     return intervals.bridge(spans, merge_ms).where(F.col("end_ms") - F.col("start_ms") >= least_ms).drop("pieces")
 

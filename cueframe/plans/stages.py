@@ -173,8 +173,8 @@ SQL = {
         SELECT track_id, mark, -(max(struct_pack(g := gap, l := -seg_idx)).l) AS cut_after, max(gap) AS gap_ms FROM k WHERE mark < n AND abs(mark - seg_idx) <= 5 GROUP BY 1, 2""",
     "speech_islands": f"""WITH {TIMELINE}, f AS (SELECT track_id, seg_idx AS frame, (end_ms - start_ms) % 1000 AS rms FROM tl),
         r AS (SELECT *, count(*) OVER (PARTITION BY track_id) AS n, row_number() OVER (PARTITION BY track_id ORDER BY rms, frame) AS k FROM f),
-        t AS (SELECT track_id, greatest(2.5 * max(rms) FILTER (WHERE k = greatest(1, floor(n * 0.2))), 0.06 * max(rms)) AS th FROM r GROUP BY 1),
-        s AS (SELECT f.track_id, frame * 20 AS a, (frame + 1) * 20 AS b FROM f JOIN t USING (track_id) WHERE rms >= th),
+        t AS (SELECT track_id, greatest(3.0 * max(rms) FILTER (WHERE k = greatest(1, floor(n * 0.2))), 0.08 * max(rms)) AS th FROM r GROUP BY 1),
+        s AS (SELECT f.track_id, frame * 20 AS a, (frame + 1) * 20 AS b FROM f JOIN t USING (track_id) WHERE rms >= th AND th > 0),
         g AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY track_id ORDER BY a) <= 80 THEN 0 ELSE 1 END AS c FROM s), i AS (SELECT *, sum(c) OVER (PARTITION BY track_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM g)
         SELECT track_id, min(a) AS start_ms, max(b) AS end_ms FROM i GROUP BY track_id, run HAVING max(b) - min(a) >= 80""",
     "merged_chunks": f"""WITH {DUB}, w AS (SELECT track_id, len(regexp_extract_all(text, '{segmenter.T.TOKEN.replace("'", "''")}')) AS c FROM dub)

@@ -49,3 +49,9 @@ def checkpointed(spark: SparkSession) -> None:
         if not shared and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cueframe-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once to the checkpoint folder: what is used several times isn't computed again, and plans stay short."""
+    checkpointed(df.sparkSession)
+    return df.checkpoint()
