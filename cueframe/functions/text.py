@@ -216,42 +216,60 @@ def translation_input(text: Column, most: int = 5000) -> Column:
     return F.substring(text, 1, most)
 
 
-def _packed(parts: list[str], limit: int, split_longer) -> list[str]:
-    """Parts joined in order into lines of at most limit characters; longer parts are split, their last piece goes on."""
-    out, line = [], ""
-    for part in parts:
-        if not part.strip():
-            continue
-        if len(line) + len(part) <= limit:
-            line += part
-            continue
-        if line:
-            out.append(line.strip())
-        *whole, line = split_longer(part) if len(part) > limit else [part]
-        out += [x.strip() for x in whole]
-    return [*out, line.strip()] if line.strip() else out
+#: What a line may end with, finest last: a sentence (no decimal point ends one), and a part of it up to a comma.
+SENTENCE = re.compile(r"(?:[^。！？；.!?;]|(?<=[0-9])\.(?=[0-9]))*(?:[。！？；!?;.]|$)")
+CLAUSE = re.compile(r"[^，,、]*(?:[，,、]|$)")
+
 
+def _units(line: str, limit: int) -> list[tuple[str, bool]]:
+    """The smallest parts of a line that need to stay whole, and whether one has to begin a line of its own.
 
-def _hard(text: str, limit: int) -> list[str]:
-    """A text cut at limit characters, or behind the last comma or space of the ten before."""
+    A sentence stays whole if it fits; else its clauses do, the first of them on a new line; a clause that doesn't fit is
+    cut into stretches of at most limit characters, each on a new line, and each behind the last comma or space among
+    its last nine characters, if there is one.
+    """
+    stretch = re.compile(rf"(?s).{{1,{limit}}}$|.{{{max(1, limit - 9)},{limit - 1}}}[，,、 \u3000]|.{{{limit}}}") if limit > 1 else re.compile("(?s).")
     out = []
-    while len(text) > limit:
-        near = [i + 1 for i in range(limit - 1, max(0, limit - 10), -1) if text[i] in "，,、 　"]
-        at = near[0] if near else limit
-        out.append(text[:at].strip())
-        text = text[at:].strip()
-    return [*out, text] if text or not out else out
+    for sentence in filter(str.strip, SENTENCE.findall(line)):
+        if len(sentence) <= limit:
+            out.append((sentence, False))
+            continue
+        for k, clause in enumerate(filter(str.strip, CLAUSE.findall(sentence))):
+            if len(clause) <= limit:
+                out.append((clause, not k))
+                continue
+            rest = clause
+            while rest:
+                part = stretch.match(rest)[0]
+                out.append((part.strip(), True))
+                rest = rest[len(part) :].strip()
+    return out
 
 
 def sentence_lines(text: str, limit: int = 30) -> list[str]:
-    """A text as lines for subtitles: by line ends, sentence ends (no decimal points), commas, and at last by length."""
+    """A text as lines for subtitles of at most limit characters: units of a line are joined in order as long as they fit."""
     out = []
     for line in text.split("\n"):
-        parts = re.findall(r"(?:[^。！？；.!?;]|(?<=[0-9])\.(?=[0-9]))*(?:[。！？；!?;.]|$)", line.strip())
-        out += _packed(parts, limit, lambda s: _packed(re.findall(r"[^，,、]*(?:[，,、]|$)", s), limit, lambda x: _hard(x, limit)) or [s])
+        rows: list[str] = []
+        for unit, alone in _units(line.strip(), limit):
+            if rows and not alone and len(rows[-1]) + len(unit) <= limit:
+                rows[-1] += unit
+            else:
+                rows.append(unit)
+        out += [x for x in map(str.strip, rows) if x]
     return out
 
 
+def word_count(text: str) -> int:
+    """count_words of a plain string."""
+    return len(re.findall(NO_SPACE, text)) + len(re.sub(NO_SPACE, " ", text).split())
+
+
+def mainly_cjk(text: str) -> bool:
+    """is_mainly_cjk of a plain string."""
+    return 2 * len(re.findall(NO_SPACE, text)) > len("".join(text.split())) > 0
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def pack_sentences(text: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series([sentence_lines(t or "", int(n)) for t, n in zip(text, limit, strict=True)])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -74,61 +75,94 @@ def containing(points: DataFrame, spans: DataFrame, bucket_ms: int = 60_000) ->
     return points.join(best, KEY, "left").select(*points.columns, F.col("_s.span_start").alias("span_start"), F.col("_s.span_end").alias("span_end"))
 
 
+ALIKE = 0.75  # fixed value: likeness from which two changed lines are versions of each other
+
+
+def likeness(a: str, b: str) -> float:
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def beside(a: list[str], b: list[str]) -> list[int | None]:
+    """For each line of a the place of the line of b beside it.
+
+    Equal lines are paired as a difference of the lists does. In a block that has changed, the two most alike lines, if they
+    are ALIKE, are a pair and part the block, and so on in both halves; the earlier one wins a tie. Where no two are alike,
+    lines are paired by place.
+    """
+    out: list[int | None] = [None] * len(a)
+    blocks = []
+    for tag, i, j, k, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if tag == "equal":
+            out[i:j] = range(k, n)
+        elif tag == "replace":
+            blocks.append((i, j, k, n))
+    while blocks:
+        i, j, k, n = blocks.pop()
+        pairs = [(likeness(a[x], b[y]), -x, -y) for x in range(i, j) for y in range(k, n) if 2 * min(len(a[x]), len(b[y])) >= ALIKE * (len(a[x]) + len(b[y]))]
+        best = max(pairs, default=(0.0, 0, 0))
+        if best[0] < ALIKE:
+            for x, y in zip(range(i, j), range(k, n)):
+                out[x] = y
+            continue
+        x, y = -best[1], -best[2]
+        out[x] = y
+        blocks += [block for block in ((i, x, k, y), (x + 1, j, y + 1, n)) if block[0] < block[1] and block[2] < block[3]]
+    return out
+
+
 def pair_lines(batches: DataFrame) -> DataFrame:
     """Lines of two versions of a batch side by side; batches: (track_id, batch, source, target), arrays of texts.
 
-    Rows (track_id, batch, line, source, target). Lines are paired by their differences; a line with nothing beside it in
-    the target has the target before it, a line of the target with nothing beside it in the source is left out.
+    Rows (track_id, batch, line, source, target). Lines are paired by likeness, see beside; a line with nothing beside it in
+    the target has the target before it, a line of the target with nothing beside it in the source is left out. A null
+    array is an empty one. Batches bound the work.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in pdf.itertuples():
-            a, b = [str(x) for x in row.source], [str(x) for x in row.target]
-            beside: list[str | None] = [None] * len(a)
-            for tag, i, j, k, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-                if tag in ("equal", "replace"):
-                    for x, y in zip(range(i, j), range(k, n)):
-                        beside[x] = b[y]
-            for line, text in enumerate(a):
-                if beside[line] is None and line:
-                    beside[line] = beside[line - 1]
-                out.append((row.track_id, row.batch, line, text, beside[line]))
+            a, b = ([str(x) for x in lines] if lines is not None else [] for lines in (row.source, row.target))
+            last = None
+            for line, (text, at) in enumerate(zip(a, beside(a, b), strict=True)):
+                last = last if at is None else b[at]
+                out.append((row.track_id, row.batch, line, text, last))
         return pd.DataFrame(out, columns=["track_id", "batch", "line", "source", "target"])
 
     kinds = dict(batches.dtypes)
     return batches.mapInPandas(lambda parts: map(run, parts), f"track_id {kinds['track_id']}, batch {kinds['batch']}, line long, source string, target string")
 
 
+def _plain(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
+def candidate_runs(n: int, words: list[str], at: int, shift: int) -> list[tuple[int, int]]:
+    """First place and number of words of the runs that a sentence of n words can have been made from, likeliest first:
+    half to twice as many words, nearer sizes first, from `at` to shift words further on."""
+    sizes = sorted(range(max(1, n // 2), min(2 * n, len(words) - at) + 1), key=lambda size: abs(size - n))
+    return [(first, size) for size in sizes for first in range(at, min(at + shift + 1, len(words) - size + 1))]
+
+
 def best_run(sentence: str, words: list[str], at: int, shift: int = 30, least: float = 0.5) -> tuple[int, int] | None:
-    """First place and number of the words from `at` on that are most like a sentence, or None below `least`.
+    """First place and number of the words from `at` on that are most like a sentence, or None below `least`; of equally
+    like runs the likelier one.
 
-    Runs of about as many words as the sentence has are tried first, at starts up to `shift` further on; of equally good
-    ones the first stays, and a perfect one ends the search.
+    Each candidate has a bound on its likeness, from the letters it shares with the sentence. They are compared from the
+    highest bound down, until no bound reaches the best likeness found.
     """
-    plain = lambda s: " ".join(s.lower().split())
-    wanted = plain(sentence)
-    n = _word_count(wanted)
-    matcher, best, found = difflib.SequenceMatcher(None), 0.0, None
-    matcher.set_seq2(wanted)
-    for size in sorted(range(max(1, n // 2), min(2 * n, len(words) - at) + 1), key=lambda x: abs(x - n)):
-        for first in range(at, min(at + shift + 1, len(words) - size + 1)):
-            text = plain("".join(words[first : first + size]))
-            matcher.set_seqs(wanted, text)
-            if matcher.real_quick_ratio() <= best or matcher.quick_ratio() <= best:
-                continue
-            ratio = matcher.ratio()
-            if ratio > best:
-                best, found = ratio, (first, size)
-            if ratio == 1.0:
-                return found
-    return found if best >= least else None
-
-
-def _word_count(text: str) -> int:
-    import re
-
-    return len(re.findall(T.NO_SPACE, text)) + len(re.sub(T.NO_SPACE, " ", text).split())
+    wanted = _plain(sentence)
+    letters = Counter(wanted)
+    bounded = []
+    for rank, (first, size) in enumerate(candidate_runs(T.word_count(wanted), words, at, shift)):
+        text = _plain("".join(words[first : first + size]))
+        shared = sum(min(k, letters[c]) for c, k in Counter(text).items())
+        bounded.append((-2 * shared / max(1, len(text) + len(wanted)), rank, text, (first, size)))
+    best = (0.0, 1, (0, 0))  # likeness, -rank, run
+    for bound, rank, text, run in sorted(bounded):
+        if -bound < best[0]:
+            break
+        best = max(best, (likeness(wanted, text), -rank, run))
+    return best[2] if best[0] >= least else None
 
 
 def match_sentences(words: DataFrame, sentences: DataFrame, most_unmatched: int = 5) -> DataFrame:

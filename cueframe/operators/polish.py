@@ -84,24 +84,24 @@ def fix_overlaps(segments: DataFrame) -> DataFrame:
 def merge_short(segments: DataFrame, limit: int = 18, limit_cjk: int = 25) -> DataFrame:
     """Rows close to the next one join it where either is short and both fit the limit; from the front, again and again.
 
-    Gaps wider than any rule allows part a track into runs, which are folded one by one.
+    What a row has grown to is asked again for its words, and for its script, which sets limit and joint. Gaps wider than
+    any rule allows part a track into runs, which are folded one by one.
     """
     widest = max(g for g, _ in SHORT)
     gap = F.abs(F.col("start_ms") - F.lag("end_ms").over(timeline.track()))
     rows = segments.withColumn("_far", F.coalesce(gap >= widest, F.lit(False)).cast("long")).withColumn("_run", F.sum("_far").over(timeline.so_far()))
-    rows = rows.withColumns({"_words": T.count_words(F.col("text")), "_cjk": T.is_mainly_cjk(F.col("text"))})
 
     def fold(run: pd.DataFrame) -> pd.DataFrame:
         out: list[list] = []
-        for track, i, s, e, text, n, cjk in run.sort_values("seg_idx")[["track_id", "seg_idx", "start_ms", "end_ms", "text", "_words", "_cjk"]].itertuples(index=False):
+        for track, i, s, e, text in run.sort_values("seg_idx")[["track_id", "seg_idx", "start_ms", "end_ms", "text"]].itertuples(index=False):
             if out:
                 own = out[-1]
-                gap, few = abs(s - own[3]), min(own[5], n)
-                if own[5] + n <= (limit_cjk if own[6] else limit) and any(gap < g and few < k for g, k in SHORT):
-                    own[3], own[4], own[5] = e, own[4] + ("" if own[6] else " ") + text, own[5] + n
+                cjk, had, n = T.mainly_cjk(own[4]), T.word_count(own[4]), T.word_count(text)
+                if had + n <= (limit_cjk if cjk else limit) and any(abs(s - own[3]) < g and min(had, n) < k for g, k in SHORT):
+                    own[3], own[4] = e, own[4] + ("" if cjk else " ") + text
                     continue
-            out.append([track, i, s, e, text, n, cjk])
-        return pd.DataFrame([x[:5] for x in out], columns=["track_id", "seg_idx", "start_ms", "end_ms", "text"])
+            out.append([track, i, s, e, text])
+        return pd.DataFrame(out, columns=["track_id", "seg_idx", "start_ms", "end_ms", "text"])
 
     kind = segments.schema["track_id"].dataType.simpleString()
     return rows.groupBy("track_id", "_run").applyInPandas(fold, f"track_id {kind}, seg_idx long, start_ms long, end_ms long, text string")

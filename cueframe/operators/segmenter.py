@@ -67,15 +67,18 @@ def by_longest_pause(start: list[int], end: list[int], fits, low: int = 0) -> li
 
 
 def _folded(run: pd.DataFrame, limit: int, limit_cjk: int, max_gap: int) -> list[int]:
-    """The segment number of each word of one run, in order; words counts, cjk and solid are those of the words' own texts."""
+    """The segment number of each word of one run, in order; cjk and solid count the words' own characters.
+
+    Words are counted in the joined text of a stretch: where no space is put between two, they are one.
+    """
     start, end, words = run["start_ms"].tolist(), run["end_ms"].tolist(), run["text"].tolist()
-    count, cjk, solid = (np.concatenate([[0], np.cumsum(run[c])]) for c in ("words", "cjk", "solid"))
+    cjk, solid = (np.concatenate([[0], np.cumsum(run[c])]) for c in ("cjk", "solid"))
 
     def most(a: int, b: int) -> int:
         return limit_cjk if 2 * (cjk[b] - cjk[a]) > solid[b] - solid[a] else limit
 
     def fits(a: int, b: int) -> bool:
-        return count[b] - count[a] <= most(a, b)
+        return T.word_count("".join(words[a:b])) <= most(a, b)
 
     cuts: set[int] = set()
     edges = [*by_gaps(start, end, max_gap), len(words)]
@@ -98,7 +101,7 @@ def segment_words(words: DataFrame, limit: int = 18, max_gap_ms: int = 500, boun
     rows = timeline.run_ids(rows, "speaker") if "speaker" in words.columns else rows.withColumn("run", F.lit(0).cast("long"))
     bare = F.lower(T.strip(F.col("text"))) if lower else T.strip(F.col("text"))
     rows = rows.withColumn("text", F.when(T.is_space_separated(F.col("text")), F.concat(bare, F.lit(" "))).otherwise(F.col("text")))
-    own = {"words": T.count_words(F.col("text")), "cjk": F.regexp_count("text", F.lit(T.NO_SPACE)), "solid": F.length(F.regexp_replace("text", r"(?U)\s+", ""))}
+    own = {"cjk": F.regexp_count("text", F.lit(T.NO_SPACE)), "solid": F.length(F.regexp_replace("text", r"(?U)\s+", ""))}
     rows = rows.withColumns(own).select("track_id", "island", "run", "seg_idx", "start_ms", "end_ms", "text", *own)
 
     def fold(run: pd.DataFrame) -> pd.DataFrame:
