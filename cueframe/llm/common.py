@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows of an Arrow batch while queries of this package run: texts are long, and JVM and worker both hold whole batches.
-BATCH_ROWS, BATCH_BYTES = "2000", "32m"
+BATCH_ROWS, BATCH_BYTES = "2000", "8m"
+MOST_BITS = 30  # of a marker filter, in powers of two: 128 MB at most go to every task
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -96,19 +98,37 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return pairs.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(pairs.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
 
 
+def may_meet(rows: DataFrame, keys: list[Column], others: DataFrame, other_keys: list[Column], flag: str) -> DataFrame:
+    """rows with a boolean flag: whether the keys can be those of a row of others; false only where they surely aren't.
+
+    A bit for each row of others, by hash, in a bitmap of at most 2 ** MOST_BITS bits that is broadcast in pieces of 4 kB:
+    about one row in 16 is flagged without cause, more where others has over 2 ** (MOST_BITS - 4) rows. others is read
+    twice and should be a written table. So only flagged rows, not all texts, need to be shuffled to meet others.
+    """
+    bits = min(MOST_BITS, max(15, (16 * others.count()).bit_length()))
+    place = lambda k: F.pmod(F.xxhash64(F.lit("meet"), *k), F.lit(1 << bits)) + 1
+    maps = others.select(place(other_keys).alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    own = place(keys)
+    at = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.shiftright(byte, 0).bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (at % 8 + 1).cast("int"))) != 0
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(own) == F.col("_piece"), "left").withColumn(flag, F.coalesce(set_, F.lit(False))).drop("_piece", "_bits")
+
+
 def without(docs: DataFrame, marks: DataFrame, key: Column) -> DataFrame:
     """docs, with all their columns, less the rows that marks (doc_id, key, stays) name.
 
     key: the column of docs that marks hold as key. A row whose mark stays is kept once, however often it is repeated;
-    rows without a mark all stay, and only marks, which are few beside the rows, are sent where they are small.
+    rows without a mark all stay. Only rows that may have a mark are shuffled to the marks, the others pass by.
     """
     names = docs.columns
     row, mark = (_free(x, names) for x in ("row", "mark"))
     whole = F.struct(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names))).alias(row)
     rows = docs.select(whole, F.col("doc_id").cast("long").alias("_id"), key.alias("_key"))
     marks = staged(marks.select(F.col("doc_id").alias("_mid"), F.col("key").alias("_mkey"), F.col("stays").alias(mark)).distinct(), "marks")
-    joined = rows.join(marks, F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_key") == F.col("_mkey")), "left")
-    kept = joined.where(F.col(mark).isNull()).select(row)
+    rows = may_meet(rows, [F.col("_id"), F.col("_key")], marks, [F.col("_mid"), F.col("_mkey")], "_may")
+    joined = rows.where("_may").join(marks, F.col("_id").eqNullSafe(F.col("_mid")) & (F.col("_key") == F.col("_mkey")), "left")
+    kept = rows.where("not _may").select(row).union(joined.where(F.col(mark).isNull()).select(row))
     if not marks.where(mark).isEmpty():
         kept = kept.union(joined.where(mark).dropDuplicates(["_id", "_key"]).select(row))
     return kept.select(*(F.col(f"{row}.c{i}").alias(n) for i, n in enumerate(names)))
@@ -122,6 +142,7 @@ def _free(name: str, taken: list[str]) -> str:
 
 # --- text buffers in Arrow tasks -------------------------------------------------------------------------------------
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -149,6 +170,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1
             at = to
         del batch, col, ends
         pa.default_memory_pool().release_unused()  # workers live on: what this task took is there for the next
+    if _TRIM:
+        _TRIM(0)  # freed pieces between live ones go back, too
 
 
 def words(text: pa.Array, lower: bool = True, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, list[bytes], np.ndarray]:

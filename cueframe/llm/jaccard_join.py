@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cueframe.llm.common import components, discard, id_text, mix, read, slices, staged, without, words
+from cueframe.llm.common import components, discard, id_text, may_meet, mix, read, slices, staged, without, words
 
 REFINE = 48  # open sets with one signature from which its one-deletion form is cheaper: about 6 rows a set against pairs
 EACH = 4  # nearest candidates that a set has verified in the first round; later rounds take 8 times as many
@@ -256,7 +256,8 @@ def _sets_of(docs: DataFrame, named: DataFrame, wanted: DataFrame, k: int) -> Da
 
     one = named.select("node", F.struct("doc_id", "key").alias("at")).join(wanted.select("node").distinct(), "node").groupBy("node").agg(F.min("at").alias("at"))
     one = staged(one.select("node", F.col("at.doc_id").alias("_id"), F.col("at.key").alias("_key")), "chosen")  # its size decides how it is joined
-    rows = docs.join(one, docs.doc_id.eqNullSafe(one._id) & (docs.key == one._key)).select("text", "node")
+    rows = may_meet(docs, [F.col("doc_id"), F.col("key")], one, [F.col("_id"), F.col("_key")], "_may").where("_may")
+    rows = rows.join(one, rows.doc_id.eqNullSafe(one._id) & (rows.key == one._key)).select("text", "node")
     out = staged(rows.mapInArrow(run, "node long, own binary").dropDuplicates(["node"]), "own-sets")
     discard(one)
     return out

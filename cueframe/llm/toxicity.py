@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -332,11 +333,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """(row, score): each row of docs as a struct, and the probability that label 1 fits its text; null is the empty text."""
 
+    place = docs.columns.index("text")
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # a text goes to Python once, in its row
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays([row, pa.compute.fill_null(row.field(place), "")], ["row", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(texts(batches)):
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.score(batch.column("text")))], ["row", "score"])
 
-    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"))
     return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
 
 
