@@ -703,3 +703,18 @@ def test_html_differencing_without_markup(spark):
         want[i] = "\n\n".join(own or [*menu, *foot])  # a page without lines of its own is kept
     got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == want
+
+
+def test_marker_filter(spark, monkeypatch):
+    """No row that meets another is missed, few others are flagged, also with a bitmap far too small, and without others."""
+    from cueframe.llm import common
+
+    rows = spark.range(4000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.lit("x").alias("_bit"))
+    marks = common.staged(spark.range(0, 4000, 40).select(F.when(F.col("id") > 0, F.col("id")).alias("m")), "marks")
+    flagged = lambda: {x.k for x in common.may_meet(rows, [F.col("k")], marks, [F.col("m")], "f").where("f").collect()}
+    wanted = {None, *range(40, 4000, 40)}
+    got = flagged()
+    assert wanted <= got and len(got) < 600
+    assert common.may_meet(rows, [F.col("k")], marks.where("m < 0"), [F.col("m")], "f").where("f").count() == 0
+    monkeypatch.setattr(common, "MOST_BITS", 6)
+    assert wanted <= flagged()
