@@ -63,7 +63,7 @@ def warp(cost: np.ndarray, open_start: bool = False, open_end: bool = False) ->
     """The cheapest warping path through a matrix of costs: for each row the first and the last column on it, the sum of the
     path's costs, and its length.
 
-    A diagonal step weighs two; of equally cheap ones it is taken first, then one down. An open end leaves out the columns
+    A diagonal step weighs two; of equally cheap ones it is taken first, then one down; of equally cheap ends the last one. An open end leaves out the columns
     before the path's first row, or behind its last one, at no cost.
     """
     n, m = cost.shape
@@ -83,7 +83,7 @@ def warp(cost: np.ndarray, open_start: bool = False, open_end: bool = False) ->
         ahead = np.cumsum(c)
         row = np.minimum.accumulate(best - ahead) + ahead  # steps along the columns
         steps[i] = np.where(diagonal <= row + 1e-9, 0, np.where(up <= row + 1e-9, 1, 2))
-    i, j = n - 1, int(row.argmin()) if open_end else m - 1
+    i, j = n - 1, m - 1 - int(row[::-1].argmin()) if open_end else m - 1
     first, last, total, length = np.zeros(n, np.int64), np.full(n, -1), 0.0, 0
     while True:
         first[i] = j

@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,25 +144,38 @@ def candidate_runs(n: int, words: list[str], at: int, shift: int) -> list[tuple[
     return [(first, size) for size in sizes for first in range(at, min(at + shift + 1, len(words) - size + 1))]
 
 
+def _bounds(wanted: str, words: list[str], runs: list[tuple[int, int]]) -> np.ndarray:
+    """Of each run an upper bound on its likeness to a plain text: from the letters that both have, by sums over words, and
+    as many blanks as fit best."""
+    letters = Counter("".join(wanted.replace("ς", "σ").split()))
+    low = min((a for a, _ in runs), default=0)
+    own = [Counter("".join(w.lower().replace("ς", "σ").split())) for w in words[low : max((a + n for a, n in runs), default=0)]]
+    table = np.zeros((len(own) + 1, len(letters) + 2))
+    for k, (w, count) in enumerate(zip(words[low:], own, strict=False)):
+        table[k + 1] = [*(count[c] for c in letters), sum(count.values()), sum(c.isspace() for c in w)]
+    table = table.cumsum(axis=0)
+    first, size = (np.array(x, int) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, int), np.zeros(0, int))
+    held = table[first - low + size] - table[first - low]
+    blanks = np.minimum(wanted.count(" "), held[:, -1])
+    shared = np.minimum(held[:, :-2], np.array(list(letters.values()))[None, :]).sum(axis=1) + blanks
+    return 2 * shared / np.maximum(1, len(wanted) + held[:, -2] + blanks)
+
+
 def best_run(sentence: str, words: list[str], at: int, shift: int = 30, least: float = 0.5) -> tuple[int, int] | None:
     """First place and number of the words from `at` on that are most like a sentence, or None below `least`; of equally
     like runs the likelier one.
 
-    Each candidate has a bound on its likeness, from the letters it shares with the sentence. They are compared from the
-    highest bound down, until no bound reaches the best likeness found.
+    Candidates are compared from the highest bound on their likeness down, until no bound reaches the best one found.
     """
     wanted = _plain(sentence)
-    letters = Counter(wanted)
-    bounded = []
-    for rank, (first, size) in enumerate(candidate_runs(T.word_count(wanted), words, at, shift)):
-        text = _plain("".join(words[first : first + size]))
-        shared = sum(min(k, letters[c]) for c, k in Counter(text).items())
-        bounded.append((-2 * shared / max(1, len(text) + len(wanted)), rank, text, (first, size)))
+    runs = candidate_runs(T.word_count(wanted), words, at, shift)
+    bound = _bounds(wanted, words, runs)
     best = (0.0, 1, (0, 0))  # likeness, -rank, run
-    for bound, rank, text, run in sorted(bounded):
-        if -bound < best[0]:
+    for rank in np.argsort(-bound, kind="stable").tolist():
+        if bound[rank] + 1e-9 < best[0]:
             break
-        best = max(best, (likeness(wanted, text), -rank, run))
+        first, size = runs[rank]
+        best = max(best, (likeness(wanted, _plain("".join(words[first : first + size]))), -rank, runs[rank]))
     return best[2] if best[0] >= least else None
 
 

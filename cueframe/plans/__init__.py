@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cueframe.plans import repairs, stages, text, timeline
+from cueframe.plans import alignment, repairs, stages, text, timeline
 
-MODULES = (text, timeline, stages, repairs)
+MODULES = (text, timeline, stages, repairs, alignment)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

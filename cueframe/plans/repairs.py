@@ -163,17 +163,19 @@ def strategy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of conversations beside a version in which some are left out and some changed."""
-    rows = dub_rows(spark, sf_dir).withColumn("l", F.substring("text", 1, 40))
+    rows = dub_rows(spark, sf_dir).withColumn("l", F.col("text"))
     lines = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", c.alias("l")))), lambda x: x["l"])
     own = rows.groupBy("track_id").agg(lines(F.col("l")).alias("source"), F.filter(lines(F.when(F.col("seg_idx") % 4 != 2, F.when(F.col("seg_idx") % 3 == 1, F.upper("l")).otherwise(F.col("l")))), lambda x: x.isNotNull()).alias("target"))
     return edits.pair_lines(own.withColumn("batch", F.lit(0).cast("long"))).select("track_id", "line", F.md5("source").alias("source"), F.md5("target").alias("target"))
 
 
 def matched_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of short conversations found again among their words."""
-    rows = dub_rows(spark, sf_dir).where("trim(text) <> ''").withColumns({"text": F.substring("text", 1, 60), "batch": F.floor(F.col("seg_idx") / 4)})
-    words = timeline.word_rows(rows.drop("batch")).select("track_id", F.floor(F.col("seg_idx") / 4).alias("batch"), (F.col("seg_idx") * 1000 + F.col("word_idx")).alias("seg_idx"), F.concat("word", F.lit(" ")).alias("text"))
-    return edits.match_sentences(words, rows.select("track_id", "batch", "seg_idx", "text"))
+    """Conversations as lines of at most 60 characters, found again among their words, four rows at a time."""
+    rows = dub_rows(spark, sf_dir).where("trim(text) <> ''").withColumn("batch", F.floor(F.col("seg_idx") / 4))
+    sentences = rows.select("track_id", "batch", "seg_idx", F.posexplode(T.pack_sentences(F.col("text"), F.lit(60))).alias("line", "text"))
+    sentences = sentences.select("track_id", "batch", (F.col("seg_idx") * 100_000 + F.col("line")).alias("seg_idx"), "text")
+    words = timeline.word_rows(rows.drop("batch")).select("track_id", F.floor(F.col("seg_idx") / 4).alias("batch"), (F.col("seg_idx") * 100_000 + F.col("word_idx")).alias("seg_idx"), F.concat("word", F.lit(" ")).alias("text"))
+    return edits.match_sentences(words, sentences)
 
 
 QUERIES = {
