@@ -5,7 +5,7 @@ from __future__ import annotations
 from cueframe.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from cueframe.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from cueframe.llm.html_text import op10_html_text
-from cueframe.llm.jaccard_join import op6_jaccard_join
+from cueframe.llm.jaccard_join import OP6_SQL, op6_jaccard_join
 from cueframe.llm.license_scan import op7_license_scan
 from cueframe.llm.packing import op9_best_fit_packing
 from cueframe.llm.ppm import op3_ppm_scores
@@ -14,7 +14,7 @@ from cueframe.llm.sentence_pieces import op12_sentence_pieces
 from cueframe.llm.source_mix import OP1_SQL, op1_source_mix
 from cueframe.llm.token_files import op5_token_files
 from cueframe.llm.toxicity import op8_toxicity
-from cueframe.llm.vector_dedup import op2_vector_dedup
+from cueframe.llm.vector_dedup import OP2_SQL, op2_vector_dedup
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
@@ -33,7 +33,9 @@ QUERIES = {
 }
 SQL = {
     "op1_source_mix": OP1_SQL,
+    "op2_vector_dedup": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
+    "op6_jaccard_join": OP6_SQL,
     "op11_hard_negatives": OP11_SQL,
     "op13_importance_resampling": OP13_SQL,
 }
