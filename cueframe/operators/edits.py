@@ -22,6 +22,30 @@ def optimised(segments: DataFrame, replies: DataFrame) -> DataFrame:
     return out.withColumn("text", F.coalesce("reply", "text")).drop("reply")
 
 
+def with_replies(segments: DataFrame, replies: DataFrame) -> DataFrame:
+    """segments with the reply of replies (track_id, seg_idx, reply) as text; without one, or with an empty one, their own."""
+    out = segments.join(replies.select(*KEY, "reply"), KEY, "left")
+    return out.withColumn("text", F.coalesce(F.nullif("reply", F.lit("")), "text")).drop("reply")
+
+
+def with_defaults(rows: DataFrame, profiles: DataFrame, key: str, columns: dict[str, object], default: str = "default") -> DataFrame:
+    """rows with columns of the profile that their key names, else of the default profile, else the value given here.
+
+    Of profiles with one key the least one counts. Spark sends profiles to every task only as far as its own limit goes.
+    """
+    one = profiles.groupBy(key).agg(F.min(F.struct(*columns)).alias("_own"))
+    other = one.where(F.col(key) == default).select(F.col("_own").alias("_default"))
+    out = rows.join(one, key, "left").join(other, F.lit(True), "left")  # one row at most
+    return out.withColumns({c: F.coalesce(f"_own.{c}", f"_default.{c}", F.lit(v)) for c, v in columns.items()}).drop("_own", "_default")
+
+
+def restore(kept: DataFrame, dropped: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All rows of kept and dropped with state: kept, restored (dropped rows whose key wanted names) or dropped."""
+    back, gone = dropped.join(wanted.select(*KEY), KEY, "left_semi"), dropped.join(wanted.select(*KEY), KEY, "left_anti")
+    state = lambda df, x: df.withColumn("state", F.lit(x))
+    return state(kept, "kept").unionByName(state(back, "restored")).unionByName(state(gone, "dropped"))
+
+
 def rewritten(segments: DataFrame, replies: DataFrame) -> DataFrame:
     """segments with the text of replies where it isn't blank."""
     out = segments.join(replies.select(*KEY, "reply"), KEY, "left")

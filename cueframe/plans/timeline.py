@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueframe.functions.text import TOKEN
-from cueframe.operators import intervals, narrator, timeline
+from cueframe.operators import edits, gates, intervals, narrator, timeline
 from cueframe.sources.tables import DUB, TIMELINE, dub_rows, load
 from cueframe.sources.tables import timeline as tl
 
@@ -141,10 +141,8 @@ def narrator_report(spark, sf_dir):
 def profile_defaults(spark, sf_dir):
     """Profiles by speaker, with the default profile and then a fixed voice where one is missing."""
     profiles = load(spark, sf_dir, "nation").select(F.when(F.col("n_nationkey") == 0, "default").when(F.col("n_nationkey") == 1, "user").otherwise(F.col("n_name")).alias("speaker"), F.when(F.col("n_nationkey") != 1, F.col("n_name")).alias("voice"), F.col("n_regionkey").alias("style"))
-    one = profiles.where("speaker = 'default'").select(F.col("voice").alias("d_voice"), F.col("style").alias("d_style"))
-    rows = _texts(spark, sf_dir).select("track_id", "seg_idx", "speaker").join(F.broadcast(profiles), "speaker", "left").withColumn("d", F.lit("default"))
-    rows = rows.join(F.broadcast(one.withColumn("d", F.lit("default"))), "d", "left")
-    return rows.select("track_id", "seg_idx", "speaker", F.coalesce("voice", "d_voice", F.lit("alloy")).alias("voice"), F.coalesce("style", "d_style").alias("style"))
+    rows = edits.with_defaults(_texts(spark, sf_dir).select("track_id", "seg_idx", "speaker"), profiles, "speaker", {"voice": "alloy", "style": None})
+    return rows.select("track_id", "seg_idx", "speaker", "voice", "style")
 
 
 def restored_rows(spark, sf_dir):
@@ -152,28 +150,36 @@ def restored_rows(spark, sf_dir):
     rows = tl(spark, sf_dir).select("track_id", "seg_idx", "speaker", "event_id")
     kept, dropped = rows.where("speaker in ('view', 'click')"), rows.where("speaker not in ('view', 'click')")
     restore = rows.where("event_id % 4 = 0").select("track_id", "seg_idx")
-    back = dropped.join(restore, ["track_id", "seg_idx"], "left_semi")
-    gone = dropped.join(restore, ["track_id", "seg_idx"], "left_anti")
-    both = kept.withColumn("state", F.lit("kept")).unionByName(back.withColumn("state", F.lit("restored"))).unionByName(gone.withColumn("state", F.lit("dropped")))
-    return both.groupBy("speaker", "state").agg(F.count("*").alias("n"))
+    return edits.restore(kept, dropped, restore).groupBy("speaker", "state").agg(F.count("*").alias("n"))
 
 
 def failure_gates(spark, sf_dir):
-    """Share of empty or unchanged rows by track, and whether a gate of a half stops it."""
-    rows = _texts(spark, sf_dir).withColumn("reply", F.when(F.col("seg_idx") % 3 == 0, "").otherwise(F.upper("text")))
-    bad = (F.col("reply") == "") | (F.lower("reply") == F.lower(F.lit("zz")))
-    out = rows.groupBy("track_id").agg(F.count_if(bad).alias("failed"), F.count("*").alias("n"))
-    return out.withColumn("stop", F.col("failed") * 2 > F.col("n"))
+    """Empty replies, and replies that say the text again in small letters, by track, and whether a gate of a half stops it."""
+    reply = F.when(F.col("seg_idx") % 3 == 0, "").when(F.col("seg_idx") % 5 == 1, F.lower("text")).otherwise(F.concat(F.lit("> "), "text"))
+    rows = _texts(spark, sf_dir).withColumn("reply", reply)
+    return gates.gate(rows, gates.failed_reply(F.col("text"), F.col("reply")))
+
+
+def reply_complaints(spark, sf_dir):
+    """Replies to batches of ten rows, of which some lack keys, hold others, or hold objects without the field."""
+    rows = timeline.batches(_texts(spark, sf_dir), 10).where("trim(text) <> ''")
+    sent = F.map_from_entries(F.collect_list(F.struct(F.col("seg_idx").cast("string"), "text")))
+    told = F.when(F.col("track_id") % 5 == 3, F.struct(F.lit(None).cast("string").alias("text"))).otherwise(F.struct("text"))
+    key = F.when(F.col("track_id") % 5 == 2, F.concat(F.lit("x"), F.col("seg_idx").cast("string"))).otherwise(F.col("seg_idx").cast("string"))
+    kept = (F.col("track_id") % 5 != 1) | (F.col("seg_idx") % 3 > 0)
+    got = F.to_json(F.map_from_entries(F.array_compact(F.collect_list(F.when(kept, F.struct(key.alias("k"), told.alias("v")))))))
+    out = rows.groupBy("track_id", "batch").agg(sent.alias("sent"), got.alias("reply")).withColumn("reply", F.when(F.col("track_id") % 5 == 4, "[]").otherwise(F.col("reply")))
+    return gates.reply_errors(out, "text").select("track_id", "batch", "error")
 
 
 def joined_replies(spark, sf_dir):
     """Replies by row number onto their rows; rows without one keep their text."""
     rows = _texts(spark, sf_dir).select("track_id", "seg_idx", "text")
     replies = rows.where("seg_idx % 2 = 0").select("track_id", "seg_idx", F.concat(F.lit("> "), "text").alias("reply"))
-    return rows.join(replies, ["track_id", "seg_idx"], "left").select("track_id", "seg_idx", F.md5(F.coalesce(F.expr("nullif(reply, '')"), "text")).alias("md5"))
+    return edits.with_replies(rows, replies).select("track_id", "seg_idx", F.md5("text").alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (blank_filter, smooth_boundaries, gap_islands, gap_placement, fixed_pause, gap_fill, chunk_offsets, hop_chunks, long_row_split, word_rows, batch_ids, speaker_runs, merged_turns, rate_limit, deleted_rows, overlap_speaker, speaker_remap, locked_rows, nearest_boundary, as_of_start, bridged, narrator_pick, narrator_filter, narrator_report, profile_defaults, restored_rows, failure_gates, joined_replies)}
+QUERIES = {f.__name__: f for f in (blank_filter, smooth_boundaries, gap_islands, gap_placement, fixed_pause, gap_fill, chunk_offsets, hop_chunks, long_row_split, word_rows, batch_ids, speaker_runs, merged_turns, rate_limit, deleted_rows, overlap_speaker, speaker_remap, locked_rows, nearest_boundary, as_of_start, bridged, narrator_pick, narrator_filter, narrator_report, profile_defaults, restored_rows, failure_gates, reply_complaints, joined_replies)}
 
 _BEST = """best AS (SELECT track_id, seg_idx, max(end_ms - start_ms) AS len, count(*) AS n, min(struct_pack(less := -ms, first := first, who := who, ms := ms)) AS b FROM
   (SELECT s.track_id, s.seg_idx, s.start_ms, s.end_ms, t.speaker AS who, sum(least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms)) AS ms, min(struct_pack(a := t.start_ms, b := t.seg_idx)) AS first
@@ -242,6 +248,10 @@ SQL = {
     "profile_defaults": f"""WITH {DUB}, p AS (SELECT CASE n_nationkey WHEN 0 THEN 'default' WHEN 1 THEN 'user' ELSE n_name END AS speaker, CASE WHEN n_nationkey <> 1 THEN n_name END AS voice, n_regionkey AS style FROM nation)
         SELECT track_id, seg_idx, dub.speaker, coalesce(p.voice, q.voice, 'alloy') AS voice, coalesce(p.style, q.style) AS style FROM dub LEFT JOIN p ON p.speaker = dub.speaker LEFT JOIN p q ON q.speaker = 'default'""",
     "restored_rows": f"WITH {TIMELINE} SELECT speaker, CASE WHEN speaker IN ('view', 'click') THEN 'kept' WHEN event_id % 4 = 0 THEN 'restored' ELSE 'dropped' END AS state, count(*) AS n FROM tl GROUP BY ALL",
-    "failure_gates": f"WITH {DUB}, r AS (SELECT track_id, count(*) FILTER (WHERE seg_idx % 3 = 0 OR text = '' OR lower(text) = 'zz') AS failed, count(*) AS n FROM dub GROUP BY 1) SELECT *, failed * 2 > n AS stop FROM r",
+    "reply_complaints": f"""WITH {DUB}, b AS (SELECT *, CAST(floor((seg_idx - 1) / 10) AS BIGINT) AS batch FROM dub),
+        k AS (SELECT track_id, batch, list_sort(list(CAST(seg_idx AS VARCHAR))) AS own, list_sort(list(CAST(seg_idx AS VARCHAR)) FILTER (seg_idx % 3 = 0)) AS third FROM b WHERE trim(text, ' ') <> '' GROUP BY 1, 2)
+        SELECT track_id, batch, CASE track_id % 5 WHEN 4 THEN 'the reply is not a JSON object' WHEN 1 THEN 'keys missing: ' || array_to_string(third, ', ') WHEN 2 THEN 'keys missing: ' || array_to_string(own, ', ')
+        WHEN 3 THEN 'no text in ''text'' of: ' || array_to_string(own, ', ') END AS error FROM k""",
+    "failure_gates": f"WITH {DUB}, r AS (SELECT track_id, count(*) FILTER (WHERE seg_idx % 3 = 0 OR seg_idx % 5 = 1) AS failed, count(*) AS n FROM dub GROUP BY 1) SELECT *, failed * 2 > n AS stop FROM r",
     "joined_replies": f"WITH {DUB} SELECT track_id, seg_idx, md5(CASE WHEN seg_idx % 2 = 0 THEN '> ' || text ELSE text END) AS md5 FROM dub",
 }
