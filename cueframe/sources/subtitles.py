@@ -13,7 +13,7 @@ from cueframe.functions import timecode
 TIME = r"(?:[0-9]+:)?[0-9]{1,2}:[0-9]{1,2}[,.][0-9]{1,3}"
 
 
-def files(spark: SparkSession, path: str, glob: str = "*.{srt,vtt,ass,json}") -> DataFrame:
+def files(spark: SparkSession, path: str, glob: str = "*.{srt,vtt,ass,json,SRT,VTT,ASS,JSON}") -> DataFrame:
     """(track_id, suffix, content) of the files under path; UTF-8, or GB18030 where the bytes aren't."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     text = F.when(F.expr("is_valid_utf8(cast(content as string))"), F.decode("content", "UTF-8")).otherwise(_gb("content"))
@@ -79,7 +79,7 @@ def parse_word_vtt(content: DataFrame) -> DataFrame:
     head = F.when(T.strip(first) != "", F.array(F.struct(F.col("start_ms").alias("at"), T.strip(first).alias("word")))).otherwise(F.array().cast("array<struct<at:bigint,word:string>>"))
     rows = rows.withColumn("_w", F.concat(head, "_w")).select("track_id", "pos", "end_ms", F.posexplode("_w").alias("k", "w"))
     cue = Window.partitionBy("track_id", "pos").orderBy("k")
-    rows = rows.select("track_id", (F.col("pos") * 10_000 + F.col("k")).alias("pos"), F.col("w.at").alias("start_ms"), F.coalesce(F.lead("w.at").over(cue), "end_ms").alias("end_ms"), F.col("w.word").alias("text"), F.lit("").alias("translated_text"))
+    rows = rows.select("track_id", (F.col("pos") * F.lit(1 << 31) + F.col("k")).alias("pos"), F.col("w.at").alias("start_ms"), F.coalesce(F.lead("w.at").over(cue), "end_ms").alias("end_ms"), F.col("w.word").alias("text"), F.lit("").alias("translated_text"))
     return _numbered(rows)
 
 
@@ -104,9 +104,18 @@ def parse_json(content: DataFrame) -> DataFrame:
     return _numbered(rows.select("track_id", F.col("k").try_cast("int").alias("pos"), F.col("v.start_time").alias("start_ms"), F.col("v.end_time").alias("end_ms"), F.col("v.original_subtitle").alias("text"), F.col("v.translated_subtitle").alias("translated_text")))
 
 
-def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of all caption files under path, whatever their formats."""
+SUFFIXES = ("srt", "vtt", "ass", "json")
+
+
+def read_subtitles(spark: SparkSession, path: str, others: str = "refuse") -> DataFrame:
+    """Segments of all caption files under path, whatever their formats.
+
+    others: "refuse" raises where there is a file of another suffix, "skip" leaves such files out.
+    """
     f = files(spark, path)
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")  # contents aren't read
+    if others == "refuse" and (odd := names.where(~F.lower("path").rlike(rf"\.({'|'.join(SUFFIXES)})$")).first()):
+        raise ValueError(f"not a caption file: {odd[0]}")
     worded = F.contains("content", F.lit("<c>"))
     parts = [parse_srt(f.where("suffix = 'srt'")), parse_vtt(f.where((F.col("suffix") == "vtt") & ~worded)), parse_word_vtt(f.where((F.col("suffix") == "vtt") & worded)), parse_ass(f.where("suffix = 'ass'")), parse_json(f.where("suffix = 'json'"))]
     out = parts[0]

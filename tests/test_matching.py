@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cueframe.functions import text as T
 from cueframe.operators import edits, polish, segmenter
+from cueframe.sources import subtitles
 
 ROWS = "track_id long, seg_idx long, start_ms long, end_ms long, text string"
 
@@ -70,6 +71,15 @@ def test_counts_of_plain_strings(spark):
     assert all((T.word_count(x.t), T.mainly_cjk(x.t)) == (x.n, x.c) for x in got)
 
 
+def test_other_files_are_refused(spark, tmp_path):
+    (tmp_path / "a.SRT").write_text("1\n00:00:01,000 --> 00:00:02,000\nhello\n\n")
+    assert [x.text for x in subtitles.read_subtitles(spark, str(tmp_path)).collect()] == ["hello"]
+    (tmp_path / "b.txt").write_text("x")
+    with pytest.raises(ValueError, match="b.txt"):
+        subtitles.read_subtitles(spark, str(tmp_path))
+    assert subtitles.read_subtitles(spark, str(tmp_path), "skip").count() == 1
+
+
 def test_words_that_stick_together_count_once(spark):
     words = ["one,"] * 20
     rows = spark.createDataFrame([(1, i, i * 100, i * 100 + 90, w) for i, w in enumerate(words)], ROWS)
