@@ -122,11 +122,33 @@ def needs_rewrite(text: Column, start_ms: Column, end_ms: Column, threshold: flo
     return F.when(is_mainly_cjk(text), chars / seconds > 5.5 * threshold).otherwise(F.size(tokens_by_space(text)) / seconds > 2.7 * threshold)
 
 
+#: SQL functions by signature: the body is a built-in expression over t, so plans of SQL and Columns are the same.
+_SOLID = r"regexp_replace(t, r'(?U)\s+', '')"
+_STRIPPED = r"regexp_replace(t, r'(?U)^\s+|\s+$', '')"
+_CJK = f"(length({_SOLID}) > 0 AND regexp_count(t, r'{NO_SPACE}') > length({_SOLID}) * 0.5D)"
+
+
+def _by_space(sql: str) -> str:
+    return f"filter(split({sql}, r'(?U)\\s+'), x -> x <> '')"
+
+
+SQL_FUNCTIONS = {
+    "is_pure_punctuation(t STRING) RETURNS BOOLEAN": r"NOT regexp_like(t, r'(?U)\w')",
+    "cue_words(t STRING) RETURNS INT": f"regexp_count(t, r'{NO_SPACE}') + size({_by_space(f"regexp_replace(t, r'{NO_SPACE}', ' ')")})",
+    "is_mainly_cjk(t STRING) RETURNS BOOLEAN": _CJK,
+    "is_space_separated(t STRING) RETURNS BOOLEAN": f'{_STRIPPED} RLIKE r"{SPACED}"',
+    "is_word_level(t STRING) RETURNS BOOLEAN": f"IF({_CJK}, length({_STRIPPED}) <= 2, size({_by_space(_STRIPPED)}) = 1)",
+    "aligned_text(t STRING) RETURNS STRING": f"regexp_replace(t, r'{PUNCTUATION}', '')",
+    "srt_time(ms BIGINT) RETURNS STRING": "format_string('%02d:%02d:%02d,%03d', ms div 3600000, (ms div 60000) % 60, (ms div 1000) % 60, ms % 1000)",
+}
+
+
 def register(spark) -> None:
-    """The functions as SQL, by CREATE FUNCTION over built-in expressions."""
-    spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION is_pure_punctuation(t STRING) RETURNS BOOLEAN RETURN NOT regexp_like(t, '(?U)\\w')")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION cue_words(t STRING) RETURNS INT RETURN regexp_count(t, r'{NO_SPACE}') + size(filter(split(regexp_replace(t, r'{NO_SPACE}', ' '), r'(?U)\\s+'), x -> x <> ''))".replace(r"\\s", r"\s"))
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION srt_time(ms BIGINT) RETURNS STRING RETURN format_string('%02d:%02d:%02d,%03d', ms div 3600000, (ms div 60000) % 60, (ms div 1000) % 60, ms % 1000)")
+    """The functions as SQL, by CREATE FUNCTION over built-in expressions, and cue_tokens(t) as a table of (pos, word)."""
+    for signature, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+    tokens = f'posexplode(regexp_extract_all(t, r"{TOKEN}", 0))'
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION cue_tokens(t STRING) RETURNS TABLE (pos INT, word STRING) RETURN SELECT p.pos, p.col FROM {tokens} AS p")
 
 
 # --- words, sentences and small conversions --------------------------------------------------------------------------

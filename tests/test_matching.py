@@ -71,6 +71,20 @@ def test_counts_of_plain_strings(spark):
     assert all((T.word_count(x.t), T.mainly_cjk(x.t)) == (x.n, x.c) for x in got)
 
 
+def test_sql_functions_are_the_columns(spark):
+    T.register(spark)
+    texts = ["", " ", "world,next,more,", "a你好", "你好 ab", "word", "中", "don't stop", "2.5 and 1.0.0.", "«q»", "...", "привет", "a b", "你好吗"]
+    spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").createOrReplaceTempView("said")
+    columns = {"cue_words": T.count_words, "is_mainly_cjk": T.is_mainly_cjk, "is_space_separated": T.is_space_separated, "is_word_level": T.is_word_level, "is_pure_punctuation": T.is_pure_punctuation, "aligned_text": T.remove_punctuation}
+    calls = ", ".join(f"{f}(t) AS {f}" for f in columns)
+    sql = spark.sql(f"SELECT i, {calls} FROM said ORDER BY i").collect()
+    own = spark.table("said").select("i", *(f(F.col("t")).alias(n) for n, f in columns.items())).orderBy("i").collect()
+    assert sql == own
+    words = spark.sql("SELECT i, pos, word FROM said, LATERAL cue_tokens(t)").collect()
+    want = spark.table("said").select("i", F.posexplode(F.regexp_extract_all("t", F.lit(T.TOKEN), F.lit(0))).alias("pos", "word")).collect()
+    assert sorted(words) == sorted(want) and len(words) > 12
+
+
 def test_other_files_are_refused(spark, tmp_path):
     (tmp_path / "a.SRT").write_text("1\n00:00:01,000 --> 00:00:02,000\nhello\n\n")
     assert [x.text for x in subtitles.read_subtitles(spark, str(tmp_path)).collect()] == ["hello"]
