@@ -14,6 +14,26 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
+def test_nulls_and_no_rows(spark):
+    """Odd rows go through all stages: null ids, texts and sources, empty texts, repeated rows; and so does an empty table."""
+    docs = read(spark, DATA, "documents")
+    odd = [(None, "no id at all", "en", "web", 12), (None, None, None, None, None), (-1, "", "en", None, 0), (-2, None, "en", "web", 0), (-3, "one text twice", "en", "web", 14), (-3, "one text twice", "en", "web", 14)]
+    rows = docs.limit(40).union(spark.createDataFrame(odd, docs.schema))
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        rows = staged(stage(spark, rows, DATA), f"odd-{name}")
+        seen.append(rows.collect())
+    clean, single, apart, mix, packed = seen
+    assert {x.doc_id for x in clean} >= {None, -1, -2, -3} and sum(x.doc_id == -3 for x in single) == 1
+    assert sum(not (x.text or "").strip() for x in single) == 1  # equal texts: null, null and empty
+    assert {x.doc_id for x in apart} <= {x.doc_id for x in single} and {x.doc_id for x in mix} <= {x.doc_id for x in apart}
+    assert {x.doc_id for x in packed} == {x.doc_id for x in mix}
+    rows = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        rows = staged(stage(spark, rows, DATA), f"none-{name}")
+        assert rows.count() == 0
+
+
 def test_stages(spark):
     docs = read(spark, DATA, "documents")
     outs = []
