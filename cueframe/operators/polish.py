@@ -21,15 +21,19 @@ def upper_median(values: Column) -> Column:
 def fill_times(points: DataFrame, last_ms: Column) -> DataFrame:
     """points (track_id, seg_idx, at_ms): a missing time is half-way between the one before, as filled, and the next known.
 
-    So the k-th of a run is the next known time less their distance over 2 ** k. Before the first known time stands 0,
-    behind the last one last_ms.
+    So the k-th of a run is the next known time less their distance over 2 ** k; it is halved k times, as doubles round in
+    each step, until no step moves it. Before the first known time stands 0, behind the last one last_ms.
     """
     ahead, behind = timeline.track().rowsBetween(Window.unboundedPreceding, 0), timeline.track().rowsBetween(0, Window.unboundedFollowing)
     rows = points.withColumns({"_p": F.coalesce(F.last("at_ms", True).over(ahead), F.lit(0)), "_n": F.coalesce(F.first("at_ms", True).over(behind), last_ms)})
     rows = rows.withColumn("_known", F.count("at_ms").over(timeline.so_far()))
     missing = F.count(F.when(F.col("at_ms").isNull(), 1)).over(Window.partitionBy("track_id", "_known").orderBy("seg_idx"))
     rows = rows.withColumn("_k", missing)
-    filled = F.col("_n") - (F.col("_n") - F.col("_p")) / F.pow(F.lit(2.0), "_k")
+    rows = rows.withColumns({"_p": F.col("_p").cast("double"), "_n": F.col("_n").cast("double")})
+    # a step halves the distance, so from here on none moves a time: the distance is below a unit in the last place, or 0
+    still = F.when(F.col("_p") == F.col("_n"), 1.0).otherwise(F.greatest(F.coalesce(F.log2(F.abs(F.col("_n") - F.col("_p"))) - F.log2(F.abs("_n")), F.lit(2200.0)), F.lit(0.0)) + 58)
+    steps = F.sequence(F.lit(1), F.least(F.col("_k").cast("double"), still, F.lit(2200.0)).cast("int"))
+    filled = F.aggregate(F.when(F.col("at_ms").isNull(), steps), F.col("_p"), lambda at, _: (at + F.col("_n")) / 2)
     return rows.withColumn("at_ms", F.when(F.col("at_ms").isNull(), filled).otherwise(F.col("at_ms").cast("double"))).drop("_p", "_n", "_known", "_k")
 
 

@@ -135,6 +135,35 @@ def test_stages(spark):
     assert [x.k for x in stages.fresh(old, pd.Timestamp("2026-01-10").to_pydatetime()).collect()] == ["b"]
 
 
+def test_cache_keys_of_stages_that_read_the_track(spark):
+    rows = values(spark, [(3, 1, "hi"), (4, 1, "hi")], "track_id int, seg_idx long, text string")
+
+    def stage(batch):
+        if batch["track_id"].iloc[0] == 3:
+            raise RuntimeError("no answer")
+        return batch["text"]
+
+    done = stages.run_stage(rows, stage, by=("track_id",))
+    again = stages.run_stage(rows, lambda b: ["new"] * len(b), 20, stages.cache_rows(done), by=("track_id",))
+    assert sorted((x.track_id, x.reply) for x in again.collect()) == [(3, "new"), (4, "hi")]
+    assert stages.batch_keys(stages.timeline.batches(rows)).select("key").distinct().count() == 1
+
+
+def test_filled_times_round_in_each_step(spark):
+    cases = [(1706449822077, 40), (0, 1200), (3, 70), (-5, 60), (1_800_000_000_000, 3)]
+    firsts = [1706000000001, 7, -9, 1e300, 1_800_000_000_000]
+    rows, want = [], {}
+    for track, ((following, n), first) in enumerate(zip(cases, firsts, strict=True)):
+        at = float(first)
+        rows += [(track, 0, at), (track, n + 1, float(following))]
+        for k in range(1, n + 1):
+            at = (at + following) / 2
+            rows.append((track, k, None))
+            want[track, k] = at
+    got = polish.fill_times(values(spark, rows, "track_id int, seg_idx long, at_ms double"), F.lit(0)).collect()
+    assert {(x.track_id, x.seg_idx): x.at_ms for x in got if (x.track_id, x.seg_idx) in want} == want
+
+
 def test_replies(spark):
     srt = "1\n00:00:01,000 --> 00:00:02,000\nhello\n\n2\n00:00:02,000 --> 00:00:03,000\n(music)\n"
     got = subtitles.parse_srt_replies(values(spark, [(1, srt)], "track_id int, content string")).collect()
