@@ -14,19 +14,21 @@ from cueframe.operators import timeline
 Stage = Callable[[pd.DataFrame], "pd.Series"]
 
 
-def batch_keys(rows: DataFrame, salt: str = "") -> DataFrame:
-    """key: hash of the texts of the batch in order, and of the stage's settings."""
-    lines = F.array_sort(F.collect_list(F.struct("seg_idx", "text")))
-    keys = rows.groupBy("track_id", "batch").agg(F.sha2(F.to_json(F.struct(F.lit(salt).alias("salt"), F.transform(lines, lambda x: x["text"]).alias("texts"))), 256).alias("key"))
+def batch_keys(rows: DataFrame, salt: str = "", by: tuple[str, ...] = ()) -> DataFrame:
+    """key: hash of the texts of the batch in order, of the stage's settings, and of the other columns that a reply depends on."""
+    lines = F.array_sort(F.collect_list(F.struct("seg_idx", "text", *(F.col(c).alias(f"by_{i}") for i, c in enumerate(by)))))
+    others = [lines.getField(f"by_{i}").alias(f"by_{i}") for i in range(len(by))]
+    keys = rows.groupBy("track_id", "batch").agg(F.sha2(F.to_json(F.struct(F.lit(salt).alias("salt"), F.transform(lines, lambda x: x["text"]).alias("texts"), *others)), 256).alias("key"))
     return rows.join(keys, ["track_id", "batch"])
 
 
-def run_stage(segments: DataFrame, stage: Stage, size: int = 20, cache: DataFrame | None = None, salt: str = "") -> DataFrame:
+def run_stage(segments: DataFrame, stage: Stage, size: int = 20, cache: DataFrame | None = None, salt: str = "", by: tuple[str, ...] = ()) -> DataFrame:
     """segments with key, reply and error; batches whose key is in cache (key, seg_idx in batch as place, reply) are not run.
 
     A batch that fails, or returns another number of replies, has its error in each row and no replies; others go on.
+    by: what the stage reads besides texts, such as the track; batches of equal texts share a reply only where it is equal, too.
     """
-    rows = batch_keys(timeline.batches(segments, size), salt).withColumn("place", ((F.col("seg_idx") - 1) % size).cast("long"))
+    rows = batch_keys(timeline.batches(segments, size), salt, by).withColumn("place", ((F.col("seg_idx") - 1) % size).cast("long"))
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("seg_idx")
