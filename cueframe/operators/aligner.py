@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from cueframe.functions import text as T
 from cueframe.operators import polish, timeline
+from cueframe.sources.tables import cut
 
 PIECE = 4096  # characters of a piece of a text
 GRAM, SAMPLE = 12, 4  # characters of a run, and the share of runs (by hash) that are looked at: one in SAMPLE
@@ -187,7 +188,7 @@ def stretches(own: DataFrame, recognised: DataFrame, own_parts: DataFrame, recog
     size = lambda df, name: df.groupBy("track_id").agg(F.sum("n").alias(name)).where(F.col(name) > 0)
     rows = size(own, "n").join(size(recognised, "m"), "track_id").join(anchors, "track_id", "left")
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = pdf.dropna(subset=["at"]).sort_values("at")
         pairs = list(zip(found["at"].astype(int), found["j"].astype(int), strict=True))
         out = pd.DataFrame(cut_stretches(pairs, int(pdf["n"].iloc[0]), int(pdf["m"].iloc[0])), columns=["i0", "i1", "j0", "j1"])
@@ -196,7 +197,7 @@ def stretches(own: DataFrame, recognised: DataFrame, own_parts: DataFrame, recog
         return out.assign(first=out["stretch"] == 0, last=out["stretch"] == len(out) - 1)
 
     kind = own.schema["track_id"].dataType.simpleString()
-    return rows.groupBy("track_id").applyInPandas(cut, f"track_id {kind}, stretch long, i0 long, i1 long, j0 long, j1 long, first boolean, last boolean")
+    return rows.groupBy("track_id").applyInPandas(run, f"track_id {kind}, stretch long, i0 long, i1 long, j0 long, j1 long, first boolean, last boolean")
 
 
 def _texts(cuts: DataFrame, parts: DataFrame, lo: str, hi: str, name: str) -> DataFrame:
@@ -212,9 +213,13 @@ def _texts(cuts: DataFrame, parts: DataFrame, lo: str, hi: str, name: str) -> Da
 
 def warped(recognised: DataFrame, sentences: DataFrame, sounds: dict[str, str] | None = None) -> DataFrame:
     """(track_id, stretch, i0, j0, places, cost, length): for each character of a stretch's own text the one recognised, as
-    places from j0 on; null where the stretch has none. recognised and sentences: placed rows."""
-    own_parts, parts = pieces(sentences), pieces(recognised)
-    cuts = stretches(sentences, recognised, own_parts, parts)
+    places from j0 on; null where the stretch has none. recognised and sentences: placed rows.
+
+    Texts in pieces, cuts and paths are written once each: all of them are read several times, and a plan that has them
+    again in each place is too large for the driver.
+    """
+    own_parts, parts = cut(pieces(sentences)), cut(pieces(recognised))
+    cuts = cut(stretches(sentences, recognised, own_parts, parts))
     rows = cuts.where("i1 > i0").join(_texts(cuts, own_parts, "i0", "i1", "own"), ["track_id", "stretch"]).join(_texts(cuts, parts, "j0", "j1", "heard"), ["track_id", "stretch"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,7 +231,7 @@ def warped(recognised: DataFrame, sentences: DataFrame, sounds: dict[str, str] |
             yield pdf[["track_id", "stretch", "i0", "j0"]].assign(places=places, cost=costs, length=lengths)
 
     kind = sentences.schema["track_id"].dataType.simpleString()
-    return rows.select("track_id", "stretch", "i0", "j0", "own", "heard", "first", "last").mapInPandas(run, f"track_id {kind}, stretch long, i0 long, j0 long, places array<long>, cost double, length long")
+    return cut(rows.select("track_id", "stretch", "i0", "j0", "own", "heard", "first", "last").mapInPandas(run, f"track_id {kind}, stretch long, i0 long, j0 long, places array<long>, cost double, length long"))
 
 
 def char_times(recognised: DataFrame, sentences: DataFrame, paths: DataFrame) -> DataFrame:
@@ -245,6 +250,8 @@ def char_times(recognised: DataFrame, sentences: DataFrame, paths: DataFrame) ->
     pairs = paths.select("track_id", "i0", "j0", F.posexplode("places").alias("k", "place")).select("track_id", (F.col("i0") + F.col("k")).alias("i"), (F.col("j0") + F.col("place")).alias("j"))
     rows = own.join(pairs, ["track_id", "i"]).join(rec, ["track_id", "j"], "left").drop("j")
     missing = paths.where(F.exists("places", lambda x: x.isNull())).select("track_id").distinct()
+    if missing.isEmpty():
+        return rows
     last = recognised.groupBy("track_id").agg(F.max_by("end_ms", "seg_idx").alias("_last"))
     gaps = rows.join(missing, "track_id", "left_semi").join(last, "track_id").withColumnRenamed("seg_idx", "_seg").withColumn("seg_idx", F.col("i"))
     gaps = polish.fill_times(gaps, F.col("_last")).drop("seg_idx", "_last").withColumnRenamed("_seg", "seg_idx")

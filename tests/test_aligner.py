@@ -146,3 +146,11 @@ def test_odd_rows(spark):
     assert [(x.track_id, x.text) for x in got] == [(1, "你好世界啊"), (5, "a 2.5 b a 2.5 b")]
     assert 0 <= got[0].start_ms < got[0].end_ms <= 1500
     assert aligner.align_text(rec.limit(0), own).count() == 0 and aligner.align_text(rec, own.limit(0)).count() == 0
+
+
+def test_plans_hold_each_step_once(spark):
+    rec = spark.createDataFrame([(1, 1, 0, 1000, "so we went home"), (1, 2, 1000, 1900, "and slept")], "track_id int, seg_idx long, start_ms long, end_ms long, text string")
+    got = aligner.align_text(rec, rec.select("track_id", "seg_idx", "text"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") < 40 and plan.count("InPandas") < 3
+    assert [(x.text, x.start_ms, x.end_ms) for x in got.orderBy("seg_idx").collect()] == [("so we went home", 0, 1000), ("and slept", 1000, 1900)]
