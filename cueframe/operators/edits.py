@@ -185,6 +185,21 @@ def _bounds(wanted: str, words: list[str], runs: list[tuple[int, int]]) -> np.nd
     return 2 * shared / np.maximum(1, len(wanted) + held[:, -2] + blanks)
 
 
+def equal_run(wanted: str, words: list[str], runs: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """The likeliest run whose plain text is wanted; only runs with as many letters are put together."""
+    low = min((a for a, _ in runs), default=0)
+    letters = lambda text: "".join(text.lower().replace("ς", "σ").split())
+    own = [letters(w) for w in words[low : max((a + n for a, n in runs), default=0)]]
+    ends, target = np.cumsum([0, *map(len, own)]), letters(wanted)
+    first, size = np.array(runs, int).reshape(-1, 2).T
+    text = "".join(own)
+    for k in np.flatnonzero(ends[first - low + size] - ends[first - low] == len(target)).tolist():
+        a, n = runs[k]
+        if text.startswith(target, int(ends[a - low])) and _plain("".join(words[a : a + n])) == wanted:
+            return a, n
+    return None
+
+
 def best_run(sentence: str, words: list[str], at: int, shift: int = 30, least: float = 0.5) -> tuple[int, int] | None:
     """First place and number of the words from `at` on that are most like a sentence, or None below `least`; of equally
     like runs the likelier one.
@@ -193,6 +208,8 @@ def best_run(sentence: str, words: list[str], at: int, shift: int = 30, least: f
     """
     wanted = _plain(sentence)
     runs = candidate_runs(T.word_count(wanted), words, at, shift)
+    if least <= 1 and (equal := equal_run(wanted, words, runs)):
+        return equal  # no run is liker than an equal one
     bound = _bounds(wanted, words, runs)
     best = (0.0, 1, (0, 0))  # likeness, -rank, run
     for rank in np.argsort(-bound, kind="stable").tolist():

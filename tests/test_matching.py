@@ -127,3 +127,11 @@ def test_merges_equal_the_plain_rule(spark, seed):
             i += 1
     got = polish.merge_short(spark.createDataFrame(rows, ROWS)).orderBy("seg_idx").collect()
     assert [[*x] for x in got] == want
+
+
+def test_equal_runs_are_found_without_bounds(monkeypatch):
+    words = [w + " " for w in "so we went home . because it was late we went home".split()]
+    want = {(s, at): edits.best_run(s, words, at) for s in ("we went home", "zz late", "it was") for at in (0, 2)}
+    assert want["we went home", 0] == (1, 3) and want["we went home", 2] == (9, 3)
+    monkeypatch.setattr(edits, "_bounds", None)  # not asked for
+    assert edits.best_run("We  went home", words, 0) == (1, 3) and edits.best_run("we went home", words, 2) == (9, 3)
