@@ -15,8 +15,10 @@ Rows that are shuffled hold a signature and the name of a set; sets themselves s
 candidate pairs, which parity sketches (whose distance never exceeds the true one) can't exclude, are taken from the
 documents and compared. Groups of one signature never become all pairs of sets. First each set is compared with one
 representative; links found so make components. Then only sets of one group in different components are compared by
-sketch, in blocks; of what the sketches can't exclude, each set has its nearest verified; components grow together, and
-groups that had more to verify come again. So the components are those of all links.
+sketch, in blocks; of what the sketches can't exclude, the nearest pairs that join a group (a spanning forest: fewer than
+it has sets) are verified; components grow together. Of groups that are still open, the largest component meets the other
+sets, and these each other; each set has its nearest verified, and groups that had more to verify come again. So the
+components are those of all links. Of groups with the same sets one is compared.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 from cueframe.llm.common import components, discard, id_text, may_meet, mix, read, slices, staged, without, words
 
 REFINE = 48  # open sets with one signature from which its one-deletion form is cheaper: about 6 rows a set against pairs
-EACH = 4  # nearest candidates that a set has verified in the first round; later rounds take 8 times as many
+EACH = 32  # nearest candidates that a set has verified in the second round; later rounds take 8 times as many
 PAIR_WORDS = 1 << 21  # words of sketches compared at once
+PAIRS = 1 << 19  # pairs of cells that are taken together
 BLOCK = 512
 U64 = np.uint64
 
@@ -297,30 +300,83 @@ def _candidates(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     return staged(near.select("a", "b", "n", "m", "s", "t").mapInArrow(run, "a long, b long"), "candidates")
 
 
-def _opened(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of groups, with their components by links, whose signature is shared by several components."""
-    by = Window.partitionBy("sig")
-    rows = groups.select("sig", "node", "role").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rows = rows.repartition("sig").withColumns({"_a": F.min("comp").over(by), "_b": F.max("comp").over(by), "_n": F.count("*").over(by)})
-    return staged(rows.where("_a <> _b").select("sig", "node", "role", "comp", "_n"), "open-groups")
+def _opened(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of groups, with their components (node, comp), whose signature is shared by several components.
+
+    _n counts the rows of a signature, _most those of its largest component, and major marks these.
+    """
+    by, own = Window.partitionBy("sig"), Window.partitionBy("sig", "comp")
+    rows = groups.select("sig", "node", "role").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    rows = rows.repartition("sig").withColumns({"_n": F.count("*").over(by), "_c": F.struct(F.count("*").over(own).alias("n"), "comp")})
+    rows = rows.withColumn("_m", F.max("_c").over(by)).where("_m.n < _n")
+    return staged(rows.select("sig", "node", "role", "comp", "_n", F.col("_m.n").alias("_most"), (F.col("_m.comp") == F.col("comp")).alias("major")), "open-groups")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """The rows without groups that have just the sets, and roles, of another one: copies often share many signatures."""
+    names = [F.bit_xor(F.xxhash64(F.lit(i), "node", "role")).alias(f"_h{i}") for i in range(2)]
+    kept = rows.groupBy("sig").agg(F.count("*").alias("_k"), *names).groupBy("_k", "_h0", "_h1").agg(F.min("sig").alias("sig"))
+    return staged(rows.join(kept.select("sig"), "sig", "left_semi"), "open-groups")
+
+
+def _cells(rows: DataFrame, across: bool) -> DataFrame:
+    """rows with cell and block: pairs meet in a cell, of equal blocks only where they are -1.
+
+    A group of up to BLOCK sets is one cell. In a larger one, across: the largest component's sets meet all others, and these
+    each other, in blocks, so that rows grow with the sets outside of it; otherwise each set only meets those of its block.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    cell = lambda c, b: F.struct(F.lit(c).cast("int").alias("cell"), F.lit(b).cast("int").alias("block"))
+    if across:
+        many, few = blocks(F.col("_most")), blocks(F.col("_n") - F.col("_most"))
+        own = place(few)
+        major = F.transform(F.sequence(F.lit(0), few - 1), lambda j: cell(place(many) * few + j, 0))
+        minor = F.transform(F.sequence(F.lit(0), many - 1), lambda i: cell(i * few + own, 1))
+        others = F.transform(F.sequence(F.lit(0), few - 1), lambda j: cell(-1 - F.least(j, own) * few - F.greatest(j, own), F.when(j == own, -1).otherwise(own)))
+        spread = F.when(F.col("major"), major).otherwise(F.concat(minor, others))
+    else:
+        spread = F.array(cell(place(blocks(F.col("_n"))), -1))
+    spread = F.when(F.col("_n") <= BLOCK, F.array(cell(0, -1))).otherwise(spread)
+    return rows.withColumn("at", F.explode(spread)).select("sig", "node", "role", "comp", "at.cell", "at.block")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of edges between labels a and b, best first, those of the best spanning forest, at most one for each label."""
+    labels, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    edges, kept, every = np.arange(len(a)), [np.zeros(0, np.int64)], np.arange(len(labels))
+    while len(edges):
+        best = np.full(len(labels), len(a))
+        np.minimum.at(best, a[edges], edges)
+        np.minimum.at(best, b[edges], edges)
+        some = np.flatnonzero(best < len(a))
+        kept.append(np.unique(best[some]))
+        up = every.copy()
+        up[some] = a[best[some]] + b[best[some]] - some
+        up = np.where((up[up] == every) & (every < up), every, up)  # of two that choose each other one is the root
+        while (up != up[up]).any():
+            up = up[up]
+        a, b = up[a], up[b]
+        edges = edges[a[edges] != b[edges]]
+    return np.concatenate(kept)
 
 
 def _open_pairs(rows: DataFrame, sets: DataFrame, each: int, num: int, den: int) -> DataFrame:
-    """For each set, in each group, its nearest sets of other components that sizes and sketches don't exclude.
+    """Pairs of sets of one group, but of different components, that sizes and sketches don't exclude.
 
-    Rows (a, b, sig): a pair, or the signature of a group where a set has more than `each` of them.
+    each 0: of each group the nearest pairs that join what they can, so one for each row at most; large groups by blocks.
+    Otherwise all groups whole, and of each set its nearest `each`. Rows (a, b, sig): a pair, or the signature of a group
+    where a set has more of them.
     """
-    rows = rows.withColumn("blocks", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, "block") * F.col("blocks") + F.greatest(i, "block"))
-    # a cell of two blocks holds pairs across them only; pairs inside a block belong to its cell with itself
-    rows = rows.withColumn("cell", F.explode(cells)).withColumn("block", F.when(F.col("cell") % (F.col("blocks") + 1) == 0, -1).otherwise(F.col("block")))
-    rows = rows.select("sig", "node", "role", "comp", "cell", "block").join(sets, "node")
+    rows = _cells(rows, across=each > 0).join(sets, "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_runs(batches, ("sig", "cell")):
+        for t in (part for run in whole_runs(batches, ("sig", "cell")) for part in bounded(run)):
             sig, cell, node, role, comp, block, n = (t[c].to_numpy() for c in ("sig", "cell", "node", "role", "comp", "block", "n"))
             new = np.append(True, (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1]))
-            end = np.append(np.flatnonzero(new)[1:], len(sig))[np.cumsum(new) - 1]
+            group = np.cumsum(new) - 1
+            end = np.append(np.flatnonzero(new)[1:], len(sig))[group]
             one, two, i = [], [], np.arange(len(sig))
             for d in range(1, int(np.diff(np.append(np.flatnonzero(new), len(sig))).max())):
                 i = i[i + d < end[i]]
@@ -335,22 +391,43 @@ def _open_pairs(rows: DataFrame, sets: DataFrame, each: int, num: int, den: int)
             i, j, far = i[ok], j[ok], far[ok]
             if not len(i):
                 continue
-            src, dst, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([far, far])
-            order = np.lexsort((node[dst], far, src))
-            src, dst = src[order], dst[order]
-            first = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
-            nth = np.arange(len(src)) - np.repeat(first, np.diff(np.append(first, len(src))))
-            more = np.unique(sig[src[nth >= each]])
-            x, y = node[src[nth < each]], node[dst[nth < each]]
+            if each:
+                src, dst, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([far, far])
+                order = np.lexsort((node[dst], far, src))
+                src, dst = src[order], dst[order]
+                first = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+                nth = np.arange(len(src)) - np.repeat(first, np.diff(np.append(first, len(src))))
+                more = np.unique(sig[src[nth >= each]])
+                x, y = node[src[nth < each]], node[dst[nth < each]]
+            else:
+                x, y, more = np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), sig[:0]
+                order = np.lexsort((y, x, far))  # the same order in all groups, so that they choose the same pairs
+                label = np.unique(np.stack([group, comp]), axis=1, return_inverse=True)[1].reshape(-1)
+                order = order[forest(label[i[order]], label[j[order]])]
+                x, y = x[order], y[order]
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             none = pa.nulls(len(more), pa.int64())
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[0]), "b": pa.array(pairs[1]), "sig": pa.nulls(pairs.shape[1], pa.int64())})
-            yield pa.RecordBatch.from_pydict({"a": none, "b": none, "sig": pa.array(more)})
+            if len(more):
+                yield pa.RecordBatch.from_pydict({"a": none, "b": none, "sig": pa.array(more)})
 
     rows = rows.repartition("sig", "cell").sortWithinPartitions("sig", "cell")
     return staged(rows.mapInArrow(compare, "a long, b long, sig long").distinct(), "open-pairs")
 
 
+def bounded(t: pa.Table) -> Iterator[pa.Table]:
+    """Whole cells of a sorted table, together of about PAIRS pairs, or one cell of more."""
+    sig, cell = t["sig"].to_numpy(), t["cell"].to_numpy()
+    first = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1])))
+    ends = np.append(first[1:], len(sig))
+    pairs = np.cumsum((ends - first) * (ends - first - 1) // 2)
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + PAIRS, "right")))
+        yield t.slice(first[at], ends[to - 1] - first[at])
+        at = to
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """A sorted stream of batches, cut so that rows of equal keys stay together."""
     held: list[pa.RecordBatch] = []
@@ -397,7 +474,8 @@ def _members(docs: DataFrame, k: int, num: int, den: int, refine: int) -> DataFr
     links = _verified(near, docs, named, k, num, den)
     discard(near)
 
-    rows, each = _opened(groups, links), EACH
+    comps = components(links)
+    rows = _opened(groups, comps)
     discard(groups)
     crowded = rows.where(F.col("_n") > refine)
     if not crowded.isEmpty():
@@ -411,25 +489,35 @@ def _members(docs: DataFrame, k: int, num: int, den: int, refine: int) -> DataFr
         own = _sets_of(docs, named, crowded, k)
         finer = crowded.select("sig", "node", "role").join(own, "node").mapInArrow(run, "sig long, node long, role byte")
         shared = staged(_shared(finer), "finer-groups")
-        finer, whole = _opened(shared, links), rows
-        rows = staged(whole.where(F.col("_n") <= refine).unionByName(finer), "open-groups")
+        finer, whole = _opened(shared, comps), rows
+        rows = _once(whole.where(F.col("_n") <= refine).unionByName(finer))
         discard(own, shared, finer, whole)
+    else:
+        whole, rows = rows, _once(rows)
+        discard(whole)
+    each = 0
     while True:
         found = _open_pairs(rows, sets, each, num, den)
         pairs = found.where("a is not null").select("a", "b")
-        if pairs.isEmpty():
+        if each and pairs.isEmpty():
             break
         new, old = _verified(pairs, docs, named, k, num, den), links
-        links = staged(old.union(new), "links")
-        discard(new, old)
+        if grown := not new.isEmpty():
+            links = staged(old.union(new), "links")
+            comps = components(links)
+            discard(old)
+        discard(new)
         more = found.where("sig is not null").select("sig")
-        if more.isEmpty():
+        if each and more.isEmpty():
             break
-        left = _opened(rows.join(more, "sig", "left_semi"), links)
-        discard(rows, found)
+        left = rows.join(more, "sig", "left_semi") if each else rows
+        if grown or each:
+            left, done = _opened(left, comps) if grown else staged(left, "open-groups"), rows
+            discard(done)
+        discard(found)
         rows = left
-        each *= 8  # nearest first; more at a time where these don't join
-    return named.select("doc_id", "key", "n", "node").join(components(links), "node", "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
+        each = each * 8 or EACH  # nearest first; more at a time where these don't join
+    return named.select("doc_id", "key", "n", "node").join(comps, "node", "left").select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("comp", "node")).alias("comp"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

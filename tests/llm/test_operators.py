@@ -421,6 +421,26 @@ def test_jaccard_groups(spark, monkeypatch, k, num, den, refine):
     assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_jaccard_open_groups_stay_linear(spark):
+    """In a large group of near copies a set brings one pair, not one for each other set, and meets no block of joined sets twice."""
+    r = random.Random(4)
+    base, n = list(range(1, 101)), 60
+    own = [np.array(sorted({*r.sample(base, 97), 1000 + 3 * i, 1001 + 3 * i}), np.uint64) for i in range(n)]
+    sets = spark.createDataFrame([(i, len(x), bytearray(jaccard_join.sketch(x))) for i, x in enumerate(own)], "node long, n long, sketch binary")
+    rows = spark.createDataFrame([(s, i, 0, i, n, 1, i == n - 1) for s in (5, 9) for i in range(n)], "sig long, node long, role byte, comp long, _n long, _most long, major boolean")
+    assert jaccard_join._once(rows).select("sig").distinct().collect() == [(5,)]  # the same sets meet once
+    got = [(x.a, x.b) for x in jaccard_join._open_pairs(rows, sets, 0, 8, 10).collect()]
+    assert len(got) == n - 1 and {*union(got, range(n)).values()} == {0}
+    joined = spark.range(5000).selectExpr("0L sig", "id node", "0Y role", "if(id < 4990, 0, id) comp", "5000L _n", "4990L _most", "id < 4990 major")
+    assert jaccard_join._cells(joined, True).count() == 4990 + 10 * 10 + 10 and jaccard_join._cells(joined, False).count() == 5000
+    a, b = (np.array([r.randrange(200) for _ in range(300)]) for _ in range(2))
+    a, b = a[a != b], b[a != b]
+    kept = jaccard_join.forest(a, b)
+    nodes = range(200)
+    whole = union(list(zip(a.tolist(), b.tolist(), strict=True)), nodes)
+    assert union(list(zip(a[kept].tolist(), b[kept].tolist(), strict=True)), nodes) == whole and len(kept) == 200 - len({*whole.values()})
+
+
 def test_jaccard_edges(spark):
     assert jaccard_join.jaccard_groups(table(spark, EMPTY)).collect() == []
     rows = [(None, "a b c d e f", "s"), (4, "A B C D E F", "s"), (2, None, "s"), (1, "", "s"), (4, "A B C D E F", "s")]
