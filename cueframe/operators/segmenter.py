@@ -1,13 +1,16 @@
 """Cutting word rows into readable segments by rules: gaps, connectives, and the longest pauses of what is too long.
 
-Each rule depends on the cuts before it, so a run of words is folded in Python; Spark groups the runs. A run ends at a gap
-wider than any rule allows, found by a window, and at a change of speaker; a track without such a gap is one run.
+Each rule depends on the cuts before it, so a run of words is folded in Python; Spark orders the words of each track, and a
+task folds run after run of what it reads. A run ends at a gap wider than any rule allows, found by a window, and at a
+change of speaker; a track without such a gap is one run.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,13 +69,12 @@ def by_longest_pause(start: list[int], end: list[int], fits, low: int = 0) -> li
     return sorted(c + low for c in cuts)
 
 
-def _folded(run: pd.DataFrame, limit: int, limit_cjk: int, max_gap: int) -> list[int]:
-    """The segment number of each word of one run, in order; cjk and solid count the words' own characters.
+def _folded(start: list[int], end: list[int], words: list[str], own_cjk: list[int], own_solid: list[int], limit: int, limit_cjk: int, max_gap: int) -> list[int]:
+    """The first places of the segments of one run; own_cjk and own_solid count the words' own characters.
 
     Words are counted in the joined text of a stretch: where no space is put between two, they are one.
     """
-    start, end, words = run["start_ms"].tolist(), run["end_ms"].tolist(), run["text"].tolist()
-    cjk, solid = (np.concatenate([[0], np.cumsum(run[c])]) for c in ("cjk", "solid"))
+    cjk, solid = (list(accumulate(x, initial=0)) for x in (own_cjk, own_solid))
 
     def most(a: int, b: int) -> int:
         return limit_cjk if 2 * (cjk[b] - cjk[a]) > solid[b] - solid[a] else limit
@@ -86,7 +88,20 @@ def _folded(run: pd.DataFrame, limit: int, limit_cjk: int, max_gap: int) -> list
         inner = [a, b] if fits(a, b) else [*(a + c for c in by_connectives(words[a:b], [most(i, i + 1) for i in range(a, b)])), b]
         for c, d in zip(inner[:-1], inner[1:], strict=True):
             cuts.update(by_longest_pause(start[c:d], end[c:d], lambda x, y, c=c: fits(c + x, c + y), c))
-    return (np.cumsum([i in cuts for i in range(len(words))]) - 1).tolist()
+    return sorted(cuts)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """A stream of ordered rows, cut so that runs, which begin at rows marked new, stay whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = [i for i, x in enumerate(batch.column("new").to_pylist()) if x]
+        if at and (held or at[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, at[-1])])
+            held = []
+        held.append(batch.slice(at[-1]) if at else batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def segment_words(words: DataFrame, limit: int = 18, max_gap_ms: int = 500, bound_gap_ms: int = 1500, limit_cjk: int = 25, lower: bool = False) -> DataFrame:
@@ -95,23 +110,37 @@ def segment_words(words: DataFrame, limit: int = 18, max_gap_ms: int = 500, boun
     Words are taken by start; a segment spans its words from the earliest start to the latest end. lower: words of
     scripts with spaces are lower-cased.
     """
-    rows = words.where(~T.is_pure_punctuation(F.col("text")))
+    rows = words.where(~T.is_pure_punctuation(F.col("text"))).repartition("track_id")
     rows = rows.withColumn("seg_idx", F.row_number().over(Window.partitionBy("track_id").orderBy("start_ms", "seg_idx")).cast("long"))
     rows = timeline.islands(rows, bound_gap_ms)
     rows = timeline.run_ids(rows, "speaker") if "speaker" in words.columns else rows.withColumn("run", F.lit(0).cast("long"))
     bare = F.lower(T.strip(F.col("text"))) if lower else T.strip(F.col("text"))
     rows = rows.withColumn("text", F.when(T.is_space_separated(F.col("text")), F.concat(bare, F.lit(" "))).otherwise(F.col("text")))
     own = {"cjk": F.regexp_count("text", F.lit(T.NO_SPACE)), "solid": F.length(F.regexp_replace("text", r"(?U)\s+", ""))}
-    rows = rows.withColumns(own).select("track_id", "island", "run", "seg_idx", "start_ms", "end_ms", "text", *own)
-
-    def fold(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("seg_idx")
-        g = run.assign(part=_folded(run, limit, limit_cjk, max_gap_ms)).groupby("part")
-        out = pd.DataFrame({"start_ms": g["start_ms"].min(), "end_ms": g["end_ms"].max(), "text": g["text"].agg("".join).str.strip(), "first": g["seg_idx"].first()})
-        return out.assign(track_id=run["track_id"].iloc[0])[["track_id", "first", "start_ms", "end_ms", "text"]]
+    here = F.struct("island", "run")
+    rows = rows.withColumn("new", ~here.eqNullSafe(F.lag(here).over(timeline.track()))).withColumns(own)
+    rows = rows.select("track_id", "new", "seg_idx", "start_ms", "end_ms", "text", *own).sortWithinPartitions("track_id", "seg_idx")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lambda xs: [x for x in xs if x == x]
+        for t in _runs(batches):
+            start, end = ([float("nan") if x is None else x for x in t[c].to_pylist()] for c in ("start_ms", "end_ms"))
+            text, cjk, solid = (t[c].to_pylist() for c in ("text", "cjk", "solid"))
+            edges = [*(i for i, x in enumerate(t["new"].to_pylist()) if x), len(t)]
+            first: list[int] = []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                first += [a + i for i in _folded(start[a:b], end[a:b], text[a:b], cjk[a:b], solid[a:b], limit, limit_cjk, max_gap_ms)]
+            parts = list(zip(first, [*first[1:], len(t)], strict=True))
+            own = t.select(["track_id", "seg_idx"]).take(pa.array(first, pa.int64())).combine_chunks()
+            yield from pa.table({
+                "track_id": own["track_id"], "first": own["seg_idx"],
+                "start_ms": pa.array([min(known(start[a:b]), default=None) for a, b in parts], pa.int64()),
+                "end_ms": pa.array([max(known(end[a:b]), default=None) for a, b in parts], pa.int64()),
+                "text": pa.array(["".join(text[a:b]).strip() for a, b in parts], pa.string()),
+            }).to_batches()
 
     kind = words.schema["track_id"].dataType.simpleString()
-    cut = rows.groupBy("track_id", "island", "run").applyInPandas(fold, f"track_id {kind}, first long, start_ms long, end_ms long, text string")
+    cut = rows.mapInArrow(fold, f"track_id {kind}, first long, start_ms long, end_ms long, text string")
     return cut.withColumnRenamed("first", "seg_idx").transform(timeline.clean)
 
 

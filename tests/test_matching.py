@@ -135,3 +135,20 @@ def test_equal_runs_are_found_without_bounds(monkeypatch):
     assert want["we went home", 0] == (1, 3) and want["we went home", 2] == (9, 3)
     monkeypatch.setattr(edits, "_bounds", None)  # not asked for
     assert edits.best_run("We  went home", words, 0) == (1, 3) and edits.best_run("we went home", words, 2) == (9, 3)
+
+
+def test_runs_are_folded_whole_however_batches_are_cut(spark):
+    """Runs that several batches hold, tracks of one word, and a track without a number; a task folds what it reads in order."""
+    rows = [(t, i, i * 400 + (9000 if i > 30 else 0), i * 400 + 300 + (9000 if i > 30 else 0), f"w{i}" + ("," if i % 7 == 6 else "")) for t in (1, 2, None) for i in range(60)] + [(3, 0, 5, 9, "alone")]
+    df = spark.createDataFrame(rows, "track_id int, seg_idx long, start_ms long, end_ms long, text string")
+    plan = segmenter.segment_words(df)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("Exchange") <= 3  # not a call of Python for each run
+    want = sorted(map(str, segmenter.segment_words(df).collect()))
+    assert {x.track_id for x in segmenter.segment_words(df).collect()} == {1, 2, 3, None} and "alone" in "".join(want)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(map(str, segmenter.segment_words(df).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
