@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueframe.functions import text as T
+from cueframe.sources.tables import cut
 
 HITS = "array<struct<shift:bigint,matches:bigint>>"
 
@@ -89,7 +90,7 @@ def merge_chunks(rows: DataFrame, overlap_ms: int = 10_000, ratio: float = 0.7,
     """
     key = ["track_id", "chunk"]
     moved = {c: F.col(c) + F.col("offset_ms") for c in ("start_ms", "end_ms")}
-    at = windows(rows.select(*key, "seg_idx", *(x.alias(c) for c, x in moved.items()), "text"), overlap_ms)
+    at = cut(windows(rows.select(*key, "seg_idx", *(x.alias(c) for c, x in moved.items()), "text"), overlap_ms))  # read four times below
     chunks = at.groupBy(*key).agg(F.min("start_ms").alias("first"), F.max(F.least("tail", F.lit(1))).alias("some_tail"), F.max(F.least("head", F.lit(1))).alias("some_head"), F.avg(F.coalesce(T.is_word_level(F.col("text")), F.lit(False)).cast("int")).alias("single"))
     after = Window.partitionBy("track_id").orderBy("chunk")
     chunks = chunks.withColumns({"following": F.lead("chunk").over(after), "follows": F.lead("first").over(after), "some_head": F.lead("some_head").over(after), "words": F.max(F.col("single") >= share).over(Window.partitionBy("track_id"))})
@@ -100,7 +101,8 @@ def merge_chunks(rows: DataFrame, overlap_ms: int = 10_000, ratio: float = 0.7,
     cuts = pairs.join(best.select(*key, "tail", "at", (F.col("at") + F.col("shift") - F.col("tail")).alias("from")), key, "left")
     ends = cuts.select(*key, "at", F.col("tail").alias("_tail"), F.when(F.col("at").isNull() & F.col("met"), F.col("follows")).alias("until"))
     starts = cuts.select("track_id", F.col("following").alias("chunk"), "from")
-    out = at.join(ends, key, "left").join(starts, key, "left")
+    marks = ends.unionByName(starts, allowMissingColumns=True).groupBy(*key).agg(*(F.max(c).alias(c) for c in ("at", "_tail", "until", "from")))
+    out = at.join(marks, key, "left")
     by_time = F.max(F.when(F.col("end_ms") <= F.col("until"), F.col("k") + 1)).over(Window.partitionBy(*key))
     stop = F.coalesce(F.col("n") - F.col("_tail") + F.col("at"), by_time, F.col("n"))
     out = out.withColumn("stop", stop).where((F.col("k") < F.col("stop")) & (F.col("k") >= F.coalesce("from", F.lit(0))))

@@ -45,9 +45,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = timeline.word_rows(rows).select("track_id", F.struct("seg_idx", "word_idx").alias("o"), "word")
     n = F.row_number().over(Window.partitionBy("track_id").orderBy("o")) - 1
     words = words.withColumn("k", n).withColumn("start_ms", F.col("k") * 100).withColumn("end_ms", F.col("k") * 100 + 90)
-    one = words.where("k < 300").withColumn("chunk", F.lit(0))
-    two = words.where("k >= 250").withColumn("chunk", F.lit(1))
-    both = one.unionByName(two)
+    both = words.withColumn("chunk", F.explode(F.array_compact(F.array(F.when(F.col("k") < 300, 0), F.when(F.col("k") >= 250, 1)))))
     return both.select("track_id", "chunk", F.lit(0).cast("long").alias("offset_ms"), F.col("k").alias("seg_idx"), "start_ms", "end_ms", F.col("word").alias("text"))
 
 

@@ -76,3 +76,12 @@ def test_windows_without_rows_and_no_rows(spark):
     got = chunkmerge.merge_chunks(spark.createDataFrame(rows, FIELDS), 1000).where("track_id = 1").collect()
     assert sorted(x.start_ms for x in got) == [0, 5000]  # longer than the overlap: nothing is cut
     assert chunkmerge.merge_chunks(spark.createDataFrame([], FIELDS), 1000).collect() == []
+
+
+def test_windows_of_chunks_are_made_once(spark):
+    """Each task sorts the words for the windows once, not again for each of the four tables that read them."""
+    rows = [(1, c, c * 2000, i, i * 100, i * 100 + 90, f"w{c * 20 + i}") for c in range(3) for i in range(25)]
+    df = spark.createDataFrame(rows, FIELDS)
+    plan = chunkmerge.merge_chunks(df, 600)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1 and plan.count("min(start_ms") <= 3  # the new numbers only; the windows are read
+    assert [x.text for x in chunkmerge.merge_chunks(df, 600).orderBy("seg_idx").collect()] == [f"w{i}" for i in range(65)]
