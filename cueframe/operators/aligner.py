@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +105,8 @@ def path(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
 
 def align_chars(own: str, heard: str, sounds: dict[str, str] | None = None, open_start: bool = False, open_end: bool = False) -> tuple[np.ndarray, float, int]:
     """For each character of own the last one of heard on the cheapest path, the sum of its costs, and its length."""
+    if own == heard:  # no path is cheaper than the diagonal, and of equally cheap steps that one is taken
+        return np.arange(len(own)), 0.0, len(own)
     places = []
     for text in (own, heard):
         distinct = list(dict.fromkeys(text))
@@ -141,8 +143,8 @@ def pieces(rows: DataFrame) -> DataFrame:
 
 def _runs(parts: DataFrame) -> DataFrame:
     """(track_id, run, at) of the runs of a text that occur once in it, of those in the sample."""
-    starts = F.sequence(F.lit(0), F.least(F.length("part") - GRAM, F.lit(PIECE - 1)))
-    rows = parts.where(F.length("part") >= GRAM).select("track_id", "piece", F.posexplode(F.transform(starts, lambda i: F.lower(F.substring(F.col("part"), i + 1, F.lit(GRAM))))).alias("i", "run"))
+    found = F.regexp_extract_all("part", F.lit(f"(?s)(?=(.{{{GRAM}}}))."), F.lit(1))  # one at each place, in a single pass
+    rows = parts.select("track_id", "piece", F.posexplode(F.transform(found, F.lower)).alias("i", "run"))
     rows = rows.where(F.pmod(F.xxhash64("run"), F.lit(SAMPLE)) == 0)
     once = rows.groupBy("track_id", "run").agg(F.count("*").alias("n"), F.min(F.col("piece") * PIECE + F.col("i")).alias("at"))
     return once.where("n = 1").drop("n")
@@ -184,71 +186,133 @@ def stretches(own: DataFrame, recognised: DataFrame, own_parts: DataFrame, recog
     """(track_id, stretch, i0, i1, j0, j1, first, last); own and recognised: placed rows. A track without a character on
     either side has none. Of the anchors one in SPACING characters is kept, so a track's group is short."""
     one, two = _runs(own_parts), _runs(recognised_parts).withColumnRenamed("at", "j")
-    anchors = one.join(two, ["track_id", "run"]).groupBy("track_id", F.floor(F.col("at") / SPACING)).agg(F.min(F.struct("at", "j")).alias("a")).select("track_id", "a.*")
+    anchors = one.join(two.hint("merge"), ["track_id", "run"]).groupBy("track_id", F.floor(F.col("at") / SPACING)).agg(F.min(F.struct("at", "j")).alias("a"))
+    anchors = anchors.groupBy("track_id").agg(F.array_sort(F.collect_list("a")).alias("a")).select("track_id", F.col("a.at").alias("at"), F.col("a.j").alias("j"))
     size = lambda df, name: df.groupBy("track_id").agg(F.sum("n").alias(name)).where(F.col(name) > 0)
-    rows = size(own, "n").join(size(recognised, "m"), "track_id").join(anchors, "track_id", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = pdf.dropna(subset=["at"]).sort_values("at")
-        pairs = list(zip(found["at"].astype(int), found["j"].astype(int), strict=True))
-        out = pd.DataFrame(cut_stretches(pairs, int(pdf["n"].iloc[0]), int(pdf["m"].iloc[0])), columns=["i0", "i1", "j0", "j1"])
-        out.insert(0, "stretch", np.arange(len(out)))
-        out.insert(0, "track_id", pdf["track_id"].iloc[0])
-        return out.assign(first=out["stretch"] == 0, last=out["stretch"] == len(out) - 1)
+    rows = size(own, "n").join(size(recognised, "m").hint("merge"), "track_id").join(anchors.hint("merge"), "track_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            cuts = [cut_stretches(list(zip(at or (), j or (), strict=True)), n, m) for n, m, at, j in zip(*(batch[c].to_pylist() for c in ("n", "m", "at", "j")), strict=True)]
+            sizes = np.array([len(x) for x in cuts])
+            number = np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
+            i0, i1, j0, j1 = (pa.array(x, pa.int64()) for x in zip(*(c for x in cuts for c in x), strict=True))
+            track = batch["track_id"].take(pa.array(np.repeat(np.arange(len(cuts)), sizes)))
+            columns = [track, pa.array(number), i0, i1, j0, j1, pa.array(number == 0), pa.array(number == np.repeat(sizes, sizes) - 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["track_id", "stretch", "i0", "i1", "j0", "j1", "first", "last"])
 
     kind = own.schema["track_id"].dataType.simpleString()
-    return rows.groupBy("track_id").applyInPandas(run, f"track_id {kind}, stretch long, i0 long, i1 long, j0 long, j1 long, first boolean, last boolean")
+    return rows.select("track_id", "n", "m", "at", "j").mapInArrow(run, f"track_id {kind}, stretch long, i0 long, i1 long, j0 long, j1 long, first boolean, last boolean")
 
 
 def _texts(cuts: DataFrame, parts: DataFrame, lo: str, hi: str, name: str) -> DataFrame:
     """(track_id, stretch, name): the characters [lo, hi) of each stretch, from the pieces that hold them."""
     asked = cuts.where(F.col(lo) < F.col(hi)).select("track_id", "stretch", F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.explode(F.sequence(F.floor(F.col(lo) / PIECE), F.floor((F.col(hi) - 1) / PIECE))).alias("piece"))
     a, b = F.greatest(F.col("lo") - F.col("piece") * PIECE, F.lit(0)), F.least(F.col("hi") - F.col("piece") * PIECE, F.lit(PIECE))
-    found = asked.join(parts, ["track_id", "piece"]).select("track_id", "stretch", F.struct("piece", F.substring("part", (a + 1).cast("int"), (b - a).cast("int")).alias("t")).alias("x"))
+    found = asked.join(parts.hint("merge"), ["track_id", "piece"]).select("track_id", "stretch", F.struct("piece", F.substring("part", (a + 1).cast("int"), (b - a).cast("int")).alias("t")).alias("x"))
     return found.groupBy("track_id", "stretch").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "").alias(name))
 
 
 # --- fine ------------------------------------------------------------------------------------------------------------
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that what a task holds follows from the length of a stretch and not from Spark's batches."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def warped(recognised: DataFrame, sentences: DataFrame, sounds: dict[str, str] | None = None) -> DataFrame:
     """(track_id, stretch, i0, j0, places, cost, length): for each character of a stretch's own text the one recognised, as
     places from j0 on; null where the stretch has none. recognised and sentences: placed rows.
 
     Texts in pieces, cuts and paths are written once each: all of them are read several times, and a plan that has them
-    again in each place is too large for the driver.
+    again in each place is too large for the driver. Joins are sort-merge joins by hint, here and in char_times: of rows
+    with long texts and arrays Spark expects a few bytes each, and would send large sides through the driver.
     """
     own_parts, parts = cut(pieces(sentences)), cut(pieces(recognised))
     cuts = cut(stretches(sentences, recognised, own_parts, parts))
-    rows = cuts.where("i1 > i0").join(_texts(cuts, own_parts, "i0", "i1", "own"), ["track_id", "stretch"]).join(_texts(cuts, parts, "j0", "j1", "heard"), ["track_id", "stretch"], "left")
+    rows = cuts.where("i1 > i0").join(_texts(cuts, own_parts, "i0", "i1", "own").hint("merge"), ["track_id", "stretch"]).join(_texts(cuts, parts, "j0", "j1", "heard").hint("merge"), ["track_id", "stretch"], "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
             places, costs, lengths = [], [], []
-            for own, heard, first, last in pdf[["own", "heard", "first", "last"]].itertuples(index=False):
+            for own, heard, first, last in zip(*(batch[c].to_pylist() for c in ("own", "heard", "first", "last")), strict=True):
                 at, cost, length = align_chars(own, heard, sounds, first, last) if heard else ([None] * len(own), float(len(own)), len(own))
-                places.append(list(at)), costs.append(cost), lengths.append(length)
-            yield pdf[["track_id", "stretch", "i0", "j0"]].assign(places=places, cost=costs, length=lengths)
+                places.append(pa.array(at, pa.int32())), costs.append(cost), lengths.append(length)
+            offsets = np.cumsum([0, *map(len, places)], dtype=np.int32)
+            columns = [batch[c] for c in ("track_id", "stretch", "i0", "j0")]
+            columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(places)), pa.array(costs, pa.float64()), pa.array(lengths, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["track_id", "stretch", "i0", "j0", "places", "cost", "length"])
 
     kind = sentences.schema["track_id"].dataType.simpleString()
-    return cut(rows.select("track_id", "stretch", "i0", "j0", "own", "heard", "first", "last").mapInPandas(run, f"track_id {kind}, stretch long, i0 long, j0 long, places array<long>, cost double, length long"))
+    # a stretch is few bytes and much work, so stretches are dealt out by number; Spark would put those of megabytes into one task
+    tasks = max(sentences.sparkSession.sparkContext.defaultParallelism * 2, int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select("track_id", "stretch", "i0", "j0", "own", "heard", "first", "last").repartition(tasks, "track_id", "stretch")
+    return cut(rows.mapInArrow(run, f"track_id {kind}, stretch long, i0 long, j0 long, places array<int>, cost double, length long"))
+
+
+def _filed(lo: Column, values: Column) -> Column:
+    """Of values at places from lo on an array of (piece, lo, v): a part for each piece of the text that they touch."""
+
+    def parts(v: Column) -> Column:
+        def part(p: Column) -> Column:
+            a, b = F.greatest(lo, p * PIECE), F.least(lo + F.size(v), (p + 1) * PIECE)
+            return F.struct(p.alias("piece"), a.alias("lo"), F.slice(v, (a - lo + 1).cast("int"), (b - a).cast("int")).alias("v"))
+
+        return F.transform(F.sequence(F.floor(lo / PIECE), F.floor((lo + F.size(v) - 1) / PIECE)), part)
+
+    return _once(values, parts)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), an array, with value computed once, also where use has it inside a function of elements."""
+    return F.flatten(F.transform(F.array(value), use))
 
 
 def char_times(recognised: DataFrame, sentences: DataFrame, paths: DataFrame) -> DataFrame:
-    """(track_id, seg_idx, pos, orig, i, at_ms, word_end): each character of the sentences with its place in the sentence, bare
-    and as written, and the time of the one recognised: its share of the segment's span, the last one the segment's end.
+    """(track_id, seg_idx, pos, orig, i, n, at_ms, word_end): each character of the sentences with its place in the sentence,
+    bare and as written, in the track, and the number of the sentence's characters; the time of the one recognised: its share
+    of the segment's span, the last one the segment's end.
 
-    word_end: the end of the segment recognised. Missing times are filled from both sides.
+    word_end: the end of the segment recognised. Missing times are filled from both sides. Characters meet their times in
+    parts of stretches, as arrays, not one by one.
     """
     kept = F.regexp_replace(F.regexp_replace("text", T.PUNCTUATION, "\0"), r"(?U)\s", "\0")
-    written = F.transform(F.regexp_extract_all(kept, F.lit("(?s)."), F.lit(0)), lambda c, k: F.struct(k.alias("orig"), c.alias("c")))
-    own = sentences.select("track_id", "seg_idx", "at", F.posexplode(F.filter(written, lambda x: x["c"] != "\0")).alias("pos", "x"))
-    own = own.select("track_id", "seg_idx", "pos", "x.orig", (F.col("at") + F.col("pos")).alias("i"))
-    rec = recognised.where("n > 0").select("track_id", "at", "start_ms", "end_ms", F.col("n").alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    at = F.when(F.col("k") >= F.col("_n") - 1, F.col("end_ms").cast("double")).otherwise(F.col("start_ms") + F.col("k") / F.col("_n") * (F.col("end_ms") - F.col("start_ms")))
-    rec = rec.select("track_id", (F.col("at") + F.col("k")).alias("j"), at.alias("at_ms"), F.col("end_ms").alias("word_end"))
-    pairs = paths.select("track_id", "i0", "j0", F.posexplode("places").alias("k", "place")).select("track_id", (F.col("i0") + F.col("k")).alias("i"), (F.col("j0") + F.col("place")).alias("j"))
-    rows = own.join(pairs, ["track_id", "i"]).join(rec, ["track_id", "j"], "left").drop("j")
+    written = F.transform(F.regexp_extract_all(kept, F.lit("(?s)."), F.lit(0)), lambda c, k: F.when(c != "\0", k))
+    own = sentences.where("n > 0").select("track_id", "seg_idx", "at", "n", F.explode(_filed(F.col("at"), F.filter(written, F.isnotnull))).alias("x"))
+    own = own.select("track_id", "seg_idx", "at", "n", F.col("x.piece").alias("piece"), F.col("x.lo").alias("lo"), F.col("x.v").alias("origs"))
+
+    # the segments recognised that each stretch meets, in parts by piece
+    low, high = (F.col("j0") + f("places") for f in (F.array_min, F.array_max))
+    met = paths.select("track_id", "stretch", low.alias("_a"), high.alias("_b"), F.explode(F.sequence(F.floor(low / PIECE), F.floor(high / PIECE))).alias("piece"))
+    rec = recognised.where("n > 0").withColumn("piece", F.explode(F.sequence(F.floor(F.col("at") / PIECE), F.floor((F.col("at") + F.col("n") - 1) / PIECE))))
+    first, last = F.greatest("at", F.col("piece") * PIECE), F.least(F.col("at") + F.col("n"), (F.col("piece") + 1) * PIECE) - 1
+    rec = rec.select("track_id", "piece", F.struct(first.alias("a"), last.alias("b"), "at", "n", F.col("start_ms").cast("long").alias("start"), F.col("end_ms").alias("end")).alias("s"))
+    met = rec.join(met.hint("merge"), ["track_id", "piece"]).where("s.a <= _b and s.b >= _a")
+    spans = met.groupBy("track_id", "stretch").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    heard = paths.select("track_id", "stretch", "i0", "j0", "places").join(spans.hint("merge"), ["track_id", "stretch"], "left")
+    heard = heard.select("track_id", "j0", "spans", F.explode(_filed(F.col("i0"), F.col("places"))).alias("x")).select("track_id", "j0", "spans", F.col("x.piece").alias("piece"), F.col("x.lo").alias("_lo"), F.col("x.v").alias("places"))
+
+    rows = own.join(heard.hint("merge"), ["track_id", "piece"])
+    rows = rows.withColumns({"_a": F.greatest("lo", "_lo"), "_b": F.least(F.col("lo") + F.size("origs"), F.col("_lo") + F.size("places"))}).where("_a < _b")
+    part = lambda name, lo: F.slice(name, (F.col("_a") - F.col(lo) + 1).cast("int"), (F.col("_b") - F.col("_a")).cast("int")).alias(name)
+    rows = rows.select("track_id", "seg_idx", "at", "n", F.col("_a").alias("i"), "j0", "spans", part("origs", "lo"), part("places", "_lo"))
+    rows = rows.withColumns({"_a": F.col("j0") + F.array_min("places"), "_b": F.col("j0") + F.array_max("places")})
+
+    def times(s: Column) -> Column:
+        def time(j: Column) -> Column:
+            k = j - s["at"]
+            at = F.when(k >= s["n"] - 1, s["end"].cast("double")).otherwise(s["start"] + k / s["n"] * (s["end"] - s["start"]))
+            return F.struct(at.alias("at_ms"), s["end"].alias("word_end"))
+
+        return F.transform(F.sequence(F.greatest(s["a"], "_a"), F.least(s["b"], "_b")), time)
+
+    near = F.filter("spans", lambda s: (s["a"] <= F.col("_b")) & (s["b"] >= F.col("_a")))
+    char = lambda t: F.transform("places", lambda j, k: F.struct((F.col("i") - F.col("at") + k).alias("pos"), F.get("origs", k).alias("orig"), (F.col("i") + k).alias("i"), F.get(t, (F.col("j0") + j - F.col("_a")).cast("int")).alias("t")))
+    rows = rows.select("track_id", "seg_idx", "n", F.explode(_once(F.flatten(F.transform(near, times)), char)).alias("c"))
+    rows = rows.select("track_id", "seg_idx", "c.pos", "c.orig", "c.i", "n", "c.t.at_ms", "c.t.word_end")
     missing = paths.where(F.exists("places", lambda x: x.isNull())).select("track_id").distinct()
     if missing.isEmpty():
         return rows

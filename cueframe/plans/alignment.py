@@ -17,7 +17,7 @@ def aligned_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dub_rows(spark, sf_dir)
     heard = aligner.placed(rows.select("track_id", "seg_idx", "start_ms", "end_ms", "text"))
     own = aligner.placed(rows.select("track_id", "seg_idx", "text"))
-    chars = aligner.char_times(heard, own, aligner.warped(heard, own)).join(own.select("track_id", "seg_idx", "n"), ["track_id", "seg_idx"])
+    chars = aligner.char_times(heard, own, aligner.warped(heard, own))
     middle = F.max(F.when(F.col("pos") == F.floor(F.col("n") / 2), F.col("at_ms")))
     return chars.groupBy("track_id", "seg_idx").agg(F.count("*").alias("chars"), F.round(F.min_by("at_ms", "pos")).cast("long").alias("first_ms"), F.round(middle, 3).alias("middle_ms"), F.max_by("word_end", "pos").alias("last_end_ms"))
 

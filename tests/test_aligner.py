@@ -154,3 +154,27 @@ def test_plans_hold_each_step_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") < 40 and plan.count("InPandas") < 3
     assert [(x.text, x.start_ms, x.end_ms) for x in got.orderBy("seg_idx").collect()] == [("so we went home", 0, 1000), ("and slept", 1000, 1900)]
+
+
+def test_characters_meet_their_times_as_arrays_without_a_broadcast(spark):
+    """Long sentences over several pieces and short ones; nothing large goes through the driver, whatever Spark expects."""
+    r = random.Random(11)
+    lines = ["".join(r.choice("abcdefghijklmnop") for _ in range(n)) for n in (2 * aligner.PIECE + 5, 1, 700, 3)]
+    rec = spark.createDataFrame([(1, i, i * 100_000, i * 100_000 + 9000, x) for i, x in enumerate(lines)], REC)
+    own = spark.createDataFrame([(1, 0, lines[0][:10]), (1, 1, lines[0][10:] + lines[1] + lines[2]), (1, 2, lines[3])], OWN)
+    heard_rows, own_rows = aligner.placed(rec), aligner.placed(own)
+    chars = aligner.char_times(heard_rows, own_rows, aligner.warped(heard_rows, own_rows))
+    got = sorted((x.i, x.at_ms, x.word_end) for x in chars.collect())
+    assert "Broadcast" not in chars._jdf.queryExecution().executedPlan().toString()  # as it was run at last
+    want = [(i * 100_000 + 9000.0 if k == len(x) - 1 else i * 100_000 + k / len(x) * 9000, i * 100_000 + 9000) for i, x in enumerate(lines) for k in range(len(x))]
+    assert got == [(i, *x) for i, x in enumerate(want)]
+
+
+def test_equal_texts_take_the_diagonal():
+    r = random.Random(2)
+    for ends in ((False, False), (True, False), (False, True), (True, True)):
+        text = "".join(r.choice("abA") for _ in range(60))
+        table = aligner.cost_table(list(text), list(text))
+        _, last, total, length = aligner.warp(table, *ends)
+        at, cost, n = aligner.align_chars(text, text, None, *ends)
+        assert list(at) == list(last) and (cost, n) == (total, length)
