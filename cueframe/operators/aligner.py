@@ -334,14 +334,15 @@ def align_text(recognised: DataFrame, sentences: DataFrame, sounds: dict[str, st
     rec = placed(recognised.select("track_id", "seg_idx", "start_ms", "end_ms", "text"))
     own = placed(sentences.select("track_id", "seg_idx", F.coalesce("text", F.lit("")).alias("text")))
     paths = warped(rec, own, sounds)
-    chars = char_times(rec, own, paths)
+    chars = char_times(rec, own, paths).select("track_id", "seg_idx", "pos", "orig", "at_ms", "word_end")
     chars = polish.pause_parts(chars) if at_pauses else chars.withColumn("part", F.lit(0).cast("long"))
     ends = F.coalesce(F.max_by("word_end", "pos"), F.max("at_ms"))
     parts = chars.groupBy("track_id", "seg_idx", "part").agg(F.min_by("at_ms", "pos").alias("a"), ends.alias("b"), F.min("orig").alias("orig"))
     parts = parts.select("track_id", "seg_idx", F.struct("orig", "a", "b").alias("p")).groupBy("track_id", "seg_idx").agg(F.array_sort(F.collect_list("p")).alias("ps"))
     # a part's text goes on to the first character of the next part
     spans = F.transform("ps", lambda p, k: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.when(k == 0, 0).otherwise(p["orig"]).alias("lo"), F.get(F.col("ps"), k + 1)["orig"].alias("hi")))
-    rows = parts.withColumn("spans", spans).join(own.select("track_id", "seg_idx", "text"), ["track_id", "seg_idx"]).join(rec.groupBy("track_id").agg(F.max("end_ms").alias("_last")), "track_id")
+    rows = parts.withColumn("spans", spans).join(own.select("track_id", "seg_idx", "text").hint("merge"), ["track_id", "seg_idx"])
+    rows = rows.join(rec.groupBy("track_id").agg(F.max("end_ms").alias("_last")).hint("merge"), "track_id")
     rows = rows.select("track_id", "seg_idx", "text", "_last", F.posexplode("spans").alias("part", "s"))
     text = T.strip(F.substring("text", (F.col("s.lo") + 1), F.coalesce(F.col("s.hi"), F.length("text")) - F.col("s.lo")))
     start = F.round("s.a").cast("long")
@@ -349,7 +350,7 @@ def align_text(recognised: DataFrame, sentences: DataFrame, sounds: dict[str, st
     rows = polish.fix_overlaps(polish.merge_tiny(rows) if at_pauses else rows)
     rate = paths.groupBy("track_id").agg((1 - F.sum("cost") / F.sum("length")).alias("match_rate"))
     rows = rows.withColumn("seg_idx", F.row_number().over(Window.partitionBy("track_id").orderBy("start_ms", "seg_idx")).cast("long"))
-    return rows.join(rate, "track_id").select("track_id", "seg_idx", "start_ms", "end_ms", "text", "match_rate")
+    return rows.join(rate.hint("merge"), "track_id").select("track_id", "seg_idx", "start_ms", "end_ms", "text", "match_rate")
 
 
 def sentences(texts: DataFrame, soft: bool = False) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +42,14 @@ def fill_times(points: DataFrame, last_ms: Column) -> DataFrame:
 
 def pause_parts(chars: DataFrame, ratio: float = 3.0, least_ms: int = 250) -> DataFrame:
     """part of chars (track_id, seg_idx, pos, at_ms): a sentence is cut where a gap reaches `ratio` times its median gap."""
-    by = Window.partitionBy("track_id", "seg_idx").orderBy("pos")
-    rows = chars.withColumn("_gap", F.col("at_ms") - F.lag("at_ms").over(by))
-    middle = rows.groupBy("track_id", "seg_idx").agg(upper_median(F.collect_list(F.when(F.col("_gap") > 0, F.col("_gap")))).alias("_m"))
-    rows = rows.join(middle, ["track_id", "seg_idx"]).withColumn("_cut", F.coalesce(F.col("_gap") >= F.greatest(F.col("_m") * ratio, F.lit(least_ms)), F.lit(False)) & F.col("_m").isNotNull())
-    return rows.withColumn("part", F.sum(F.col("_cut").cast("long")).over(by)).drop("_gap", "_m", "_cut")
+    rest = [c for c in chars.columns if c not in ("track_id", "seg_idx", "pos")]
+    rows = chars.groupBy("track_id", "seg_idx").agg(F.array_sort(F.collect_list(F.struct("pos", *rest))).alias("_x"))
+    rows = rows.withColumn("_gaps", F.transform("_x", lambda x, k: x["at_ms"] - F.get("_x", k - 1)["at_ms"]))
+    rows = rows.withColumn("_m", upper_median(F.filter("_gaps", lambda g: g > 0)))
+    rows = rows.select("track_id", "seg_idx", "_m", F.explode(F.arrays_zip("_x", "_gaps")).alias("_c")).select("track_id", "seg_idx", "_m", "_c._x.*", F.col("_c._gaps").alias("_gap"))
+    cut = F.coalesce(F.col("_gap") >= F.greatest(F.col("_m") * ratio, F.lit(least_ms)), F.lit(False)) & F.col("_m").isNotNull()
+    by = Window.partitionBy("track_id", "seg_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("part", F.sum(cut.cast("long")).over(by)).select(*chars.columns, "part")
 
 
 def merge_tiny(segments: DataFrame, least: int = 2) -> DataFrame:
@@ -58,31 +64,29 @@ def fix_overlaps(segments: DataFrame) -> DataFrame:
     """Rows by start, none before the end of the one before, none longer than its text allows or into the next start; a
     row without room has a length by its text.
 
-    The rule is sequential, so it is folded in Python, over runs. Only rows without room reach beyond the next start, by
-    a known length each; a max-plus scan of these gives a bound, and a row that starts behind it begins a new run.
+    The rule is sequential, so it is folded in Python, over the ordered rows of a partition: what is carried from row to
+    row is one end, and a track's first row carries none.
     """
     order = Window.partitionBy("track_id").orderBy("start_ms", "seg_idx")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     n = F.length(T.remove_punctuation(F.col("text")))
-    rows = segments.withColumns({"_next": F.lead("start_ms").over(order), "_cap": F.greatest(F.lit(3000), 1000 + n * 250), "_spare": F.greatest(F.lit(1000), n * 150)})
-    rows = rows.withColumn("_sum", F.sum("_spare").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    reach = F.max(F.col("start_ms") - F.col("_sum") + F.col("_spare")).over(earlier) + F.col("_sum") - F.col("_spare")
-    rows = rows.withColumn("_new", F.coalesce(F.col("start_ms") >= reach, F.lit(True)).cast("long"))
-    rows = rows.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-
+    rows = segments.withColumns({"_next": F.lead("start_ms").over(order), "_new": F.row_number().over(order) == 1, "_cap": F.greatest(F.lit(3000), 1000 + n * 250), "_spare": F.greatest(F.lit(1000), n * 150)})
     columns = segments.columns
 
-    def fold(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values(["start_ms", "seg_idx"])
-        starts, ends = [], []
-        for s, e, following, most, extra in zip(run["start_ms"], run["end_ms"], run["_next"], run["_cap"], run["_spare"], strict=True):
-            s = max(s, ends[-1]) if ends else s
-            e = min(e, s + most) if pd.isna(following) else min(e, s + most, int(following))
-            starts.append(s), ends.append(e if e > s else s + extra)
-        return run.assign(start_ms=starts, end_ms=ends)[columns]
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = nan = float("nan")
+        for batch in batches:
+            starts, ends = [], []
+            for new, s, e, following, most, extra in zip(*(batch[c].to_pylist() for c in ("_new", "start_ms", "end_ms", "_next", "_cap", "_spare")), strict=True):
+                s, e = nan if s is None else s, nan if e is None else e
+                s = s if new else max(s, before)
+                e = min(e, s + most) if following is None else min(e, s + most, following)
+                before = e if e > s else s + extra
+                starts.append(s), ends.append(before)
+            fresh = {"start_ms": starts, "end_ms": ends}
+            yield pa.RecordBatch.from_arrays([pa.array([None if x != x else x for x in fresh[c]], batch[c].type) if c in fresh else batch[c] for c in columns], columns)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in segments.dtypes)
-    return rows.groupBy("track_id", "_run").applyInPandas(fold, schema)
+    return rows.sortWithinPartitions("track_id", "start_ms", "seg_idx").mapInArrow(fold, schema)
 
 
 def merge_short(segments: DataFrame, limit: int = 18, limit_cjk: int = 25) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueframe.functions import text as T
-from cueframe.operators import aligner
+from cueframe.operators import aligner, polish
 
 REC = "track_id long, seg_idx long, start_ms long, end_ms long, text string"
 OWN = "track_id long, seg_idx long, text string"
@@ -178,3 +178,31 @@ def test_equal_texts_take_the_diagonal():
         _, last, total, length = aligner.warp(table, *ends)
         at, cost, n = aligner.align_chars(text, text, None, *ends)
         assert list(at) == list(last) and (cost, n) == (total, length)
+
+
+def test_aligned_rows_are_made_without_a_broadcast_and_without_a_call_of_pandas_each(spark):
+    r = random.Random(13)
+    rec = spark.createDataFrame([(t, i, i * 1000, i * 1000 + 900, x) for t in range(3) for i, x in enumerate(words(r, 30))], REC)
+    got = aligner.align_text(rec, rec.select("track_id", "seg_idx", "text"))
+    rows = got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) >= 90 and "Broadcast" not in plan and "InPandas" not in plan
+
+
+def test_overlaps_are_those_of_a_plain_fold(spark):
+    r = random.Random(17)
+    rows = [(t, i, r.randint(0, 90_000), None, "x" * r.randint(0, 30)) for t in range(40) for i in range(r.randint(1, 60))]
+    rows = [(t, i, s, s + r.randint(-500, 9000), x) for t, i, s, _, x in rows]
+    want = []
+    for t in range(40):
+        own, before = sorted((s, i, e, x) for k, i, s, e, x in rows if k == t), None
+        for k, (s, i, e, x) in enumerate(own):
+            s = s if before is None else max(s, before)
+            e = min([e, s + max(3000, 1000 + 250 * len(x)), *([own[k + 1][0]] if k + 1 < len(own) else [])])
+            before = e if e > s else s + max(1000, 150 * len(x))
+            want.append((t, i, s, before))
+    segments = spark.createDataFrame(rows, REC).repartition(3)
+    got = polish.fix_overlaps(segments)
+    assert sorted(tuple(x) for x in got.select("track_id", "seg_idx", "start_ms", "end_ms").collect()) == sorted(want)
+    empty = polish.fix_overlaps(spark.createDataFrame([(1, 1, None, 5, "a"), (1, 2, 3, None, "b"), (1, 3, 9, 20, None)], REC)).orderBy("seg_idx").collect()
+    assert [x.seg_idx for x in empty] == [1, 2, 3]
