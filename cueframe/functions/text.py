@@ -239,7 +239,7 @@ def translation_input(text: Column, most: int = 5000) -> Column:
 
 
 #: What a line may end with, finest last: a sentence (no decimal point ends one), and a part of it up to a comma.
-SENTENCE = re.compile(r"(?:[^。！？；.!?;]|(?<=[0-9])\.(?=[0-9]))*(?:[。！？；!?;.]|$)")
+SENTENCE = re.compile(r"(?:[^。！？；.!?;]++|(?<=[0-9])\.(?=[0-9]))*+(?:[。！？；!?;.]|$)")
 CLAUSE = re.compile(r"[^，,、]*(?:[，,、]|$)")
 
 

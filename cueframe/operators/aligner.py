@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cueframe.functions import text as T
 from cueframe.operators import polish, timeline
-from cueframe.sources.tables import cut
+from cueframe.sources.tables import cut, small, tasks
 
 PIECE = 4096  # characters of a piece of a text
 GRAM, SAMPLE = 12, 4  # characters of a run, and the share of runs (by hash) that are looked at: one in SAMPLE
@@ -192,7 +192,7 @@ def stretches(own: DataFrame, recognised: DataFrame, own_parts: DataFrame, recog
     rows = size(own, "n").join(size(recognised, "m").hint("merge"), "track_id").join(anchors.hint("merge"), "track_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
+        for batch in small(batches):
             cuts = [cut_stretches(list(zip(at or (), j or (), strict=True)), n, m) for n, m, at, j in zip(*(batch[c].to_pylist() for c in ("n", "m", "at", "j")), strict=True)]
             sizes = np.array([len(x) for x in cuts])
             number = np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes)
@@ -216,13 +216,6 @@ def _texts(cuts: DataFrame, parts: DataFrame, lo: str, hi: str, name: str) -> Da
 # --- fine ------------------------------------------------------------------------------------------------------------
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
-    """Batches of a few rows, so that what a task holds follows from the length of a stretch and not from Spark's batches."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
 def warped(recognised: DataFrame, sentences: DataFrame, sounds: dict[str, str] | None = None) -> DataFrame:
     """(track_id, stretch, i0, j0, places, cost, length): for each character of a stretch's own text the one recognised, as
     places from j0 on; null where the stretch has none. recognised and sentences: placed rows.
@@ -236,7 +229,7 @@ def warped(recognised: DataFrame, sentences: DataFrame, sounds: dict[str, str] |
     rows = cuts.where("i1 > i0").join(_texts(cuts, own_parts, "i0", "i1", "own").hint("merge"), ["track_id", "stretch"]).join(_texts(cuts, parts, "j0", "j1", "heard").hint("merge"), ["track_id", "stretch"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches):
+        for batch in small(batches):
             places, costs, lengths = [], [], []
             for own, heard, first, last in zip(*(batch[c].to_pylist() for c in ("own", "heard", "first", "last")), strict=True):
                 at, cost, length = align_chars(own, heard, sounds, first, last) if heard else ([None] * len(own), float(len(own)), len(own))
@@ -248,8 +241,7 @@ def warped(recognised: DataFrame, sentences: DataFrame, sounds: dict[str, str] |
 
     kind = sentences.schema["track_id"].dataType.simpleString()
     # a stretch is few bytes and much work, so stretches are dealt out by number; Spark would put those of megabytes into one task
-    tasks = max(sentences.sparkSession.sparkContext.defaultParallelism * 2, int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.select("track_id", "stretch", "i0", "j0", "own", "heard", "first", "last").repartition(tasks, "track_id", "stretch")
+    rows = rows.select("track_id", "stretch", "i0", "j0", "own", "heard", "first", "last").repartition(tasks(sentences.sparkSession), F.xxhash64("track_id", "stretch"))  # by the columns alone it would be the join's own
     return cut(rows.mapInArrow(run, f"track_id {kind}, stretch long, i0 long, j0 long, places array<int>, cost double, length long"))
 
 

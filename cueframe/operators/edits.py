@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueframe.functions import text as T
 from cueframe.operators import timeline
+from cueframe.sources.tables import small, tasks
 
 KEY = ["track_id", "seg_idx"]
 
@@ -104,7 +108,23 @@ ALIKE = 0.75  # fixed value: likeness from which two changed lines are versions
 
 
 def likeness(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, a, b).ratio()
+    """difflib's ratio: both sides of the longest common run, the earliest one, are compared again. The run is looked for by
+    substrings, which takes a tenth of the time; from 200 characters on difflib leaves out frequent ones."""
+    if len(b) >= 200:
+        return difflib.SequenceMatcher(None, a, b).ratio()
+    common, todo = 0, [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        at, size, k = 0, 0, 0
+        while k + size < len(x):
+            while k + size < len(x) and x[k : k + size + 1] in y:
+                at, size = k, size + 1
+            k += 1
+        if size:
+            i = y.find(x[at : at + size])
+            common += size
+            todo += [(x[:at], y[:i]), (x[at + size :], y[i + size :])]
+    return 2.0 * common / (len(a) + len(b)) if a or b else 1.0
 
 
 def beside(a: list[str], b: list[str]) -> list[int | None]:
@@ -161,63 +181,105 @@ def _plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def candidate_runs(n: int, words: list[str], at: int, shift: int) -> list[tuple[int, int]]:
+def _letters(text: str) -> str:
+    return "".join(text.lower().replace("ς", "σ").split())
+
+
+def candidate_runs(n: int, left: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """First place and number of words of the runs that a sentence of n words can have been made from, likeliest first:
-    half to twice as many words, nearer sizes first, from `at` to shift words further on."""
-    sizes = sorted(range(max(1, n // 2), min(2 * n, len(words) - at) + 1), key=lambda size: abs(size - n))
-    return [(first, size) for size in sizes for first in range(at, min(at + shift + 1, len(words) - size + 1))]
-
-
-def _bounds(wanted: str, words: list[str], runs: list[tuple[int, int]]) -> np.ndarray:
-    """Of each run an upper bound on its likeness to a plain text: from the letters that both have, by sums over words, and
-    as many blanks as fit best."""
-    letters = Counter("".join(wanted.replace("ς", "σ").split()))
-    low = min((a for a, _ in runs), default=0)
-    own = [Counter("".join(w.lower().replace("ς", "σ").split())) for w in words[low : max((a + n for a, n in runs), default=0)]]
-    table = np.zeros((len(own) + 1, len(letters) + 2))
-    for k, (w, count) in enumerate(zip(words[low:], own, strict=False)):
-        table[k + 1] = [*(count[c] for c in letters), sum(count.values()), sum(c.isspace() for c in w)]
-    table = table.cumsum(axis=0)
-    first, size = (np.array(x, int) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, int), np.zeros(0, int))
-    held = table[first - low + size] - table[first - low]
-    blanks = np.minimum(wanted.count(" "), held[:, -1])
-    shared = np.minimum(held[:, :-2], np.array(list(letters.values()))[None, :]).sum(axis=1) + blanks
-    return 2 * shared / np.maximum(1, len(wanted) + held[:, -2] + blanks)
-
-
-def equal_run(wanted: str, words: list[str], runs: list[tuple[int, int]]) -> tuple[int, int] | None:
-    """The likeliest run whose plain text is wanted; only runs with as many letters are put together."""
-    low = min((a for a, _ in runs), default=0)
-    letters = lambda text: "".join(text.lower().replace("ς", "σ").split())
-    own = [letters(w) for w in words[low : max((a + n for a, n in runs), default=0)]]
-    ends, target = np.cumsum([0, *map(len, own)]), letters(wanted)
-    first, size = np.array(runs, int).reshape(-1, 2).T
-    text = "".join(own)
-    for k in np.flatnonzero(ends[first - low + size] - ends[first - low] == len(target)).tolist():
-        a, n = runs[k]
-        if text.startswith(target, int(ends[a - low])) and _plain("".join(words[a : a + n])) == wanted:
-            return a, n
-    return None
-
-
-def best_run(sentence: str, words: list[str], at: int, shift: int = 30, least: float = 0.5) -> tuple[int, int] | None:
+    half to twice as many of the words that are left, nearer sizes first, from 0 to shift words further on."""
+    sizes = np.arange(max(1, n // 2), min(2 * n, left) + 1)
+    sizes = sizes[np.argsort(np.abs(sizes - n), kind="stable")]
+    firsts = np.minimum(shift, left - sizes) + 1
+    return np.arange(firsts.sum()) - np.repeat(firsts.cumsum() - firsts, firsts), np.repeat(sizes, firsts)
+
+
+_usual_runs = lru_cache(256)(candidate_runs)
+
+
+class Words:
+    """The words of a batch with what each search asks of them: their letters as one text and as numbers, each letter's word,
+    where each word's letters begin, and how many blanks stand before it."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        letters = [_letters(w) for w in words]
+        self.text = "".join(letters)
+        self.ends = np.cumsum([0, *map(len, letters)])
+        self.blanks = np.cumsum([0, *(sum(map(str.isspace, w)) for w in words)])
+        self.number = {c: k for k, c in enumerate(dict.fromkeys(self.text))}
+        self.codes = np.fromiter(map(self.number.__getitem__, self.text), np.int64, len(self.text))
+        self.word = np.repeat(np.arange(len(words)), np.diff(self.ends))
+
+    def runs(self, n: int, at: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+        left = min(len(self.words) - at, shift + 2 * n)  # more don't change the runs
+        first, size = (_usual_runs if n <= 100 else candidate_runs)(n, left, shift)
+        return first + at, size
+
+    def plain(self, first: int, size: int) -> str:
+        return _plain("".join(self.words[first : first + size]))
+
+    def shared(self, wanted: str, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many letters of each run the letters wanted have too."""
+        counts = {self.number[c]: k for c, k in Counter(wanted).items() if c in self.number}
+        low, high = int(first.min()), int(end.max())
+        column = np.full(len(self.number), -1)
+        column[list(counts)] = np.arange(len(counts))
+        of = column[self.codes[self.ends[low] : self.ends[high]]]
+        known = np.flatnonzero(of >= 0)
+        rows, width = high - low + 1, len(counts)
+        table = np.bincount((self.word[self.ends[low] : self.ends[high]][known] - low + 1) * width + of[known], minlength=rows * width).reshape(rows, width).cumsum(axis=0)
+        return np.minimum(table[end - low] - table[first - low], list(counts.values())).sum(axis=1)
+
+
+def _bounds(wanted: str, shared: np.ndarray | int, held: np.ndarray, blanks: np.ndarray) -> np.ndarray:
+    """Upper bounds on the likeness of runs to a plain text, from the letters that both have at most, the letters of each run,
+    and its blanks, of which as many count as fit best."""
+    blanks = np.minimum(wanted.count(" "), blanks)
+    return 2 * (np.minimum(shared, held) + blanks) / np.maximum(1, len(wanted) + held + blanks)
+
+
+def best_run(sentence: str, words: list[str] | Words, at: int, shift: int = 30, least: float = 0.5) -> tuple[int, int] | None:
     """First place and number of the words from `at` on that are most like a sentence, or None below `least`; of equally
     like runs the likelier one.
 
-    Candidates are compared from the highest bound on their likeness down, until no bound reaches the best one found.
+    An equal run is looked for among those of as many letters. Else the likeliest run is compared first, and what cannot
+    reach it by length alone is left out. Other candidates are compared from the highest bound on their likeness down,
+    until no bound reaches the best one found.
     """
+    own = words if isinstance(words, Words) else Words(words)
     wanted = _plain(sentence)
-    runs = candidate_runs(T.word_count(wanted), words, at, shift)
-    if least <= 1 and (equal := equal_run(wanted, words, runs)):
-        return equal  # no run is liker than an equal one
-    bound = _bounds(wanted, words, runs)
-    best = (0.0, 1, (0, 0))  # likeness, -rank, run
-    for rank in np.argsort(-bound, kind="stable").tolist():
-        if bound[rank] + 1e-9 < best[0]:
+    first, size = own.runs(T.word_count(wanted), at, shift)
+    if not len(first):
+        return None
+    end, letters = first + size, _letters(wanted)
+    begin = own.ends[first]
+    held = own.ends[end] - begin
+    for k in np.flatnonzero(held == len(letters)).tolist() if least <= 1 else ():
+        if own.text.startswith(letters, int(begin[k])) and own.plain(int(first[k]), int(size[k])) == wanted:
+            return int(first[k]), int(size[k])  # no run is liker than an equal one
+    like = lambda k: (likeness(wanted, own.plain(int(first[k]), int(size[k]))), -k)
+    best, blanks = like(0), own.blanks[end] - own.blanks[first]
+    todo = np.flatnonzero(_bounds(wanted, len(letters), held, blanks) + 1e-9 >= best[0])
+    bound = _bounds(wanted, own.shared(letters, first[todo], end[todo]), held[todo], blanks[todo]) if len(todo) else todo
+    for k in np.argsort(-bound, kind="stable").tolist():
+        if bound[k] + 1e-9 < best[0]:
             break
-        first, size = runs[rank]
-        best = max(best, (likeness(wanted, _plain("".join(words[first : first + size]))), -rank, runs[rank]))
-    return best[2] if best[0] >= least else None
+        best = max(best, like(int(todo[k])) if todo[k] else best)
+    return (int(first[-best[1]]), int(size[-best[1]])) if best[0] >= least else None
+
+
+def matched(own: Words, lines: list[str], most_unmatched: int) -> list[tuple[int, int] | None]:
+    """For each line, in order, the first place and number of the words that it was made from; see match_sentences."""
+    at, shift, missed, out = 0, 30, 0, []
+    for line in lines:
+        found = best_run(line, own, at, shift) if missed <= most_unmatched and own.words else None
+        if found:
+            at, shift = found[0] + found[1], 30
+        else:
+            missed, at, shift = missed + 1, min(at + 1, max(0, len(own.words) - 1)), 100
+        out.append(found)
+    return out
 
 
 def match_sentences(words: DataFrame, sentences: DataFrame, most_unmatched: int = 5) -> DataFrame:
@@ -228,20 +290,19 @@ def match_sentences(words: DataFrame, sentences: DataFrame, most_unmatched: int
     sentences has null runs from there on. Batches bound the size of a group.
     """
 
-    def run(key: tuple, own: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        own, lines = own.sort_values("seg_idx"), lines.sort_values("seg_idx")
-        texts, numbers, at, shift, missed, out = own["text"].tolist(), own["seg_idx"].tolist(), 0, 30, 0, []
-        for number, sentence in zip(lines["seg_idx"], lines["text"], strict=True):
-            found = best_run(sentence, texts, at, shift) if missed <= most_unmatched and texts else None
-            if found:
-                at, shift = found[0] + found[1], 30
-                out.append((key[0], key[1], number, numbers[found[0]], found[1]))
-            else:
-                missed, at, shift = missed + 1, min(at + 1, max(0, len(texts) - 1)), 100
-                out.append((key[0], key[1], number, None, None))
-        frame = pd.DataFrame(out, columns=["track_id", "batch", "seg_idx", "first_word", "words"])
-        return frame.astype({"first_word": "Int64", "words": "Int64"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            found = [matched(Words([w or "" for w in own]), [x or "" for x in lines], most_unmatched) for own, lines in zip(*(batch[c].to_pylist() for c in ("words", "sentences")), strict=True)]
+            at, index = np.repeat(np.arange(len(found)), list(map(len, found))), batch["word_numbers"].to_pylist()
+            first = [x and index[k][x[0]] for k, x in zip(at.tolist(), (x for f in found for x in f), strict=True)]
+            columns = [batch[c].take(pa.array(at)) for c in ("track_id", "batch")]
+            columns += [batch["numbers"].flatten(), pa.array(first, pa.int64()), pa.array([x and x[1] for f in found for x in f], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["track_id", "batch", "seg_idx", "first_word", "words"])
 
     kinds = dict(words.dtypes)
-    both = words.groupBy("track_id", "batch").cogroup(sentences.groupBy("track_id", "batch"))
-    return both.applyInPandas(run, f"track_id {kinds['track_id']}, batch {kinds['batch']}, seg_idx long, first_word long, words long")
+    row = lambda df, kind: df.select("track_id", "batch", F.struct(F.lit(kind).alias("kind"), F.col("seg_idx").cast("long").alias("i"), F.col("text").alias("t")).alias("x"))
+    # a batch is few bytes and much work, so batches are dealt out by number; Spark would put those of megabytes into one task
+    both = row(words, 0).unionByName(row(sentences, 1)).repartition(tasks(words.sparkSession), "track_id", "batch").groupBy("track_id", "batch").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    side = lambda kind, field: F.transform(F.filter("x", lambda x: x["kind"] == kind), lambda x: x[field])
+    both = both.select("track_id", "batch", side(0, "i").alias("word_numbers"), side(0, "t").alias("words"), side(1, "i").alias("numbers"), side(1, "t").alias("sentences"))
+    return both.mapInArrow(run, f"track_id {kinds['track_id']}, batch {kinds['batch']}, seg_idx long, first_word long, words long")

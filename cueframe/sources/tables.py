@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,15 @@ def cut(df: DataFrame) -> DataFrame:
     """df written once to the checkpoint folder: what is used several times isn't computed again, and plans stay short."""
     checkpointed(df.sparkSession)
     return df.checkpoint()
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that what a task holds follows from the length of a row and not from Spark's batches."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def tasks(spark: SparkSession) -> int:
+    """Into how many partitions much work on few bytes is dealt: enough for all cores, and as many as a shuffle has."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -152,3 +152,56 @@ def test_runs_are_folded_whole_however_batches_are_cut(spark):
             assert sorted(map(str, segmenter.segment_words(df).collect())) == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_likeness_is_that_of_difflib():
+    r = random.Random(23)
+    for k in range(3000):
+        a, b = ("".join(r.choice("ab c" if k % 2 else "abcdefg hij") for _ in range(r.randint(0, 70))) for _ in range(2))
+        b = b if k % 3 else a[: len(a) // 2] + b[:4] + a[len(a) // 2 + 3 :]
+        assert edits.likeness(a, b) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+    long = "abc " * 80
+    assert edits.likeness("abc abd " * 30, long) == difflib.SequenceMatcher(None, "abc abd " * 30, long).ratio()
+
+
+def test_few_runs_are_compared(monkeypatch):
+    """One with all letters but a full stop is compared first, and what its likeness leaves out isn't."""
+    r = random.Random(29)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) + " " for _ in range(300)]
+    compared, own, real = [], edits.Words(words), edits.likeness
+    monkeypatch.setattr(edits, "likeness", lambda a, b: compared.append(b) or real(a, b))
+    for at in range(0, 280, 7):
+        assert edits.best_run("".join(words[at : at + 9]).strip() + ".", own, at) == (at, min(9, 300 - at))
+    assert len(compared) == 40
+
+
+def test_sentences_are_matched_as_by_trying_all_runs(spark):
+    """Batches with changed and foreign sentences, without words, and without sentences, however they are dealt out."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcde中ß") for _ in range(r.randint(1, 5)))
+    words, lines, want = [], [], {}
+    for b in range(12):
+        own = [word() + r.choice((" ", " ", "")) for _ in range(0 if b == 5 else r.randint(1, 40))]
+        said, at = [], 0
+        while at < len(own) and b != 6:
+            n = r.randint(1, 6)
+            said.append(r.choice(("".join(own[at : at + n]) + r.choice((".", "", " x")), "".join(own[at : at + n]).upper(), "zzz qqq")))
+            at += n
+        said += ["abc"] if b == 5 else []
+        words += [(1, b, k * 3, w) for k, w in enumerate(own)]
+        lines += [(1, b, k * 2, s) for k, s in enumerate(said)]
+        at, shift, missed = 0, 30, 0
+        for k, s in enumerate(said):
+            plain = " ".join(s.lower().split())
+            n, best, found = T.word_count(plain), 0.0, None
+            for size in sorted(range(max(1, n // 2), min(2 * n, len(own) - at) + 1), key=lambda x: abs(x - n)):
+                for first in range(at, min(at + shift + 1, len(own) - size + 1)):
+                    ratio = difflib.SequenceMatcher(None, plain, " ".join("".join(own[first : first + size]).lower().split())).ratio()
+                    best, found = (ratio, (first, size)) if ratio > best else (best, found)
+            found = found if best >= 0.5 and missed <= 5 else None
+            want[b, k * 2] = (found[0] * 3, found[1]) if found else (None, None)
+            missed, at, shift = (missed, sum(found), 30) if found else (missed + 1, min(at + 1, max(0, len(own) - 1)), 100)
+    kinds = "track_id int, batch long, seg_idx int, text string"
+    got = edits.match_sentences(spark.createDataFrame(words, kinds).repartition(3), spark.createDataFrame(lines, kinds).repartition(2))
+    assert {(x.batch, x.seg_idx): (x.first_word, x.words) for x in got.collect()} == want
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()  # not a call of pandas each
