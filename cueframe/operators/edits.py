@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -206,10 +206,16 @@ class Words:
         letters = [_letters(w) for w in words]
         self.text = "".join(letters)
         self.ends = np.cumsum([0, *map(len, letters)])
-        self.blanks = np.cumsum([0, *(sum(map(str.isspace, w)) for w in words)])
+        self.blanks = np.cumsum([0, *(len(w) - len("".join(w.split())) for w in words)])
         self.number = {c: k for k, c in enumerate(dict.fromkeys(self.text))}
-        self.codes = np.fromiter(map(self.number.__getitem__, self.text), np.int64, len(self.text))
-        self.word = np.repeat(np.arange(len(words)), np.diff(self.ends))
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, self.text), np.int64, len(self.text))
+
+    @cached_property
+    def word(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.words)), np.diff(self.ends))
 
     def runs(self, n: int, at: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
         left = min(len(self.words) - at, shift + 2 * n)  # more don't change the runs
@@ -244,7 +250,7 @@ def best_run(sentence: str, words: list[str] | Words, at: int, shift: int = 30,
     like runs the likelier one.
 
     An equal run is looked for among those of as many letters. Else the likeliest run is compared first, and what cannot
-    reach it by length alone is left out. Other candidates are compared from the highest bound on their likeness down,
+    exceed it by length alone is left out. Other candidates are compared from the highest bound on their likeness down,
     until no bound reaches the best one found.
     """
     own = words if isinstance(words, Words) else Words(words)
@@ -260,12 +266,13 @@ def best_run(sentence: str, words: list[str] | Words, at: int, shift: int = 30,
             return int(first[k]), int(size[k])  # no run is liker than an equal one
     like = lambda k: (likeness(wanted, own.plain(int(first[k]), int(size[k]))), -k)
     best, blanks = like(0), own.blanks[end] - own.blanks[first]
-    todo = np.flatnonzero(_bounds(wanted, len(letters), held, blanks) + 1e-9 >= best[0])
+    most = sum(map(own.number.__contains__, letters))  # letters that any word has, so not a full stop
+    todo = np.flatnonzero(_bounds(wanted, most, held, blanks) > best[0])  # of equally like ones the first is likelier
     bound = _bounds(wanted, own.shared(letters, first[todo], end[todo]), held[todo], blanks[todo]) if len(todo) else todo
     for k in np.argsort(-bound, kind="stable").tolist():
         if bound[k] + 1e-9 < best[0]:
             break
-        best = max(best, like(int(todo[k])) if todo[k] else best)
+        best = max(best, like(int(todo[k])))
     return (int(first[-best[1]]), int(size[-best[1]])) if best[0] >= least else None
 
 
